@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..schemas import MONEY
-from .text import clean_text
 
 # Plain digits, or digits grouped by commas; at most two decimals.
 AMOUNT = r"\$?\s*(-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{1,2})?)"
@@ -14,7 +13,8 @@ AMOUNT_STRICT = r"(?:\$\s*)?(-?\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+(?:\.\d{1,2})
 
 
 def _digits(c: Column) -> Column:
-    return F.regexp_replace(clean_text(c), r"[^0-9.\-]", "")
+    # What is not part of a number goes, blanks included.
+    return F.regexp_replace(c, r"[^0-9.\-]", "")
 
 
 def parse_currency(c: Column) -> Column:

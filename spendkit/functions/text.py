@@ -20,18 +20,18 @@ def clean_text(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(c, BLANKS, " ")), F.lit(""))
 
 
-def strip_point_zero(c: Column) -> Column:
-    return F.regexp_replace(clean_text(c), r"\.0$", "")
+def _cleaned(c: Column, clean: bool) -> Column:
+    return c if clean else clean_text(c)
 
 
-def normalize_zip(c: Column) -> Column:
-    """`10464.0` becomes `10464`."""
-    return strip_point_zero(c)
+def normalize_zip(c: Column, clean: bool = False) -> Column:
+    """`10464.0` becomes `10464`. `clean=True` skips the text cleaning where it is done already."""
+    return F.regexp_replace(_cleaned(c, clean), r"\.0$", "")
 
 
-def normalize_mcc(c: Column) -> Column:
+def normalize_mcc(c: Column, clean: bool = False) -> Column:
     """Digits only, a trailing `.0` is dropped, anything else is null."""
-    code = F.trim(strip_point_zero(c))
+    code = F.trim(normalize_zip(c, clean))
     return F.when(code.rlike("^[0-9]+$"), code)
 
 
@@ -44,8 +44,8 @@ def yes_no(c: Column) -> Column:
     return F.when(word.isin(*YES_WORDS), True).when(word.isin(*NO_WORDS), False)
 
 
-def is_online(use_chip: Column, merchant_city: Column) -> Column:
+def is_online(use_chip: Column, merchant_city: Column, clean: bool = False) -> Column:
     """The channel mentions `online`, or the city is `online`. Never null."""
-    channel = F.coalesce(F.lower(clean_text(use_chip)), F.lit(""))
-    city = F.coalesce(F.lower(clean_text(merchant_city)), F.lit(""))
+    channel = F.coalesce(F.lower(_cleaned(use_chip, clean)), F.lit(""))
+    city = F.coalesce(F.lower(_cleaned(merchant_city, clean)), F.lit(""))
     return channel.contains("online") | (city == "online")

@@ -92,18 +92,20 @@ def time_split(samples: DataFrame, cutoff: date | str | None = None) -> DataFram
 
     Days are counted first; the quantile then weighs one row per calendar day.
     """
-    per_day = samples.groupBy("day").agg(F.count("*").alias("n"))
-    number = F.unix_date("day")
+    per_day = samples.groupBy(F.unix_date("day").alias("d")).agg(F.count("*").alias("n"))
     edge = (
-        F.percentile(number, F.lit(TRAIN_QUANTILE), F.col("n"))
+        F.percentile("d", F.lit(TRAIN_QUANTILE), F.col("n"))
         if cutoff is None
         else F.max(F.unix_date(day_literal(cutoff))).cast("double")
     )
-    return per_day.crossJoin(per_day.agg(edge.alias("cutoff"))).groupBy("cutoff").agg(
-        F.sum("n").alias("n_samples"),
-        F.coalesce(F.sum(F.when(number <= F.col("cutoff"), F.col("n"))), F.lit(0)).alias("n_train"),
-        F.coalesce(F.sum(F.when(number > F.col("cutoff"), F.col("n"))), F.lit(0)).alias("n_test"),
-    )
+    # One entry per calendar day.
+    days = F.collect_list(F.struct("d", "n"))
+    before = F.filter("days", lambda x: x.d <= F.col("cutoff"))
+    return per_day.agg(edge.alias("cutoff"), F.sum("n").alias("n_samples"), days.alias("days")).select(
+        "cutoff",
+        "n_samples",
+        F.aggregate(before, F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x.n).alias("n_train"),
+    ).withColumn("n_test", F.col("n_samples") - F.col("n_train"))
 
 
 @dataclass(frozen=True)
@@ -166,7 +168,7 @@ def fit_month_end_model(
     samples = cut_lineage(samples.select("day", F.col(TARGET).cast("double").alias("label"),
                                          *[F.col(c).cast("double").alias(c) for c in features]))
     split = time_split(samples, cutoff).first()
-    if split is None or split.n_train < MIN_SPLIT_ROWS or split.n_test < MIN_SPLIT_ROWS:
+    if not split.n_samples or split.n_train < MIN_SPLIT_ROWS or split.n_test < MIN_SPLIT_ROWS:
         raise ValueError(f"Not enough samples for a time split: need {MIN_SPLIT_ROWS} on each side")
     is_train = F.unix_date("day") <= F.lit(split.cutoff)
     train = samples.where(is_train)
@@ -244,12 +246,6 @@ RUNWAY_COLUMNS = (
 )
 
 
-def _scoring_status(limits: DataFrame, as_of: AsOf) -> DataFrame:
-    return with_as_of(limits.select("client_id", LIMIT), as_of).select(
-        "client_id", F.col("as_of").alias("as_of_date"), F.col(LIMIT).alias("_limit"),
-    )
-
-
 def score_clients(
     tx: DataFrame,
     limits: DataFrame,
@@ -273,8 +269,9 @@ def score_clients(
         .when(F.col(MTD).isNull(), "no_history")
         .otherwise("scored")
     )
+    clients = with_as_of(limits.select("client_id", F.col(LIMIT).alias("_limit")), as_of)
     return (
-        _scoring_status(limits, as_of)
+        clients.withColumnRenamed("as_of", "as_of_date")
         .join(scored.select("client_id", *kept), "client_id", "left")
         .select(*RUNWAY_COLUMNS, status.alias("status"))
     )

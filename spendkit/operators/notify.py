@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import ALERT_CHANNELS, ALERT_THRESHOLDS, SHORT_RUNWAY_DAYS
 from ..functions.identity import stable_id
@@ -70,19 +70,11 @@ def threshold_status(inputs: DataFrame, thresholds=ALERT_THRESHOLDS) -> DataFram
     return rows.withColumn("label", percent_label(thr)).withColumn("status", status)
 
 
-def _event(kind, event_id, severity, title, message, threshold=None):
-    return [
-        event_id.alias("event_id"),
-        F.col("client_id"),
-        F.col("as_of_date"),
-        F.lit(kind).alias("kind"),
-        severity.alias("severity"),
-        title.alias("title"),
-        message.alias("message"),
-        (F.lit(None) if threshold is None else threshold).cast("double").alias("threshold_pct"),
-        F.col("utilization_pct"),
-        F.col("projected_utilization_pct"),
-    ]
+_EVENT_TYPE = (
+    "struct<severity_no:int,minus_threshold:double,kind:string,title:string,event_id:string,"
+    "severity:string,message:string,threshold_pct:double>"
+)
+_SEVERITIES = ("critical", "warning", "info")
 
 
 def _day() -> Column:
@@ -93,14 +85,25 @@ def _used(c: str) -> Column:
     return percent_label(F.coalesce(F.col(c), F.lit(0.0)))
 
 
-def threshold_events(inputs: DataFrame, thresholds=ALERT_THRESHOLDS) -> DataFrame:
-    """An event per threshold that spend or projection has reached."""
-    rows = threshold_status(inputs, thresholds).where("status <> 'ok'")
-    thr, label, spent = F.col("threshold_pct"), F.col("label"), money_label(F.col("mtd_spend_usd"))
-    severity = F.when(thr >= 0.95, "critical").when(thr >= 0.85, "warning").otherwise("info")
-    passed = F.col("mtd_hit")
-    of_limit = F.concat(spent, F.lit(" of "), money_label(F.col("monthly_limit_usd")), F.lit(" ("),
-                        _used("utilization_pct"), F.lit(" utilization)."))
+def _event(kind, severity, title, message, id_parts, threshold=None) -> Column:
+    """One event; its first fields are the display order."""
+    thr = F.lit(threshold).cast("double")
+    return F.struct(
+        F.lit(_SEVERITIES.index(severity)), -F.coalesce(thr, F.lit(0.0)), F.lit(kind), title,
+        stable_id(*id_parts), F.lit(severity), message, thr,
+    ).cast(_EVENT_TYPE)
+
+
+def _threshold_event(threshold: float) -> Column:
+    """Reached by spend or, failing that, by the projection."""
+    severity = "critical" if threshold >= 0.95 else "warning" if threshold >= 0.85 else "info"
+    label = percent_label(F.lit(threshold))
+    passed = F.coalesce(F.col("utilization_pct") >= threshold, F.lit(False))
+    ahead = F.coalesce(F.col("projected_utilization_pct") >= threshold, F.lit(False))
+    of_limit = F.concat(
+        money_label(F.col("mtd_spend_usd")), F.lit(" of "), money_label(F.col("monthly_limit_usd")),
+        F.lit(" ("), _used("utilization_pct"), F.lit(" utilization)."),
+    )
     # Fixed texts.
     title = F.concat(F.when(passed, "Past ").otherwise("Projected to pass "), label, F.lit(" budget threshold"))
     past = F.concat(
@@ -108,35 +111,31 @@ def threshold_events(inputs: DataFrame, thresholds=ALERT_THRESHOLDS) -> DataFram
         F.lit(", month-to-date spend is "), of_limit, F.lit(" Remaining budget: "),
         money_label(F.col("remaining_budget_usd")), F.lit("."),
     )
-    ahead = F.concat(
+    projected = F.concat(
         F.lit("Projected month-end utilization ("), _used("projected_utilization_pct"),
         F.lit(") is at or above the "), label, F.lit(" threshold. MTD spend is currently "), of_limit,
     )
-    event_id = stable_id(F.lit("threshold"), F.col("client_id"), _day(), F.format_string("%.2f", thr))
-    return rows.select(
-        *_event("budget_threshold", event_id, severity, title, F.when(passed, past).otherwise(ahead), thr)
-    )
+    id_parts = (F.lit("threshold"), F.col("client_id"), _day(), F.lit(f"{threshold:.2f}"))
+    message = F.when(passed, past).otherwise(projected)
+    return F.when(passed | ahead, _event("budget_threshold", severity, title, message, id_parts, threshold))
 
 
 def _overspends() -> Column:
     return F.col("overspend_risk") | F.coalesce(F.col("projected_utilization_pct") >= 1.0, F.lit(False))
 
 
-def overspend_events(inputs: DataFrame) -> DataFrame:
+def _overspend_event() -> Column:
     # Fixed texts.
+    title = F.lit("Projected to exceed your discretionary limit")
     message = F.concat(
         F.lit("Projected month-end utilization is "), _used("projected_utilization_pct"),
         F.lit(". Consider cutting discretionary spend before month end."),
     )
-    event_id = stable_id(F.lit("warning"), F.lit("overspend"), F.col("client_id"), _day())
-    return inputs.where(_overspends()).select(
-        *_event("warning", event_id, F.lit("critical"),
-                F.lit("Projected to exceed your discretionary limit"), message)
-    )
+    id_parts = (F.lit("warning"), F.lit("overspend"), F.col("client_id"), _day())
+    return F.when(_overspends(), _event("warning", "critical", title, message, id_parts))
 
 
-def runway_events(inputs: DataFrame) -> DataFrame:
-    """Short runway, for clients without an overspend warning."""
+def _runway_event() -> Column:
     days = F.col("days_to_limit_estimate")
     # Fixed texts.
     title = F.concat(F.lit("Only "), days.cast("string"), F.lit(" day(s) of discretionary runway left"))
@@ -144,22 +143,57 @@ def runway_events(inputs: DataFrame) -> DataFrame:
         F.lit("At the current pace you may hit your limit in about "), days.cast("string"),
         F.lit(" day(s). Remaining budget: "), money_label(F.col("remaining_budget_usd")), F.lit("."),
     )
-    event_id = stable_id(F.lit("warning"), F.lit("runway"), F.col("client_id"), _day())
-    return inputs.where(~_overspends() & days.between(0, SHORT_RUNWAY_DAYS)).select(
-        *_event("warning", event_id, F.lit("warning"), title, message)
+    id_parts = (F.lit("warning"), F.lit("runway"), F.col("client_id"), _day())
+    short = ~_overspends() & days.between(0, SHORT_RUNWAY_DAYS)
+    return F.when(short, _event("warning", "warning", title, message, id_parts))
+
+
+def _tip_event() -> Column:
+    title = F.lit("Personalized tip")
+    message = F.concat_ws(" — ", "tip_title", "tip_action")
+    id_parts = (F.lit("tip"), F.col("client_id"), _day(), F.col("tip_title"))
+    return F.when(F.col("tip_title").isNotNull(), _event("tip", "info", title, message, id_parts))
+
+
+def _expand(inputs: DataFrame, events: list[Column]) -> DataFrame:
+    """Rows of `inputs` to rows of events, in display order, without a shuffle."""
+    ordered = F.array_sort(F.array_compact(F.array(*events)))
+    return (
+        inputs.select("client_id", "as_of_date", "utilization_pct", "projected_utilization_pct",
+                      F.posexplode(ordered).alias("_pos", "e"))
+        .select(
+            "e.event_id", "client_id", "as_of_date", "e.kind", "e.severity", "e.title", "e.message",
+            "e.threshold_pct", "utilization_pct", "projected_utilization_pct",
+            (F.col("_pos") + 1).alias("display_rank"),
+        )
     )
 
 
-def tip_events(inputs: DataFrame, recommendations: DataFrame) -> DataFrame:
-    """The top recommendation of each client as a tip."""
+def _with_tip(inputs: DataFrame, recommendations: DataFrame) -> DataFrame:
     top = recommendations.where("rank = 1 and title <> ''").select(
-        "client_id", F.col("title").alias("_title"), F.nullif(F.col("action"), F.lit("")).alias("_action")
-    )
-    event_id = stable_id(F.lit("tip"), F.col("client_id"), _day(), F.col("_title"))
-    return inputs.join(top, "client_id").select(
-        *_event("tip", event_id, F.lit("info"), F.lit("Personalized tip"),
-                F.concat_ws(" — ", "_title", "_action"))
+        "client_id", F.col("title").alias("tip_title"), F.nullif(F.col("action"), F.lit("")).alias("tip_action")
     )
+    return inputs.join(top, "client_id", "left")
+
+
+def threshold_events(inputs: DataFrame, thresholds=ALERT_THRESHOLDS) -> DataFrame:
+    """An event per threshold that spend or projection has reached."""
+    return _expand(inputs, [_threshold_event(t) for t in thresholds])
+
+
+def overspend_events(inputs: DataFrame) -> DataFrame:
+    """A critical warning where the forecast is above the limit."""
+    return _expand(inputs, [_overspend_event()])
+
+
+def runway_events(inputs: DataFrame) -> DataFrame:
+    """Short runway, for clients without an overspend warning."""
+    return _expand(inputs, [_runway_event()])
+
+
+def tip_events(inputs: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """The top recommendation of each client as a tip."""
+    return _expand(_with_tip(inputs, recommendations), [_tip_event()])
 
 
 def notifications(
@@ -168,21 +202,15 @@ def notifications(
     thresholds=ALERT_THRESHOLDS,
     channels=ALERT_CHANNELS,
 ) -> DataFrame:
-    """All events with their display order per client: severity, threshold, kind, title."""
-    events = (
-        threshold_events(inputs, thresholds)
-        .unionByName(overspend_events(inputs))
-        .unionByName(runway_events(inputs))
-    )
+    """All events of every client, ordered by severity, threshold, kind and title.
+
+    Each input row yields its events in place, so inputs and recommendations are computed once.
+    """
+    events = [*[_threshold_event(t) for t in thresholds], _overspend_event(), _runway_event()]
     if recommendations is not None:
-        events = events.unionByName(tip_events(inputs, recommendations))
-    severity = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    order = Window.partitionBy("client_id").orderBy(
-        severity, F.coalesce("threshold_pct", F.lit(0.0)).desc(), "kind", "title"
-    )
-    return events.withColumn("channels", F.array(*[F.lit(c) for c in channels])).withColumn(
-        "display_rank", F.row_number().over(order)
-    )
+        inputs = _with_tip(inputs, recommendations)
+        events.append(_tip_event())
+    return _expand(inputs, events).withColumn("channels", F.array(*[F.lit(c) for c in channels]))
 
 
 def channel_events(events: DataFrame) -> DataFrame:

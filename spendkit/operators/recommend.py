@@ -67,8 +67,9 @@ def top_category_merchants(
 ) -> DataFrame:
     """Every category of a client, ranked by spend from 1, with its top merchant.
 
-    The transactions are read and aggregated once, to client, category and merchant. Merchants
-    that are missing count for the category but cannot be its top merchant.
+    The transactions are read once and go through two aggregates: client, category and merchant,
+    then client and category, which picks the top merchant on the way. Rows without a merchant
+    count for the category but cannot be its top merchant.
     """
     rows = lookback(tx, as_of, lookback_days)
     if discretionary_only:
@@ -86,24 +87,25 @@ def top_category_merchants(
         first_known("merchant_city"),
         first_known("merchant_state"),
     )
-    by_category = Window.partitionBy("client_id", "category")
+    spent, merchant = F.col("merchant_spend_usd"), F.col("merchant_id")
+    best = F.when(merchant.isNotNull() & (spent > 0), F.struct(-spent, merchant))
+    top = F.struct("merchant_id", "merchant_city", "merchant_state", "merchant_spend_usd")
     categories = merchants.groupBy("client_id", "category").agg(
-        F.sum("merchant_spend_usd").alias("category_spend_usd")
+        F.sum(spent).alias("category_spend_usd"), F.min_by(top, best).alias("_top")
     )
     order = Window.partitionBy("client_id").orderBy(F.col("category_spend_usd").desc(), "category")
-    categories = categories.withColumn("category_rank", F.row_number().over(order)).where("category_spend_usd > 0")
-    top = best_rows(
-        merchants.where("merchant_id is not null"),
-        ["client_id", "category"],
-        [F.col("merchant_spend_usd").desc(), F.col("merchant_id")],
-    ).where("merchant_spend_usd > 0")
     months = max(lookback_days / 30.0, 1.0)
-    return categories.join(top, ["client_id", "category"]).withColumns(
-        {
-            "merchant_share_of_category": ratio(F.col("merchant_spend_usd"), F.col("category_spend_usd")),
-            "lookback_days": F.lit(lookback_days),
-            "estimated_monthly_savings_usd": F.col("merchant_spend_usd").cast("double") / months * CUTBACK_SHARE,
-        }
+    return (
+        categories.withColumn("category_rank", F.row_number().over(order))
+        .where((F.col("category_spend_usd") > 0) & F.col("_top.merchant_id").isNotNull())
+        .select("client_id", "category", "category_spend_usd", "category_rank", "_top.*")
+        .withColumns(
+            {
+                "merchant_share_of_category": ratio(spent, F.col("category_spend_usd")),
+                "lookback_days": F.lit(lookback_days),
+                "estimated_monthly_savings_usd": spent.cast("double") / months * CUTBACK_SHARE,
+            }
+        )
     )
 
 

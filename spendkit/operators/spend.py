@@ -176,17 +176,20 @@ def mtd_or_lifetime_spend(tx: DataFrame, as_of: AsOf) -> DataFrame:
 def monthly_category_trend(tx: DataFrame, top_n: int = 8) -> DataFrame:
     """Monthly spend of each client's top categories.
 
-    The transactions are read once: months are summed first, and the ranking of the categories
-    is taken from those sums.
+    The transactions are read once. The windows run over the monthly sums, one row per client, month
+    and category.
     """
     monthly = _total(
         dated_spend(tx), month_label(F.col("transaction_dt")).alias("month"), "category"
     )
-    totals = monthly.groupBy("client_id", "category").agg(F.sum("spend_usd").alias("_life"))
-    top = best_rows(totals, ["client_id"], [F.col("_life").desc(), F.col("category")], top_n)
-    top = top.select(F.col("client_id").alias("_client"), F.col("category").alias("_category"))
-    same = (F.col("client_id") == F.col("_client")) & F.col("category").eqNullSafe(F.col("_category"))
-    return monthly.join(top, same, "left_semi")
+    life = F.sum("spend_usd").over(Window.partitionBy("client_id", "category"))
+    order = _per_client().orderBy(F.col("_life").desc(), F.col("category"))
+    return (
+        monthly.withColumn("_life", life)
+        .withColumn("_rank", F.dense_rank().over(order))
+        .where(F.col("_rank") <= top_n)
+        .drop("_life", "_rank")
+    )
 
 
 VIEW_COLUMNS = (

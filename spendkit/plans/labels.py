@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..operators import labeling
+from ..session import cut_lineage
 from .registry import big, dbl, query
 from .views import Views
 
@@ -12,16 +15,34 @@ CALLS = 20
 
 
 class Run:
-    """One labelling run over the views, step by step."""
+    """One labelling run over the views, step by step.
+
+    Profiles and batches are stored once, as a real run does; the steps after them read that and
+    not the transactions.
+    """
 
     def __init__(self, v: Views):
-        rows = labeling.label_rows(labeling.merchant_profiles(v.tx()))
         self.tx = v.tx()
+        self.profiles = cut_lineage(labeling.merchant_profiles(self.tx))
+        rows = labeling.label_rows(self.profiles)
         self.cache = v.label_cache(rows)
         self.looked_up = labeling.cache_lookup(rows, self.cache)
-        self.batches = labeling.label_batches(self.looked_up, max_calls=CALLS)
-        self.answers = labeling.parse_responses(v.responses(self.batches))
-        self.resolved = labeling.resolve_labels(self.batches, self.answers)
+        self.v = v
+
+    @cached_property
+    def batches(self):
+        return cut_lineage(labeling.label_batches(self.looked_up, max_calls=CALLS))
+
+    @cached_property
+    def answers(self):
+        return labeling.parse_responses(self.v.responses(self.batches))
+
+    @cached_property
+    def resolved(self):
+        return labeling.resolve_labels(self.batches, self.answers)
+
+    def by_profile(self):
+        return labeling.profile_labels(self.profiles, self.resolved)
 
     def labelled(self):
         return labeling.transaction_labels(self.tx, self.resolved, model="stand-in")
@@ -100,7 +121,7 @@ def category_overlay(v: Views):
            count(*) FILTER (category_llm IS NOT NULL AND rule <> 'Other/Uncategorized') AS mcc_agreement_sample
     FROM labelled""")
 def categorization_report(v: Views):
-    return labeling.labelling_report(Run(v).labelled())
+    return labeling.labelling_report(Run(v).by_profile())
 
 
 @query("labelling_counters", """
@@ -116,14 +137,14 @@ def labelling_counters(v: Views):
     SELECT category, count(*) AS transactions, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS share_pct
     FROM labelled GROUP BY 1""")
 def category_mix(v: Views):
-    return labeling.category_mix(Run(v).labelled())
+    return labeling.category_mix(Run(v).by_profile())
 
 
 @query("label_source_mix", """
     SELECT source, count(*) AS transactions, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS share_pct
     FROM labelled GROUP BY 1""")
 def label_source_mix(v: Views):
-    return labeling.label_source_mix(Run(v).labelled())
+    return labeling.label_source_mix(Run(v).by_profile())
 
 
 @query("distinct_merchants", """
