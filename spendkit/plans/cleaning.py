@@ -156,10 +156,11 @@ def extract_amount(v: Views):
     return v.questions().select("question_id", money.first_amount(F.col("question")).alias("purchase_usd"))
 
 
-@query("dedupe_transactions", "SELECT id, date, client_id, amount, merchant_id, l_partkey, l_suppkey, copies FROM first_tx")
+@query("dedupe_transactions", """
+    SELECT id, date, client_id, amount, merchant_id, l_partkey, l_suppkey, l_extendedprice, copies FROM first_tx""")
 def dedupe_transactions(v: Views):
-    columns = ["id", "date", "client_id", "amount", "merchant_id", "l_partkey", "l_suppkey"]
-    return cleaning.dedupe_by_id(v.raw_tx().select(*columns), RAW_ORDER).withColumn("amount", F.col("amount"))
+    columns = ["id", "date", "client_id", "amount", "merchant_id", *RAW_ORDER]
+    return cleaning.dedupe_by_id(v.raw_tx().select(*columns), RAW_ORDER)
 
 
 @query("mcc_enrich", """

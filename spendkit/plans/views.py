@@ -15,7 +15,7 @@ from ..operators.labeling import cache_key, with_rule_category
 
 AS_OF = "2000-06-15"
 EVENTS_AS_OF = "2024-01-20"
-RAW_ORDER = ["l_partkey", "l_suppkey"]
+RAW_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice"]
 
 _BY_BRAND = {
     "Brand#7": ("5968", "Subscription Services"),
@@ -119,7 +119,7 @@ class Views:
             F.when(~F.col("is_online"), " ny ").alias("merchant_state"),
             F.concat(_text(F.col("l_suppkey") + 10000), F.lit(".0")).alias("zip"),
             F.concat(code, F.lit(".0")).alias("mcc"),
-            "errors", "l_partkey", "l_suppkey",
+            "errors", "l_partkey", "l_suppkey", "l_extendedprice",
         )
 
     def mcc(self) -> DataFrame:
@@ -319,7 +319,7 @@ VIEW_SQL = {
                l_linestatus = 'O' AS is_online,
                CASE WHEN l_linestatus = 'O' THEN 'Online Transaction' ELSE 'Swipe Transaction' END AS use_chip,
                CASE WHEN l_returnflag = 'A' THEN 'Bad PIN' END AS errors,
-               l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, p_size, p_type
+               l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, p_size, p_type
         FROM lineitem
         JOIN orders ON l_orderkey = o_orderkey
         JOIN part ON l_partkey = p_partkey
@@ -368,11 +368,11 @@ VIEW_SQL = {
                CASE WHEN NOT is_online THEN ' ny ' END AS merchant_state,
                (10000 + l_suppkey) || '.0' AS zip,
                CASE WHEN p_type = 'PROMO' AND p_size <= 25 THEN 'n1a.0' ELSE mcc_code || '.0' END AS mcc,
-               errors, l_partkey, l_suppkey
+               errors, l_partkey, l_suppkey, l_extendedprice
         FROM tx""",
     "first_tx": """
         SELECT * EXCLUDE (rn) FROM (
-          SELECT *, row_number() OVER (PARTITION BY id ORDER BY l_partkey, l_suppkey) AS rn,
+          SELECT *, row_number() OVER (PARTITION BY id ORDER BY l_partkey, l_suppkey, l_extendedprice) AS rn,
                  count(*) OVER (PARTITION BY id) AS copies FROM raw_tx) WHERE rn = 1""",
     "parsed_tx": """
         SELECT id, CAST(CASE WHEN date <> 'bad' THEN date END AS TIMESTAMP) AS transaction_dt, client_id, card_id,

@@ -12,10 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import null_tokens
 from ..operators.cleaning import clean_transactions, standardise
 from ..schemas import RAW_TRANSACTIONS
+from ..sources.readers import SOURCE_ORDER
 from ..sources.writers import assert_no_pii
 
-ORDER = ["source_file", "source_row"]
-
 
 def clean_stream(
     spark: SparkSession,
@@ -41,7 +40,7 @@ def clean_stream(
         .select(
             *[null_tokens(F.col(c)).alias(c) for c in RAW_TRANSACTIONS.fieldNames()],
             F.col("_metadata.file_path").alias("source_file"),
-            F.monotonically_increasing_id().alias("source_row"),
+            F.col("_metadata.file_block_start").alias("source_block"),
         )
     )
 
@@ -50,7 +49,8 @@ def clean_stream(
         schema = "id string, batch long"
         old = session.read.schema(schema).parquet(ids) if number else session.createDataFrame([], schema)
         seen = old.where(F.col("batch") < number).select("id")
-        clean = clean_transactions(batch, mcc, cards, users, ORDER, seen=seen)
+        rows = batch.withColumn("source_row", F.monotonically_increasing_id())
+        clean = clean_transactions(rows, mcc, cards, users, SOURCE_ORDER, seen=seen)
         _put(assert_no_pii(clean), enriched, number)
         _put(standardise(batch).select("id").distinct(), ids, number)
 

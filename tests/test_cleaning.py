@@ -1,0 +1,105 @@
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from spendkit.operators import cleaning, quality
+from spendkit.schemas import ENRICHED, RAW_TRANSACTIONS
+
+SCHEMA = "n int, " + ", ".join(f"{c} string" for c in RAW_TRANSACTIONS.fieldNames())
+
+
+def raw_row(n, id_, date="2010-01-01 00:07:00", amount="$10.00", mcc="5812.0", card="c1", client="1", city="Bronx", chip="Swipe Transaction"):
+    return (n, id_, date, client, card, amount, chip, "m1", city, " ny ", "10464.0", mcc, None)
+
+
+@pytest.fixture(scope="module")
+def dims(spark):
+    users = spark.createDataFrame(
+        [("1", "33", "$1,755 ", "1 Main St"), ("2", "44", None, "2 Main St")],
+        "id string, current_age string, monthly_discretionary_limits string, address string",
+    )
+    cards = spark.createDataFrame(
+        [("c1", "1", "Visa", "YES", "$19110", "4000", "123", "No")],
+        "id string, client_id string, card_brand string, has_chip string, credit_limit string, card_number string, cvv string, card_on_dark_web string",
+    )
+    mcc = spark.createDataFrame([("5812", "Eating Places and Restaurants")], "mcc_code string, mcc_description string")
+    return dict(mcc=mcc, cards=cleaning.prepare_cards(cards), users=cleaning.prepare_users(users))
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    return spark.createDataFrame(
+        [
+            raw_row(0, "a", amount="bad"),           # first copy, invalid
+            raw_row(1, " a "),                       # later valid copy is lost
+            raw_row(2, "b", date="2010-02-30 00:00:00"),
+            raw_row(3, "c", mcc="abc", card="zz"),
+            raw_row(4, "d", client="2", city="  ONLINE  "),
+            raw_row(5, None), raw_row(6, "  "),      # null ids count as one
+            raw_row(7, "e", amount="bad", date="bad"),
+        ],
+        SCHEMA,
+    )
+
+
+def test_clean(raw, dims):
+    out = cleaning.clean_transactions(raw, order_by=["n"], **dims)
+    assert out.columns == ENRICHED.fieldNames()
+    assert dict(out.dtypes)["amount_usd"] == "decimal(18,2)"
+    rows = {r.id: r for r in out.collect()}
+    assert set(rows) == {"c", "d", None}
+    assert rows["c"].mcc_code is None and rows["c"].mcc_description == "UNKNOWN_MCC"
+    assert rows["c"].card_brand is None
+    assert rows["d"].is_online and rows["d"].monthly_discretionary_limit_usd is None
+    row = rows[None]
+    assert (row.zip_norm, row.merchant_state, row.card_brand, row.has_chip) == ("10464", "NY", "Visa", True)
+    assert row.monthly_discretionary_limit_usd == Decimal("1755.00") and row.client_id_card == "1"
+    assert not {"address", "card_number", "cvv"} & set(out.columns)
+
+
+def test_qa_report(raw, dims):
+    row = cleaning.qa_report(raw, order_by=["n"], focus_client_id="2", **dims).first().asDict()
+    assert row == {
+        "transactions_rows_total_scanned": 8, "transactions_duplicates_dropped": 2,
+        "rows_dropped_invalid_amount": 2, "rows_dropped_invalid_date": 1, "amount_parse_failures": 2,
+        "date_parse_failures": 1, "card_join_misses": 1, "user_join_misses": 1, "mcc_missing_from_lookup": 1,
+        "focus_rows_written": 1,
+    }
+
+
+def test_qa_report_with_known_ids(spark, raw, dims):
+    seen = spark.createDataFrame([("c",), (None,)], "id string")
+    row = cleaning.qa_report(raw, order_by=["n"], seen=seen, **dims).first()
+    assert row.transactions_duplicates_dropped == 2 + 2
+    assert row.transactions_rows_total_scanned == 8
+    assert cleaning.clean_transactions(raw, order_by=["n"], seen=seen, **dims).select("id").collect()[0].id == "d"
+
+
+def test_dedupe_with_seen(spark):
+    df = spark.createDataFrame([(1, "0"), (2, "1"), (3, "1"), (4, "2")], "n int, id string")
+    out = cleaning.dedupe_by_id(df, ["n"], seen=spark.createDataFrame([("0",)], "id string"))
+    assert sorted((r.id, r.n, r.copies) for r in out.collect()) == [("1", 2, 2), ("2", 4, 1)]
+
+
+def test_dedupe_hot_id(spark):
+    """A third of the rows share one id; the first of them stays."""
+    df = spark.range(30000).select(
+        F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id")
+    ).repartition(7)
+    out = cleaning.dedupe_by_id(df, ["n"])
+    assert out.count() == 20001
+    hot = out.where("id = 'hot'").first()
+    assert (hot.n, hot.copies) == (0, 10000)
+
+
+def test_focus_sample(raw, dims):
+    out = cleaning.clean_transactions(raw, order_by=["n"], **dims)
+    assert [r.id for r in cleaning.focus_sample(out, "1", 1).collect()] == [None]
+
+
+def test_null_profile(spark):
+    df = spark.createDataFrame([(1, None), (2, "x"), (3, None)], "a int, b string")
+    rows = {r.column_name: (r.data_type, r.row_count, r.null_count) for r in quality.null_profile(df).collect()}
+    assert rows == {"a": ("int", 3, 0), "b": ("string", 3, 2)}
+    assert quality.preview(df, 2).count() == 2

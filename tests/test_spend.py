@@ -1,0 +1,135 @@
+from datetime import date
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from spendkit.operators import budget, spend
+
+
+def as_dict(df, *keys, value="spend_usd"):
+    return {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: float(r[value]) for r in df.collect()}
+
+
+def test_refunds_count_zero_and_null_amounts_go(make_tx):
+    tx = make_tx((1, "2010-01-01 10:00", 5, "m", "Dining"), (1, "2010-01-01 11:00", -7, "m", "Dining"), (1, "2010-01-01 12:00", None, "m", "Shopping"))
+    assert as_dict(spend.spend_by_category(tx), "category") == {"Dining": 5.0}
+
+
+def test_dow_counts_only_days_with_rows(make_tx):
+    tx = make_tx((1, "2010-01-04 10:00", 10, "m", "Dining"), (1, "2010-01-04 12:00", 20, "m", "Dining"), (1, "2010-01-18 12:00", 10, "m", "Dining"))
+    rows = spend.avg_daily_spend_by_dow(tx).collect()
+    assert [(r.dow, r.avg_daily_spend_usd) for r in rows] == [("Monday", 20.0)]
+    assert as_dict(spend.spend_by_dow_total(tx), "dow") == {"Monday": 40.0}
+
+
+def test_budget_stops_at_midnight(make_tx, make_limits):
+    tx = make_tx(
+        (1, "2010-01-31 23:59", 100, "m", "Dining"), (1, "2010-02-01 00:00", 1, "m", "Dining"),
+        (1, "2010-02-10 00:00", 2, "m", "Dining"), (1, "2010-02-10 00:01", 4, "m", "Dining"),
+        (1, "2010-02-11 00:00", 8, "m", "Dining"), (1, "2010-02-05 00:00", 50, "m", "Groceries"),
+    )
+    limits = make_limits(c1=10, c2=0, c3=None)
+    rows = {r.client_id: r for r in budget.budget_utilization(tx, limits, "2010-02-10").collect()}
+    assert rows[1].mtd_discretionary_spend_usd == Decimal("3.00") and rows[1].utilization_pct == 0.3
+    assert rows[1].month_start == date(2010, 2, 1)
+    assert rows[2].utilization_pct is None and rows[3].utilization_pct is None
+    whole = budget.budget_utilization(tx, limits, "2010-02-10", as_of_inclusive=True)
+    assert whole.where("client_id = 1").first().mtd_discretionary_spend_usd == Decimal("7.00")
+
+
+def test_budget_with_a_date_per_client(spark, make_tx, make_limits):
+    tx = make_tx(
+        (1, "2010-02-10 00:00", 2, "m", "Dining"), (1, "2010-02-10 00:01", 4, "m", "Dining"),
+        (2, "2010-03-01 00:00", 8, "m", "Dining"), (2, "2010-02-28 00:00", 16, "m", "Dining"),
+    )
+    as_of = spark.createDataFrame([(1, date(2010, 2, 10)), (2, date(2010, 3, 1))], "client_id long, as_of date")
+    got = as_dict(budget.budget_utilization(tx, make_limits(c1=10, c2=10), as_of), "client_id", value="mtd_discretionary_spend_usd")
+    assert got == {1: 2.0, 2: 8.0}
+    got = as_dict(budget.budget_utilization(tx, make_limits(c1=10, c2=10), as_of, as_of_inclusive=True), "client_id", value="mtd_discretionary_spend_usd")
+    assert got == {1: 6.0, 2: 8.0}
+
+
+def test_month_window_reaches_the_scan(spark, make_tx, make_limits, tmp_path):
+    make_tx((1, "2010-02-10 00:00", 2, "m", "Dining")).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = budget.budget_utilization(stored, make_limits(c1=10), "2010-02-10")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(transaction_dt,2010-02-01T00:00" in plan and "LessThanOrEqual(transaction_dt,2010-02-10T00:00" in plan
+    assert "merchant_id" not in plan.split("ReadSchema")[1]
+
+
+def test_share_with_other_bucket(make_tx):
+    tx = make_tx((1, "2010-01-01 10:00", 50, "m", "Dining"), (1, "2010-01-01 10:00", 25, "m", "Shopping"), (1, "2010-01-01 10:00", 25, "m", "Groceries"))
+    by = spend.spend_by_category(tx)
+    shares = as_dict(spend.category_share(by, 10), "category", value="share_pct")
+    assert shares == {"Dining": 50.0, "Shopping": 25.0, "Groceries": 25.0}
+    two = as_dict(spend.category_share(by, 2), "category", value="share_pct")
+    assert two == {"Dining": 50.0, "Groceries": 25.0, "Other": 25.0}
+
+
+def test_share_of_nothing(make_tx):
+    tx = make_tx((1, "2010-01-01 10:00", -5, "m", "Dining"), (1, "2010-01-01 10:00", -5, "m", "Shopping"))
+    rows = spend.category_share(spend.spend_by_category(tx), 1).collect()
+    assert sorted((r.category, r.share_pct) for r in rows) == [("Dining", 0.0), ("Shopping", 0.0)]
+    assert {r.share_pct for r in spend.category_breakdown(spend.spend_by_category(tx)).collect()} == {0.0}
+
+
+def test_trend(make_tx):
+    tx = make_tx(
+        (1, "2010-01-01 10:00", 50, "m", "Dining"), (1, "2010-02-01 10:00", -7, "m", "Dining"),
+        (1, "2010-02-01 10:00", 20, "m", "Shopping"), (1, "2010-02-01 10:00", 1, "m", "Groceries"),
+    )
+    got = as_dict(spend.monthly_category_trend(tx, 2), "month", "category")
+    assert got == {("2010-01", "Dining"): 50.0, ("2010-02", "Dining"): 0.0, ("2010-02", "Shopping"): 20.0}
+
+
+def test_mtd_falls_back_to_lifetime(make_tx):
+    tx = make_tx((1, "2010-01-01 10:00", 50, "m", "Dining"), (2, "2010-02-02 10:00", 5, "m", "Shopping"), (2, "2010-01-02 10:00", 5, "m", "Dining"))
+    rows = spend.mtd_or_lifetime_spend(tx, "2010-02-10").collect()
+    assert sorted((r.client_id, r.category, r.is_mtd) for r in rows) == [(1, "Dining", False), (2, "Shopping", True)]
+
+
+def test_top_merchants_ties_by_name(make_tx):
+    tx = make_tx(*[(1, "2010-01-01 10:00", 5, f"m{i:02d}", "Dining") for i in range(30)])
+    rows = spend.top_merchants(tx).orderBy("rank").collect()
+    assert [r.merchant_id for r in rows] == [f"m{i:02d}" for i in range(25)]
+
+
+def test_client_ids(spark):
+    users = spark.createDataFrame([("10",), ("2",), (None,), ("bad",), ("10",)], "id string")
+    assert [r.client_id for r in spend.client_ids(users).collect()] == [2, 10]
+
+
+def test_view(make_tx):
+    tx = make_tx((1, "2010-01-01 10:00", 5, "m", "Dining"), (1, "2010-01-05 00:00", 6, "m", "Dining"), (1, "2010-01-05 00:01", 7, "m", "Dining"), (1, "2010-01-02 00:01", 7, "m", "Shopping"))
+    rows = spend.transaction_view(tx, "2010-01-01", "2010-01-05", "Dining", newest_first=True).collect()
+    assert [float(r.amount_usd) for r in rows] == [6.0, 5.0]
+
+
+def test_limits(spark):
+    users = spark.createDataFrame([("1", "1000"), ("x", "5"), ("2", None)], "id string, monthly_discretionary_limits string")
+    base = budget.user_limits(users)
+    assert {r.client_id: r.monthly_discretionary_limit_usd for r in base.collect()} == {1: Decimal("1000.00"), 2: None}
+    changes = spark.createDataFrame(
+        [(1, "1234.0", 1), (2, "50", 1), (2, None, 2), (1, "oops", 3)], "client_id long, limit_usd string, seq int"
+    )
+    overrides = budget.latest_limit_overrides(changes, ["seq"])
+    assert {r.client_id: float(r.limit_usd) for r in overrides.collect()} == {1: 1234.0}
+    got = {r.client_id: (r.monthly_discretionary_limit_usd, r.is_override) for r in budget.effective_limits(base, overrides).collect()}
+    assert got == {1: (Decimal("1234.00"), True), 2: (None, False)}
+
+
+def test_baseline_limit(spark):
+    rows = spark.createDataFrame([(1, None), (1, Decimal("1000"))], "client_id long, monthly_discretionary_limit_usd decimal(18,2)")
+    assert budget.baseline_limits(rows).first()[1] == Decimal("1000.00")
+
+
+def test_date_range(make_tx):
+    tx = make_tx((1, "2010-01-01 10:00", 5, "m", "Dining"), (1, "2010-03-05 00:00", 6, "m", "Dining"))
+    assert spend.default_as_of(tx).first().as_of == date(2010, 3, 5)
+
+
+def test_source_mix(make_tx):
+    tx = make_tx((1, "2010-01-01 10:00", 5, "m", "Dining"), (1, "2010-01-01 10:00", 5, "m", "Dining"))
+    assert spend.category_source_mix(tx).first().transactions == 2
+    assert spend.category_source_share(tx).first().share == 1.0
