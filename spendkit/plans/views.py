@@ -7,6 +7,8 @@ are merchants, part types decide the MCC code. Every view covers its tables whol
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import UNKNOWN_MCC
@@ -15,6 +17,7 @@ from ..operators.labeling import cache_key, with_rule_category
 
 AS_OF = "2000-06-15"
 EVENTS_AS_OF = "2024-01-20"
+SPREAD_BELOW = 256 * 1024 * 1024
 RAW_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice"]
 
 _BY_BRAND = {
@@ -51,6 +54,12 @@ def _money(c: Column) -> Column:
     return c.cast("decimal(18,2)")
 
 
+@lru_cache(maxsize=64)
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the stored files, from their listing; no content is read."""
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+
+
 class Views:
     """Lazy views over one folder of parquet tables."""
 
@@ -60,10 +69,21 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table, dealt out over the cores if it is small.
+
+        A small file is one row group and would be read, joined and sorted by one task. Tables from
+        256 MB on come in enough row groups and are taken as they are.
+        """
+        rows = self.table(name)
+        if stored_bytes(self.spark, f"{self.sf_dir}/{name}.parquet") >= SPREAD_BELOW:
+            return rows
+        return rows.repartition(self.spark.sparkContext.defaultParallelism, key)
+
     def lines(self, place: bool = True) -> DataFrame:
         """Order lines with client and part; `place=False` leaves the merchant's city out."""
         rows = (
-            self.table("lineitem")
+            self.spread("lineitem", "l_orderkey")
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         )
