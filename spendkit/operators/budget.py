@@ -50,6 +50,15 @@ def effective_limits(baseline: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
+def budget_records(budget: DataFrame, source_mix: DataFrame) -> DataFrame:
+    """Budget rows with the row counts per label source as a map. Only for the sink."""
+    entries = F.sort_array(F.collect_list(F.struct("category_source", "transactions")))
+    mix = source_mix.where("category_source is not null").groupBy("client_id").agg(
+        F.map_from_entries(entries).alias("category_source_mix")
+    )
+    return budget.join(mix, "client_id", "left")
+
+
 def budget_utilization(
     tx: DataFrame,
     limits: DataFrame,

@@ -192,6 +192,25 @@ def monthly_category_trend(tx: DataFrame, top_n: int = 8) -> DataFrame:
     )
 
 
+def spending_patterns(tx: DataFrame, merchants: int = 25) -> DataFrame:
+    """One nested record per client: total, months, weekdays and top merchants.
+
+    Only for the sink. The lists hold one entry per month, per weekday and per top merchant.
+    """
+
+    def packed(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        entries = F.sort_array(F.collect_list(F.struct(key, F.col(value).cast("double"))))
+        return df.groupBy("client_id").agg(F.map_from_entries(entries).alias(name))
+
+    months = packed(spend_by_month(tx), "month", "spend_usd", "by_month_usd")
+    days = packed(avg_daily_spend_by_dow(tx), "dow", "avg_daily_spend_usd", "avg_daily_spend_by_day_of_week_usd")
+    entry = F.struct("rank", "merchant_id", "merchant_city", "merchant_state", F.col("spend_usd").cast("double").alias("spend_usd"))
+    top = top_merchants(tx, merchants).groupBy("client_id").agg(
+        F.sort_array(F.collect_list(entry)).alias("top_merchants_usd")
+    )
+    return total_spend(tx).join(months, "client_id").join(days, "client_id").join(top, "client_id")
+
+
 VIEW_COLUMNS = (
     "client_id", "transaction_dt", "amount_usd", "category", "category_source", "merchant_city",
     "merchant_state", "mcc_code", "mcc_description", "use_chip",

@@ -54,6 +54,12 @@ def _money(c: Column) -> Column:
     return c.cast("decimal(18,2)")
 
 
+@lru_cache(maxsize=64)
+def stored_table(spark: SparkSession, path: str) -> DataFrame:
+    """A lazy read; the file footer is looked at once per table and not once per use."""
+    return spark.read.parquet(path)
+
+
 @lru_cache(maxsize=64)
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Size of the stored files, from their listing; no content is read."""
@@ -67,7 +73,7 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return stored_table(self.spark, f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, name: str, key: str) -> DataFrame:
         """A table, dealt out over the cores if it is small.
@@ -274,17 +280,12 @@ class Views:
         """Feedback on every item that a client's transactions could lead to."""
         rows = self.categorised().where("merchant_id is not null")
         status = F.when(F.col("l_returnflag") == "R", "dismissed").otherwise("accepted")
-        cutback = rows.select(
-            "client_id",
-            stable_id(F.lit("cutback_top_category_merchant"), F.col("client_id"), F.col("category"), F.col("merchant_id")).alias("rec_id"),
-            status.alias("status"), "transaction_dt", "id",
-        )
-        subscription = rows.select(
-            "client_id",
-            stable_id(F.lit("recurring_subscription"), F.col("client_id"), F.col("merchant_id")).alias("rec_id"),
-            status.alias("status"), "transaction_dt", "id",
+        client, merchant = F.col("client_id"), F.col("merchant_id")
+        ids = F.array(
+            stable_id(F.lit("cutback_top_category_merchant"), client, F.col("category"), merchant),
+            stable_id(F.lit("recurring_subscription"), client, merchant),
         )
-        return cutback.unionByName(subscription)
+        return rows.select("client_id", F.explode(ids).alias("rec_id"), status.alias("status"), "transaction_dt", "id")
 
     def questions(self) -> DataFrame:
         """One question per order, of five kinds."""
