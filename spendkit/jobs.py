@@ -10,7 +10,10 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .constants import LABEL_CALL_CAP
 from .operators import budget, cleaning, coach, forecast, labeling, notify, recommend, spend
+from .schemas import LABEL_CACHE
+from .session import cut_lineage
 from .sources import readers, writers
 
 
@@ -39,6 +42,43 @@ def load(spark: SparkSession, enriched: str, labels: str | None = None, client_i
     return labeling.overlay_labels(tx, latest)
 
 
+def request_labels(
+    spark: SparkSession, enriched: str, out: str, cache: str | None = None, max_calls: int | None = LABEL_CALL_CAP
+) -> None:
+    """Merchant profiles, the batches cut from them and the requests to send, as tables."""
+    tx = readers.read_enriched(spark, enriched)
+    labeling.merchant_profiles(tx).write.mode("overwrite").parquet(f"{out}/merchant_profiles")
+    rows = labeling.label_rows(spark.read.parquet(f"{out}/merchant_profiles"))
+    batches = labeling.label_batches(labeling.cache_lookup(rows, _cache(spark, cache)), max_calls=max_calls)
+    batches.write.mode("overwrite").parquet(f"{out}/label_batches")
+    requests = labeling.label_requests(spark.read.parquet(f"{out}/label_batches"))
+    requests.write.mode("overwrite").parquet(f"{out}/label_requests")
+
+
+def apply_labels(
+    spark: SparkSession, enriched: str, out: str, responses: DataFrame, next_cache: str,
+    cache: str | None = None, model: str | None = None,
+) -> None:
+    """Answers to labels per transaction, the next cache (a new folder) and the reports."""
+    batches = spark.read.parquet(f"{out}/label_batches")
+    resolved = cut_lineage(labeling.resolve_labels(batches, labeling.parse_responses(responses)))
+    labeling.next_cache(_cache(spark, cache), resolved).write.mode("overwrite").parquet(next_cache)
+    tx = readers.read_enriched(spark, enriched)
+    labels = labeling.transaction_labels(tx, resolved, model).where("category is not null")
+    writers.write_json(labels, f"{out}/transaction_categories")
+    by_profile = labeling.profile_labels(spark.read.parquet(f"{out}/merchant_profiles"), resolved)
+    report = labeling.labelling_report(by_profile)
+    counters = labeling.run_counters(batches, resolved).first().asDict()
+    report = report.select("*", *[F.lit(v).alias(k) for k, v in counters.items()])
+    writers.write_report(report, f"{out}/categorization_report")
+    writers.write_json(labeling.category_mix(by_profile), f"{out}/category_mix")
+    writers.write_json(labeling.label_source_mix(by_profile), f"{out}/label_source_mix")
+
+
+def _cache(spark: SparkSession, path: str | None) -> DataFrame:
+    return spark.read.parquet(path) if path else spark.createDataFrame([], LABEL_CACHE)
+
+
 def train(spark: SparkSession, enriched: str, users: str, out: str, cutoff: date | str | None = None) -> forecast.MonthEndModel:
     """Fit the month-end model on all clients and store its weights and metrics."""
     limits = budget.user_limits(readers.read_users(spark, users))

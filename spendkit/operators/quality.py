@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """One row per column: type, rows, null count. One pass, whatever the number of columns."""
+    """One row per column: type, rows, null count, most nulls first. One pass, whatever the number of columns."""
     counts = df.agg(
         F.count("*").alias("_rows"),
         *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns],
@@ -20,6 +20,7 @@ def null_profile(df: DataFrame) -> DataFrame:
             F.col("_rows").alias("row_count"),
             "null_count",
         )
+        .orderBy(F.col("null_count").desc(), "column_name")
     )
 
 

@@ -79,6 +79,16 @@ LABELS = T.StructType(
     ]
 )
 
+LABEL_CACHE = T.StructType(
+    [
+        T.StructField("cache_key", T.StringType()),
+        T.StructField("category_final", T.StringType()),
+        T.StructField("category_llm", T.StringType()),
+        T.StructField("confidence", T.DoubleType()),
+        T.StructField("source", T.StringType()),
+    ]
+)
+
 EVENTS = T.StructType(
     [
         T.StructField("event_id", T.StringType()),

@@ -20,6 +20,7 @@ SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     # The JVM does not compile methods above 8000 bytes; past that, operators run one by one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

@@ -76,3 +76,52 @@ def test_analytics_tables(spark, stored, tmp_path):
     record = spark.read.parquet(str(tmp_path / "budget_utilization")).where("client_id = 1").first()
     assert record.category_source_mix == {"mcc": 360} and str(record.run_date) == "2010-04-20"
     assert len(record.discretionary_categories) == 5
+
+
+def test_labelling_run(spark, stored, tmp_path):
+    from spendkit.operators import labeling
+
+    def label(payload):
+        rows = json.loads(payload)["transactions"]
+        return json.dumps({"results": [
+            {"id": r["id"], "category": "Travel" if r["mcc_code"] == "5311" else "Dining", "confidence": 0.9} for r in rows
+        ]})
+
+    def fail(payload):
+        raise RuntimeError("quota")
+
+    enriched, out = str(stored / "out" / "enriched"), str(tmp_path / "l")
+    jobs.request_labels(spark, enriched, out)
+    requests = spark.read.parquet(f"{out}/label_requests")
+    assert [r.n_transactions for r in requests.collect()] == [3]
+
+    failed = labeling.call_labeler(requests, fail)
+    assert [r.payload for r in failed.collect()] == [None]
+    jobs.apply_labels(spark, enriched, out, failed, str(tmp_path / "cache0"))
+    report = spark.read.json(f"{out}/categorization_report").first()
+    assert report.degraded_run and report.calls_made == report.call_failures == 1 and report.coverage_pct == 100.0
+    assert spark.read.parquet(str(tmp_path / "cache0")).count() == 0
+
+    jobs.apply_labels(spark, enriched, out, labeling.call_labeler(requests, label), str(tmp_path / "cache1"), model="stub")
+    labels = spark.read.json(f"{out}/transaction_categories")
+    assert {(r.category, r.source, r.model, r["count"]) for r in labels.groupBy("category", "source", "model").count().collect()} == {
+        ("Travel", "llm", "stub", 240), ("Dining", "llm", "stub", 480)}
+    assert spark.read.parquet(str(tmp_path / "cache1")).count() == 3
+    tx = jobs.load(spark, enriched, f"{out}/transaction_categories")
+    assert tx.where("category = 'Travel' and is_discretionary").count() == 240
+
+    jobs.request_labels(spark, enriched, out, cache=str(tmp_path / "cache1"))
+    assert spark.read.parquet(f"{out}/label_requests").count() == 0
+
+
+def test_chat_model(spark):
+    from spendkit.operators import coach
+
+    rows = spark.createDataFrame([(1, "ok"), (2, "bad")], "client_id long, payload string")
+
+    def chat(payload):
+        if payload == "bad":
+            raise RuntimeError("down")
+        return payload.upper()
+
+    assert {r.client_id: r.answer for r in coach.model_replies(rows, chat).collect()} == {1: "OK", 2: None}
