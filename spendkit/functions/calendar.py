@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-STAMP = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
+from .text import collapse_blanks
+
+STAMP = r"^(\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2})$"
 
 
 def parse_timestamp(c: Column) -> Column:
-    """`2010-01-01 00:07:00`; other shapes and impossible dates become null."""
-    return F.when(c.rlike(STAMP), c).try_cast("timestamp_ntz")
+    """`2010-01-01 00:07:00`; other shapes and impossible dates become null.
+
+    The text is used once in the expression, so a filter on the result does not clean it twice.
+    """
+    return F.regexp_extract(collapse_blanks(c), STAMP, 1).try_cast("timestamp_ntz")
 
 
 def month_label(c: Column) -> Column:

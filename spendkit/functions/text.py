@@ -15,9 +15,14 @@ def null_tokens(c: Column) -> Column:
     return F.when(~c.isin(*NULL_TOKENS), c)
 
 
+def collapse_blanks(c: Column) -> Column:
+    """Strip, collapse inner blanks to one space."""
+    return F.trim(F.regexp_replace(c, BLANKS, " "))
+
+
 def clean_text(c: Column) -> Column:
     """Strip, collapse inner blanks to one space, empty becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(c, BLANKS, " ")), F.lit(""))
+    return F.nullif(collapse_blanks(c), F.lit(""))
 
 
 def _cleaned(c: Column, clean: bool) -> Column:
