@@ -67,6 +67,7 @@ def apply_labels(
     labels = labeling.transaction_labels(tx, resolved, model).where("category is not null")
     writers.write_json(labels, f"{out}/transaction_categories")
     by_profile = labeling.profile_labels(spark.read.parquet(f"{out}/merchant_profiles"), resolved)
+    writers.write_json(by_profile, f"{out}/profile_labels")
     report = labeling.labelling_report(by_profile)
     counters = labeling.run_counters(batches, resolved).first().asDict()
     report = report.select("*", *[F.lit(v).alias(k) for k, v in counters.items()])

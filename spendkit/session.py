@@ -16,7 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     # The JVM does not compile methods above 8000 bytes; past that, operators run one by one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -42,6 +41,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     (local tests), because on a cluster every executor must reach the files.
     """
     spark = df.sparkSession
-    if not spark.conf.get(CHECKPOINT_KEY, None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendkit-checkpoint-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get(CHECKPOINT_KEY, None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spendkit-checkpoint-"))
     return df.checkpoint(eager=True)

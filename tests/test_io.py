@@ -185,3 +185,23 @@ def test_report_fields_are_sorted(spark, tmp_path):
     writers.write_report(spark.createDataFrame([(1, 2)], "b int, a int"), str(tmp_path / "r"))
     text = next((tmp_path / "r").glob("*.json")).read_text().strip()
     assert text == '{"a":2,"b":1}'
+
+
+def test_files_hold_ranges_of_clients(spark, tmp_path):
+    """A hot client is cut over files; the others sit in few files."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 200)).alias("client_id"),
+        (F.lit("2010-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("transaction_dt"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_enriched(df, str(tmp_path / "e"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per_file = spark.read.parquet(str(tmp_path / "e")).groupBy(F.input_file_name().alias("f"), "client_id").count()
+    files = {r.client_id: r.n for r in per_file.groupBy("client_id").agg(F.count("*").alias("n")).collect()}
+    assert files["hot"] > 1 and max(n for c, n in files.items() if c != "hot") <= 2
+    assert per_file.agg(F.max("count")).first()[0] < 1334
