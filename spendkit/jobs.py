@@ -33,9 +33,21 @@ def clean(
     writers.write_report(cleaning.qa_report(**inputs, focus_client_id=focus_client_id), f"{out}/qa_report")
 
 
-def load(spark: SparkSession, enriched: str, labels: str | None = None, client_id: int | None = None) -> DataFrame:
-    """Enriched transactions with their categories: labels where there are some, else the MCC rule."""
+def load(
+    spark: SparkSession, enriched: str, labels: str | None = None, client_id: int | None = None,
+    profile_labels: str | None = None,
+) -> DataFrame:
+    """Enriched transactions with their categories: labels where there are some, else the MCC rule.
+
+    `labels` holds labels per transaction, `profile_labels` those per profile of `apply_labels`. The
+    second is the cheaper one: it needs no shuffle of the transactions by id.
+    """
     tx = readers.read_enriched(spark, enriched, client_id)
+    if profile_labels is not None:
+        stored = spark.read.parquet(profile_labels)
+        return labeling.overlay_profile_labels(
+            tx, stored.select(F.col("profile_id").alias("id"), F.col("category").alias("category_final"), "source")
+        )
     if labels is None:
         return labeling.with_rule_category(tx)
     latest = labeling.latest_labels(readers.read_labels(spark, labels, client_id), readers.SOURCE_ORDER)
@@ -67,7 +79,7 @@ def apply_labels(
     labels = labeling.transaction_labels(tx, resolved, model).where("category is not null")
     writers.write_json(labels, f"{out}/transaction_categories")
     by_profile = labeling.profile_labels(spark.read.parquet(f"{out}/merchant_profiles"), resolved)
-    writers.write_json(by_profile, f"{out}/profile_labels")
+    writers.assert_no_pii(by_profile).write.mode("overwrite").parquet(f"{out}/profile_labels")
     report = labeling.labelling_report(by_profile)
     counters = labeling.run_counters(batches, resolved).first().asDict()
     report = report.select("*", *[F.lit(v).alias(k) for k, v in counters.items()])

@@ -7,6 +7,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.calendar import midnight
 from ..session import cut_lineage
 
 AsOf = date | str | DataFrame
@@ -36,6 +37,18 @@ def with_as_of(df: DataFrame, as_of: AsOf) -> DataFrame:
     return df.withColumn("as_of", day_literal(as_of))
 
 
+def between_days(rows: DataFrame, as_of: AsOf, first: Column, until: Column) -> DataFrame:
+    """Rows of `transaction_dt` from the first instant of day `first` as long as `until` holds.
+
+    Needs column `as_of`. With one date for all clients, a table stored by `tx_month` is pruned to
+    the months in question.
+    """
+    if "tx_month" in rows.columns and not isinstance(as_of, DataFrame):
+        last = F.date_format(F.col("as_of"), "yyyy-MM")
+        rows = rows.where(F.col("tx_month").between(F.date_format(first, "yyyy-MM"), last))
+    return rows.where((F.col("transaction_dt") >= midnight(first)) & until)
+
+
 SALTS = 32
 
 

@@ -259,6 +259,8 @@ def score_clients(
     """
     if not isinstance(as_of, DataFrame):
         tx = tx.where(F.col("transaction_dt") < next_midnight(day_literal(as_of)))
+        if "tx_month" in tx.columns:
+            tx = tx.where(F.col("tx_month") <= month_label(day_literal(as_of)))
     daily = with_as_of(daily_discretionary(tx, category), as_of).where("day <= as_of").drop("as_of")
     samples = training_samples(daily, limits)
     latest = feature_row_as_of(samples, as_of)

@@ -18,7 +18,7 @@ from ..functions.calendar import midnight, month_label
 from ..functions.category import is_subscription
 from ..functions.identity import stable_id
 from ..functions.money import money_label, percent_label, ratio
-from .common import AsOf, best_rows, ranked, require_columns, with_as_of_salted
+from .common import AsOf, best_rows, between_days, ranked, require_columns, with_as_of_salted
 from .spend import dated_spend
 
 SUBSCRIPTION_RULE = "recurring_subscription"
@@ -28,8 +28,8 @@ CUTBACK_RULE = "cutback_top_category_merchant"
 def lookback(tx: DataFrame, as_of: AsOf, days: int) -> DataFrame:
     """Spend rows from `days` before the as-of day up to its midnight."""
     rows = with_as_of_salted(dated_spend(tx), as_of)
-    moment, day = F.col("transaction_dt"), F.col("as_of")
-    return rows.where((moment >= midnight(F.date_sub(day, days))) & (moment <= midnight(day)))
+    day = F.col("as_of")
+    return between_days(rows, as_of, F.date_sub(day, days), F.col("transaction_dt") <= midnight(day))
 
 
 def recurring_merchants(

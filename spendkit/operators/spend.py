@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.calendar import midnight, month_label, month_start, next_midnight, weekday_name
 from ..functions.money import spend
-from .common import AsOf, best_rows, day_literal, ranked, with_as_of
+from .common import AsOf, between_days, day_literal, ranked, with_as_of
 
 
 def _per_client():
@@ -144,9 +144,7 @@ def month_to_date(rows: DataFrame, as_of: AsOf, *keys: str, inclusive: bool = Fa
     moment, day = F.col("transaction_dt"), F.col("as_of")
     if not isinstance(as_of, DataFrame):
         until = moment < next_midnight(day) if inclusive else moment <= midnight(day)
-        return _total(
-            with_as_of(rows, as_of).where((moment >= midnight(month_start(day))) & until), *keys
-        )
+        return _total(between_days(with_as_of(rows, as_of), as_of, month_start(day), until), *keys)
     on = F.to_date(moment)
     days = _total(rows, *keys, on.alias("_day"), (moment == midnight(on)).alias("_at_midnight"))
     last = F.lit(True) if inclusive else F.col("_at_midnight")

@@ -111,6 +111,13 @@ def category_overlay(v: Views):
     return labeling.overlay_labels(v.tx(place=False), labels).select("id", "category", "category_source", "is_discretionary")
 
 
+@query("category_overlay_by_profile", """
+    SELECT id, category, source AS category_source,
+           category IN ('Dining', 'Entertainment', 'Shopping', 'Travel', 'Subscriptions') AS is_discretionary FROM labelled""")
+def category_overlay_by_profile(v: Views):
+    return labeling.overlay_profile_labels(v.tx(), Run(v).resolved).select("id", "category", "category_source", "is_discretionary")
+
+
 @query("categorization_report", """
     SELECT count(*) AS transactions_scanned, count(category) AS transactions_categorized,
            count(*) - count(category) AS transactions_unmapped,

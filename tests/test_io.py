@@ -205,3 +205,24 @@ def test_files_hold_ranges_of_clients(spark, tmp_path):
     files = {r.client_id: r.n for r in per_file.groupBy("client_id").agg(F.count("*").alias("n")).collect()}
     assert files["hot"] > 1 and max(n for c, n in files.items() if c != "hot") <= 2
     assert per_file.agg(F.max("count")).first()[0] < 1334
+
+
+def test_month_folders_are_pruned(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.range(400).select(
+        F.col("id").cast("string").alias("id"), F.lit("1").alias("client_id"), F.lit("m").alias("merchant_id"),
+        F.lit("5812").alias("mcc_code"), F.lit("Restaurants").alias("mcc_description"), F.lit(1).cast("decimal(18,2)").alias("amount_usd"),
+        (F.lit("2010-01-01 12:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.col("id").cast("int"))).alias("transaction_dt"),
+    )
+    writers.write_enriched(df, str(tmp_path / "e"))
+    tx = labeling.with_rule_category(readers.read_enriched(spark, str(tmp_path / "e")))
+    limits = spark.createDataFrame([(1, Decimal(100))], "client_id long, monthly_discretionary_limit_usd decimal(18,2)")
+    spent = budget.budget_utilization(tx, limits, "2010-06-15")
+    assert spent.first().mtd_discretionary_spend_usd == Decimal("14.00")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    for frame, first in ((spent, "2010-06"), (recommend.recurring_merchants(tx, "2010-06-15"), "2009-12")):
+        text = frame._jdf.queryExecution().executedPlan().toString()
+        part = text.split("PartitionFilters: [")[1].split("]")[0]
+        assert f"tx_month#" in part and f">= {first}" in part and "<= 2010-06" in part
+    assert recommend.recurring_merchants(tx, "2010-06-15").first().active_months == 6

@@ -110,6 +110,10 @@ def test_labelling_run(spark, stored, tmp_path):
     tx = jobs.load(spark, enriched, f"{out}/transaction_categories")
     assert tx.where("category = 'Travel' and is_discretionary").count() == 240
 
+    cheap = jobs.load(spark, enriched, profile_labels=f"{out}/profile_labels")
+    columns = ["id", "category", "category_source", "is_discretionary"]
+    assert cheap.select(columns).exceptAll(tx.select(columns)).count() == 0 and cheap.count() == tx.count()
+
     jobs.request_labels(spark, enriched, out, cache=str(tmp_path / "cache1"))
     assert spark.read.parquet(f"{out}/label_requests").count() == 0
 
