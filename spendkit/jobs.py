@@ -6,6 +6,7 @@ what the one before it wrote.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -131,16 +132,34 @@ def alerts(
     as_of: date | str,
     model: forecast.MonthEndModel,
     feedback: DataFrame | None = None,
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, table: table,
 ) -> dict[str, DataFrame]:
-    """Budget, forecast, recommendations, events and coach context for one as-of date, all lazy."""
-    spent = budget.budget_utilization(tx, limits, as_of)
-    runway = forecast.score_clients(tx, limits, as_of, model)
-    advice = recommend.recommendations(tx, as_of, feedback)
+    """Budget, forecast, recommendations, events and coach context for one as-of date.
+
+    All lazy, unless `keep` stores a table and hands back what it stored.
+    """
+    spent = keep("budget", budget.budget_utilization(tx, limits, as_of))
+    runway = keep("runway", forecast.score_clients(tx, limits, as_of, model))
+    advice = keep("recommendations", recommend.recommendations(tx, as_of, feedback))
     scored = runway.where("status = 'scored'")
+    inputs = notify.notification_inputs(spent, scored)
     return {
         "budget": spent,
         "runway": runway,
         "recommendations": advice,
-        "events": notify.notifications(notify.notification_inputs(spent, scored), advice),
-        "coach_context": coach.coach_context(spent, scored),
+        "events": keep("events", notify.notifications(inputs, advice)),
+        "coach_context": keep("coach_context", coach.coach_context(spent, scored)),
     }
+
+
+def store_alerts(
+    tx: DataFrame, limits: DataFrame, as_of: date | str, model: forecast.MonthEndModel, out: str,
+    feedback: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """`alerts`, each table written once and read back by the steps after it."""
+
+    def keep(name: str, table: DataFrame) -> DataFrame:
+        writers.write_metrics({name: table}, out, str(as_of))
+        return tx.sparkSession.read.schema(table.schema).parquet(f"{out}/{name}/run_date={as_of}")
+
+    return alerts(tx, limits, as_of, model, feedback, keep)

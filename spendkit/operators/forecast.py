@@ -70,10 +70,14 @@ def month_samples(daily: DataFrame) -> DataFrame:
 
 
 def training_samples(daily: DataFrame, limits: DataFrame) -> DataFrame:
-    """Keys, target and the features. Clients without a positive limit are dropped."""
+    """Keys, target and the features. Clients without a positive limit are dropped.
+
+    They are dropped before the windows. A join that shuffles by client also serves the windows and
+    the latest row per client, so nothing is shuffled again.
+    """
     usable = limits.select("client_id", LIMIT).where(F.col(LIMIT) > 0)
     day = F.col("day")
-    rows = month_samples(daily).join(usable, "client_id").withColumns(
+    rows = month_samples(daily.join(usable, "client_id")).withColumns(
         {
             "year": F.year(day),
             "month": F.month(day),

@@ -52,6 +52,10 @@ def test_train_score_and_alert(spark, stored):
     assert events[1][0] == ("budget_threshold", "critical") and ("warning", "critical") in events[1]
     assert events[2] == [("tip", "info")]
     assert out["recommendations"].count() >= 2 and out["coach_context"].count() == 2
+    kept = jobs.store_alerts(tx, limits, "2010-04-20", model, str(stored / "out" / "alerts"))
+    for name, table in kept.items():
+        assert table.schema.names == out[name].schema.names and table.exceptAll(out[name]).count() == 0
+        assert table.count() == out[name].count()
     writers.write_runway(out["runway"], model, str(stored / "out" / "runway"))
     assert spark.read.json(str(stored / "out" / "runway")).first().model_cutoff_day == model.metrics["cutoff_day"]
 
