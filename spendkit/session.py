@@ -37,12 +37,16 @@ def build_session(app: str = "spendkit", master: str | None = None, **extra: str
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read on from there.
 
-    The folder named by the session wins; a private one is made only where none is set
-    (local tests), because on a cluster every executor must reach the files.
+    The folder is the one the session names. A private one is made only where none is named and
+    the master is local: on a cluster every executor must reach the files.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = spark.conf.get(CHECKPOINT_KEY, None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spendkit-checkpoint-"))
+        folder = spark.conf.get(CHECKPOINT_KEY, None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError(f"Set {CHECKPOINT_KEY} to a folder that all executors can reach")
+            folder = tempfile.mkdtemp(prefix="spendkit-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
