@@ -15,6 +15,11 @@ def null_tokens(c: Column) -> Column:
     return F.when(~c.isin(*NULL_TOKENS), c)
 
 
+def strip(c: Column) -> Column:
+    """Blanks of any kind off both ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def collapse_blanks(c: Column) -> Column:
     """Strip, collapse inner blanks to one space."""
     return F.trim(F.regexp_replace(c, BLANKS, " "))
