@@ -183,7 +183,7 @@ def test_dedupe(spark):
 
 
 TEXT = st.text(alphabet=" \t\n  \x1c.,-$0123456789aZe()", max_size=14)
-BATCH = settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+BATCH = settings(max_examples=20, deadline=None, database=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 def column(spark, fn, values):
