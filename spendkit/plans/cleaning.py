@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, category, identity, money, text
 from ..operators import budget, cleaning, coach, labeling, quality, spend
-from .registry import big, dbl, query
+from .registry import dbl, query
 from .views import RAW_ORDER, Views
 
 

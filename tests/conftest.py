@@ -1,5 +1,5 @@
 import sys
-from datetime import date, datetime
+from datetime import datetime
 from decimal import Decimal
 from pathlib import Path
 

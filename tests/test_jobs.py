@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 
 from spendkit import jobs
-from spendkit.operators import budget, spend
+from spendkit.operators import budget
 from spendkit.sources import readers, writers
 
 HEADER = "id,date,client_id,card_id,amount,use_chip,merchant_id,merchant_city,merchant_state,zip,mcc,errors"

@@ -34,11 +34,12 @@ def test_ranks_are_pruned_before_the_shuffle(spark, make_tx):
 def test_date_frame_spreads_a_hot_client(spark, make_tx):
     tx = make_tx((1, "2010-01-01 10:00", 5, "m", "Dining"))
     as_of = spark.createDataFrame([(1, "2010-01-02")], "client_id long, as_of string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         text = plan(recommend.recurring_merchants(tx, as_of))
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert re.search(r"hashpartitioning\(client_id#\d+L, _salt", text) and "partial_sum" in text
 
 

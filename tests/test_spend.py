@@ -1,8 +1,6 @@
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 from spendkit.operators import budget, spend
 
 
