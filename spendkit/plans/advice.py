@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import budget, coach, notify, recommend
 from .registry import big, dbl, query
 from .spending import _budget, run_rate
-from .views import AS_OF, Views
+from .views import AS_OF, LATE_AS_OF, Views
 
 
 @query("recurring_merchants", """
@@ -86,8 +86,8 @@ def crossed_thresholds(v: Views):
         F.array_max(hit).alias("highest"))
 
 
-def _inputs(v: Views):
-    return notify.notification_inputs(_budget(v), run_rate(v))
+def _inputs(v: Views, as_of: str = AS_OF):
+    return notify.notification_inputs(_budget(v, as_of), run_rate(v, as_of))
 
 
 @query("notification_inputs", """
@@ -158,9 +158,9 @@ def overspend_events(v: Views):
     return notify.overspend_events(_inputs(v)).select(*_EVENT)
 
 
-@query("runway_events", _RUNWAY_EVENTS)
+@query("runway_events", _RUNWAY_EVENTS.replace("FROM inputs", "FROM inputs_late").replace("2000-06-15", LATE_AS_OF))
 def runway_events(v: Views):
-    return notify.runway_events(_inputs(v)).select(*_EVENT)
+    return notify.runway_events(_inputs(v, LATE_AS_OF)).select(*_EVENT)
 
 
 @query("tip_events", _TIP_EVENTS)

@@ -64,8 +64,8 @@ def total_spend(v: Views):
     return spend.total_spend(v.tx(place=False)).select("client_id", dbl("total_spend_usd"))
 
 
-def _budget(v: Views):
-    return budget.budget_utilization(v.categorised(), v.limits(), AS_OF)
+def _budget(v: Views, as_of: str = AS_OF):
+    return budget.budget_utilization(v.categorised(), v.limits(), as_of)
 
 
 @query("budget_utilization", """
@@ -316,9 +316,9 @@ def predict_month_end(v: Views):
     return scored.select("client_id", "day", dbl("predicted_month_end_discretionary_spend_usd", "predicted", 2))
 
 
-def run_rate(v: Views):
+def run_rate(v: Views, as_of: str = AS_OF):
     """Forecast rows with spend so far scaled to the whole month in place of the model."""
-    rows = forecast.feature_row_as_of(_samples(v), AS_OF)
+    rows = forecast.feature_row_as_of(_samples(v), as_of)
     rate = F.col(forecast.MTD).cast("double") * F.col("days_in_month") / F.col("day_of_month")
     rows = rows.withColumn("predicted_month_end_discretionary_spend_usd", rate)
     return forecast.overspend_signals(rows).withColumn("as_of_date", F.col("as_of"))

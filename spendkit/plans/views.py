@@ -16,6 +16,7 @@ from ..functions.identity import stable_id
 from ..operators.labeling import cache_key, with_rule_category
 
 AS_OF = "2000-06-15"
+LATE_AS_OF = "2000-06-25"
 EVENTS_AS_OF = "2024-01-20"
 SPREAD_BELOW = 256 * 1024 * 1024
 RAW_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice"]
@@ -629,6 +630,17 @@ VIEW_SQL = {
 }
 
 
+def _late(sql: str) -> str:
+    """The same view ten days later, when a runway can be short without an overspend."""
+    for name in LATE_VIEWS:
+        sql = sql.replace(f"FROM {name}", f"FROM {name}_late").replace(f"JOIN {name}", f"JOIN {name}_late")
+    return sql.replace("2000-06-15", LATE_AS_OF).replace("dim - 15", "dim - 25")
+
+
+LATE_VIEWS = ("budget", "runrate", "signals", "inputs")
+VIEW_SQL.update({f"{name}_late": _late(VIEW_SQL[name]) for name in LATE_VIEWS})
+
+
 def with_views(sql: str) -> str:
     """Put the views that `sql` names, and those they name, in front of it."""
     import re
