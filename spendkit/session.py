@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,19 +35,24 @@ def build_session(app: str = "spendkit", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate files: the one that the session names in `spark.checkpoint.dir`.
 
-    The folder is the one the session names. A private one is made only where none is named and
-    the master is local: on a cluster every executor must reach the files.
+    One of our own is made only where none is named and everything runs in one local process: on a
+    cluster every executor must reach the files.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get(CHECKPOINT_KEY, None)
         if not folder:
-            if not context.master.startswith("local"):
+            if not re.match(r"local(\[|$)", context.master):
                 raise ValueError(f"Set {CHECKPOINT_KEY} to a folder that all executors can reach")
             folder = tempfile.mkdtemp(prefix="spendkit-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
