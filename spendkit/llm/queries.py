@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, url_filter, warc
+from . import decontam, exact_dedup, line_dedup, url_filter, warc
 from .storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,30 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op5_decontamination", r"""
+WITH low AS (SELECT 'd' AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(coalesce(t, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM low),
+d AS (SELECT id, ws FROM w WHERE kind = 'd'), b AS (SELECT id, ws FROM w WHERE kind = 'b' AND len(ws) > 0),
+i AS (SELECT DISTINCT id AS item, least(len(ws), 13) AS m, array_to_string(ws[s : s + least(len(ws), 13) - 1], ' ') AS win
+  FROM (SELECT id, ws, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS s FROM b)),
+n AS (SELECT DISTINCT m FROM i),
+h AS (SELECT p.id, s, m, item FROM (SELECT id, ws, m, unnest(range(1, len(ws) - m + 2)) AS s FROM d, n) p
+  JOIN i USING (m) WHERE array_to_string(ws[s : s + m - 1], ' ') = win),
+c AS (SELECT id, count(*) AS n_hit FROM (SELECT DISTINCT id, unnest(range(s, s + m)) AS at FROM h) GROUP BY id),
+l AS (SELECT id, count(*) AS n_items, string_agg(item::VARCHAR, ',' ORDER BY item::VARCHAR) AS items
+  FROM (SELECT DISTINCT id, item FROM h) GROUP BY id)
+SELECT d.id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c ON d.id = c.id LEFT JOIN l ON d.id = l.id
+""")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.selectExpr(
+        "doc_id", "n_words", "n_hit", "n_items", "sha2(array_join(item_ids, ','), 256) AS items_sha256", "contaminated",
+    )
+
+
 @query("op9_line_dedup", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),

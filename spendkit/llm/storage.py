@@ -34,7 +34,7 @@ class Bloom:
         spots = keys.select(F.explode(F.array(*(cls._spot(F.col(column), k, bits) for k in range(2)))).alias("spot"))
         words = (
             spots.groupBy(F.expr("int(spot div 64)").alias("word"))
-            .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.expr("int(spot % 64)"))).alias("bits"))
+            .agg(F.expr("bit_or(shiftleft(1L, int(spot % 64)))").alias("bits"))
             .toPandas()
         )
         out = np.zeros(bits // 64, np.uint64)
