@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, jaccard, line_dedup, url_filter, warc
+from . import decontam, exact_dedup, jaccard, langid, line_dedup, quality, url_filter, warc
 from .storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jaccard_join")
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.learn(docs.where(~langid.hold_out()))
+    return langid.identify(docs, net).select("doc_id", langid.hold_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels").where(~quality.hold_out()))
+    return quality.score(docs, model).select("doc_id", quality.hold_out().alias("held_out"), "score", "predicted")
