@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, jaccard, langid, line_dedup, quality, url_filter, warc
+from . import decontam, exact_dedup, html_extract, jaccard, langid, line_dedup, quality, url_filter, warc
 from .storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels").where(~quality.hold_out()))
     return quality.score(docs, model).select("doc_id", quality.hold_out().alias("held_out"), "score", "predicted")
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages"))
+    return pages.selectExpr("page_id", "url", "text", "cast(char_length(text) AS bigint) AS n_chars")
