@@ -9,8 +9,9 @@ the product small without losing a pair:
   n - ceil(0.8 n) + 1, so only those enter the product;
 * the places of a shared column in both rows bound the whole overlap.
 
-The order needs frequencies: hashed counters of fixed number, summed over all documents. The pairs that pass get
-their exact overlap from the whole sets.
+The order needs frequencies: hashed counters of fixed number, summed over all documents. Pairs that pass are bounded
+once more by profiles: columns fall into PROFILE blocks, and the sum over the blocks of the smaller count is the most
+that two rows can share. What is left gets its exact overlap from the whole sets.
 
 A hot column, which many rows share, is first multiplied with a few pivots only, in rounds as long as these join
 much. What is still in separate components is multiplied in square blocks of whole rows, which accumulate all
@@ -34,6 +35,7 @@ from .text import BLANK, grams, mix, slices, words
 SHINGLE = 5
 COUNTERS = 1 << 18
 CHUNK = 1 << 12
+PROFILE = 256
 #: Columns with more rows than this are multiplied with pivots first.
 HOT = 32
 #: Rows of a hot column that are multiplied with all others in one round of stars, and the most such rounds.
@@ -77,16 +79,26 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix(mix(shingles, 0x5BD1E995).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0]) or 1
 
 
+def profile(shingles: np.ndarray) -> bytes:
+    """Shingles per block of columns; empty where a count does not fit a byte, which bounds nothing."""
+    counts = np.bincount((shingles >> np.uint64(24)).astype(np.int64) & (PROFILE - 1), minlength=PROFILE)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end of the task its counters in chunks."""
     counts = np.zeros(COUNTERS, np.int64)
-    names = ["id", "key", "n", "chunk", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["id", "key", "n", "profile", "chunk", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    seen: set[int] = set()
     for batch in batches:
-        keys, sizes, held = [], [], []
+        keys, sizes, profiles, held = [], [], [], []
         for shingles in shingle_sets(batch["text"]):
             keys.append(set_key(shingles))
             sizes.append(len(shingles))
+            # Of a class one profile per task will do.
+            profiles.append(None if keys[-1] in seen else profile(shingles))
+            seen.add(keys[-1])
             held.append(shingles & np.uint64(COUNTERS - 1))
             if len(held) == 256:
                 counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
@@ -94,11 +106,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
         none = [None] * len(keys)
-        yield pa.RecordBatch.from_arrays([batch["id"].cast(pa.int64()), *(pa.array(v, t) for v, t in zip((keys, sizes, none, none), types[1:]))], names)
+        yield pa.RecordBatch.from_arrays([batch["id"].cast(pa.int64()), *(pa.array(v, t) for v, t in zip((keys, sizes, profiles, none, none), types[1:]))], names)
     chunks = [c for c in range(COUNTERS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
     none = [None] * len(chunks)
     parts = [counts[c * CHUNK : (c + 1) * CHUNK].astype(np.int32).tobytes() for c in chunks]
-    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((none, none, none, chunks, parts), types)], names)
+    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((none, none, none, none, chunks, parts), types)], names)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +318,19 @@ def _speakers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(codes)], ["code"])
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose profiles leave room for the overlap they need."""
+    for batch in batches:
+        left, right = batch["left"].to_pylist(), batch["right"].to_pylist()
+        keep = np.ones(len(left), bool)
+        known = np.array([len(x) == len(y) == PROFILE for x, y in zip(left, right)], bool)
+        if known.any():
+            x, y = (np.frombuffer(b"".join(v for v, k in zip(side, known) if k), np.uint8).reshape(-1, PROFILE) for side in (left, right))
+            n, m = (side.sum(axis=1, dtype=np.int64) for side in (x, y))
+            keep[known] = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= least_overlap(n, m)
+        yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole sets reach the threshold."""
     for batch in batches:
@@ -326,9 +351,10 @@ class Product:
 
     def __init__(self, docs: DataFrame):
         self.texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        described = cut_lineage(self.texts.mapInArrow(_describe, "id long, key long, n long, chunk int, counts binary"))
-        self.rows = described.where("chunk is null").select("id", "key", "n")
-        self.classes = cut_lineage(self.rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("id")))
+        described = cut_lineage(self.texts.mapInArrow(_describe, "id long, key long, n long, profile binary, chunk int, counts binary"))
+        rows = described.where("chunk is null")
+        self.rows = rows.select("id", "key", "n")
+        self.classes = cut_lineage(rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("id"), F.max("profile").alias("profile")))
         self.levels = frequency_levels(described)
 
     def sets(self, keys: DataFrame) -> DataFrame:
@@ -339,6 +365,10 @@ class Product:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that are links."""
+        profiles = self.classes.select("key", "profile")
+        for side, name in (("a", "left"), ("b", "right")):
+            pairs = pairs.join(profiles.withColumnsRenamed({"key": side, "profile": name}), side)
+        pairs = cut_lineage(pairs.select("a", "b", "left", "right").mapInArrow(_possible, "a long, b long"))
         asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         sets = self.sets(asked)
         left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
