@@ -102,9 +102,7 @@ PROFILE_FIELDS = (
 
 # --- Fixed values: labelling knobs ---
 LABEL_BATCH_SIZE = 40
-LABEL_CALL_CAP = 1
 LABEL_MIN_CONFIDENCE = 0.6
-PROFILE_MEDIAN_ROWS = 50
 
 # --- Fixed values: label sources ---
 SOURCE_LABEL = "llm"

@@ -11,7 +11,6 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .constants import LABEL_CALL_CAP
 from .operators import budget, cleaning, coach, forecast, labeling, notify, recommend, spend
 from .schemas import LABEL_CACHE
 from .session import cut_lineage
@@ -56,7 +55,7 @@ def load(
 
 
 def request_labels(
-    spark: SparkSession, enriched: str, out: str, cache: str | None = None, max_calls: int | None = LABEL_CALL_CAP
+    spark: SparkSession, enriched: str, out: str, cache: str | None = None, max_calls: int | None = None
 ) -> None:
     """Merchant profiles, the batches cut from them and the requests to send, as tables."""
     tx = readers.read_enriched(spark, enriched)

@@ -205,8 +205,7 @@ def coach_context(v: Views):
 @query("coach_intent", """
     SELECT client_id, question_id, amount AS purchase_usd, is_empty, is_amount_only, is_affordability FROM intents""")
 def coach_intent(v: Views):
-    stored = coach.session_tail(coach.valid_turns(v.turns()))
-    asked = v.questions().join(coach.last_assistant_turn(stored), "client_id", "left")
+    asked = v.questions().join(coach.last_assistant_turn(coach.valid_turns(v.turns())), "client_id", "left")
     return coach.question_intent(asked).select(
         "client_id", "question_id", "purchase_usd", "is_empty", "is_amount_only", "is_affordability")
 
@@ -236,6 +235,7 @@ def coach_fallback(v: Views):
 @query("coach_answers", f"""
     SELECT client_id, question_id, replace(route, 'other', 'fallback') AS route,
            CASE route WHEN 'empty' THEN 'Ask a question about your discretionary spending.'
+             WHEN 'no_context' THEN 'No monthly limit is known for you, so there is no budget to answer from.'
              WHEN 'other' THEN {_SUMMARY}
              ELSE CASE WHEN remaining < 0 THEN 'No. You are already over your discretionary limit.' || chr(10) || chr(10)
                        || '- Remaining budget: $' || format('{{:,.2f}}', remaining) || chr(10) || '- If you spend $'
@@ -250,13 +250,24 @@ def coach_answers(v: Views):
 
 
 @query("coach_requests", """
-    SELECT client_id, question_id, trim(question) AS asked, least(10, n) AS n_history, CAST(mtd AS DOUBLE) AS mtd, CAST(lim AS DOUBLE) AS lim
-    FROM answers JOIN (SELECT client_id, count(*) AS n FROM stored_turns GROUP BY 1) USING (client_id)
+    SELECT client_id, question_id, trim(question) AS asked, coalesce(said, '') AS history, CAST(mtd AS DOUBLE) AS mtd,
+           CAST(lim AS DOUBLE) AS lim, remaining, round(util, 6) AS util, round(predicted, 4) AS predicted,
+           round(projected, 6) AS projected, as_of_date::VARCHAR AS as_of, 7 AS n_required
+    FROM answers LEFT JOIN (
+      SELECT client_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS said FROM (
+        SELECT * FROM turns WHERE role IN ('user', 'assistant') AND content IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY turn DESC) <= 10) GROUP BY 1) USING (client_id)
     WHERE route = 'other'""")
 def coach_requests(v: Views):
     answered = coach.answer_questions(v.questions(), _context(v), v.turns(), model_available=True)
-    fields = f"struct<question:string,context:struct<{coach.MTD}:double,{budget.LIMIT}:double>>"
-    sent = F.from_json("payload", fields)
+    numbers = (coach.MTD, budget.LIMIT, "remaining_budget_usd", "utilization_pct", coach.PREDICTED, "projected_utilization_pct")
+    context = ",".join(["as_of_date:string", *(f"{n}:double" for n in numbers)])
+    sent = F.from_json("payload", f"struct<question:string,required_fields:array<string>,context:struct<{context}>>")
+    said = F.transform("history", lambda t: F.concat(t["role"], F.lit(": "), t["content"]))
     return coach.coach_requests(answered, v.turns()).select(
-        "client_id", "question_id", sent["question"].alias("asked"), F.size("history").cast("bigint").alias("n_history"),
-        sent["context"][coach.MTD].alias("mtd"), sent["context"][budget.LIMIT].alias("lim"))
+        "client_id", "question_id", sent["question"].alias("asked"), F.array_join(said, "\n").alias("history"),
+        sent["context"][coach.MTD].alias("mtd"), sent["context"][budget.LIMIT].alias("lim"),
+        sent["context"]["remaining_budget_usd"].alias("remaining"), F.round(sent["context"]["utilization_pct"], 6).alias("util"),
+        F.round(sent["context"][coach.PREDICTED], 4).alias("predicted"),
+        F.round(sent["context"]["projected_utilization_pct"], 6).alias("projected"),
+        sent["context"]["as_of_date"].alias("as_of"), F.size(sent["required_fields"]).alias("n_required"))

@@ -11,27 +11,35 @@ from ..session import cut_lineage
 from .registry import big, dbl, query
 from .views import Views
 
-CALLS = 20
-
 
 class Run:
-    """One labelling run over the views, step by step.
+    """One labelling run over the views, step by step; a step does nothing until a query asks for it.
 
-    Profiles and batches are stored once, as a real run does; the steps after them read that and
-    not the transactions.
+    Profiles are stored once, as a real run does; the steps after them read that and not the transactions.
     """
 
     def __init__(self, v: Views):
-        self.tx = v.tx()
-        self.profiles = cut_lineage(labeling.merchant_profiles(self.tx))
-        rows = labeling.label_rows(self.profiles)
-        self.cache = v.label_cache(rows)
-        self.looked_up = labeling.cache_lookup(rows, self.cache)
-        self.v = v
+        self.v, self.tx = v, v.tx()
+
+    @cached_property
+    def profiles(self):
+        return cut_lineage(labeling.merchant_profiles(self.tx))
+
+    @cached_property
+    def rows(self):
+        return labeling.label_rows(self.profiles)
+
+    @cached_property
+    def cache(self):
+        return self.v.label_cache(self.rows)
+
+    @cached_property
+    def looked_up(self):
+        return labeling.cache_lookup(self.rows, self.cache)
 
     @cached_property
     def batches(self):
-        return cut_lineage(labeling.label_batches(self.looked_up, max_calls=CALLS))
+        return labeling.label_batches(self.looked_up)
 
     @cached_property
     def answers(self):

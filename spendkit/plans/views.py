@@ -456,9 +456,8 @@ VIEW_SQL = {
                any_value(merchant_id) AS merchant_id, any_value(merchant_city) AS merchant_city,
                any_value(merchant_state) AS merchant_state, any_value(is_online) AS is_online,
                any_value(category) AS rule_category,
-               round(quantile_cont(CAST(amount_usd * 100 AS DOUBLE), 0.5) FILTER (rn <= 50)) / 100 AS median_amount_usd
-        FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY transaction_dt, id) AS rn FROM profiled)
-        GROUP BY 1""",
+               round(quantile_cont(CAST(amount_usd * 100 AS DOUBLE), 0.5)) / 100 AS median_amount_usd
+        FROM profiled GROUP BY 1""",
     "looked_up": """
         SELECT *, 'v1:' || sha256(fingerprint) AS cache_key, mcc_code = '4722' AS is_hit,
                ((row_number() OVER (ORDER BY profile_id)) - 1) // 40 AS batch_no FROM (
@@ -467,10 +466,7 @@ VIEW_SQL = {
                    'merchant_city': merchant_city, 'merchant_id': merchant_id, 'merchant_state': merchant_state,
                    'use_chip': CASE WHEN is_online THEN 'Online Transaction' END, 'v': 'v1'}) AS VARCHAR) AS fingerprint
           FROM profiles)""",
-    "batches": """
-        SELECT *, NOT is_hit AND coalesce(call_no <= 20, FALSE) AS is_sent FROM (
-          SELECT *, CASE WHEN open THEN dense_rank() OVER (PARTITION BY open ORDER BY batch_no) END AS call_no
-          FROM (SELECT *, bool_or(NOT is_hit) OVER (PARTITION BY batch_no) AS open FROM looked_up))""",
+    "batches": "SELECT *, NOT is_hit AS is_sent FROM looked_up",
     "resolved": """
         SELECT *, CASE WHEN is_hit THEN 'Travel' WHEN src = 'llm' THEN given ELSE rule_category END AS category_final,
                CASE WHEN is_hit THEN CASE WHEN use_chip IS NULL THEN 'mcc_fallback' ELSE 'llm' END
@@ -609,11 +605,9 @@ VIEW_SQL = {
         SELECT c_custkey // 30, 2 * c_custkey + 1, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'system' ELSE 'assistant' END,
                CASE WHEN c_mktsegment = 'BUILDING' THEN 'What is the Purchase Amount?'
                     WHEN c_mktsegment <> 'HOUSEHOLD' THEN 'You are on track.' END FROM customer""",
-    "stored_turns": """
-        SELECT * FROM turns WHERE role IN ('user', 'assistant') AND content IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY turn DESC) <= 40""",
     "last_said": """
-        SELECT client_id, arg_max(content, turn) AS previous FROM stored_turns WHERE role = 'assistant' GROUP BY 1""",
+        SELECT client_id, arg_max(content, turn) AS previous FROM turns
+        WHERE role = 'assistant' AND content IS NOT NULL GROUP BY 1""",
     "context": """
         SELECT b.client_id, b.as_of_date, CAST(b.mtd AS DOUBLE) AS mtd, CAST(b.monthly_limit AS DOUBLE) AS lim,
                CAST(b.monthly_limit - b.mtd AS DOUBLE) AS remaining, b.util, s.predicted, s.projected
@@ -624,9 +618,11 @@ VIEW_SQL = {
         FROM questions q LEFT JOIN last_said l ON q.client_id = l.client_id""",
     "answers": """
         SELECT i.client_id, question_id, question, amount, mtd, lim, remaining, as_of_date,
-               CASE WHEN is_empty THEN 'empty' WHEN is_affordability THEN 'affordability' ELSE 'other' END AS route,
+               util, predicted, projected,
+               CASE WHEN is_empty THEN 'empty' WHEN c.client_id IS NULL THEN 'no_context'
+                    WHEN is_affordability THEN 'affordability' ELSE 'other' END AS route,
                round(remaining - amount, 2) AS after
-        FROM intents i JOIN context c ON i.client_id = c.client_id""",
+        FROM intents i LEFT JOIN context c ON i.client_id = c.client_id""",
 }
 
 
