@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import null_tokens
 from ..operators.cleaning import clean_transactions, standardise
-from ..schemas import RAW_TRANSACTIONS
-from ..sources.readers import SOURCE_ORDER
+from ..sources.readers import SOURCE_ORDER, read_transactions
 from ..sources.writers import assert_no_pii
 
 
@@ -32,30 +30,25 @@ def clean_stream(
     of earlier batches, so a batch that is run again after a failure gives the same result. All
     ids of a batch are recorded, also those whose row turns out invalid.
     """
-    rows = (
-        spark.readStream.schema(RAW_TRANSACTIONS)
-        .option("header", True)
-        .option("escape", '"')
-        .csv(incoming)
-        .select(
-            *[null_tokens(F.col(c)).alias(c) for c in RAW_TRANSACTIONS.fieldNames()],
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("source_block"),
-        )
-    )
+    # The stream carries paths only; each batch reads its files under their own headers.
+    listing = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.schema(listing).format("binaryFile").load(incoming).select("path")
 
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
+        paths = [r["path"] for r in batch.collect()]  # the names of one batch's files
+        if not paths:
+            return
         schema = "id string, batch long"
         old = session.read.schema(schema).parquet(ids) if number else session.createDataFrame([], schema)
         seen = old.where(F.col("batch") < number).select("id")
-        rows = batch.withColumn("source_row", F.monotonically_increasing_id())
+        rows = read_transactions(session, paths)
         clean = clean_transactions(rows, mcc, cards, users, SOURCE_ORDER, seen=seen)
         _put(assert_no_pii(clean), enriched, number)
-        _put(standardise(batch).select("id").distinct(), ids, number)
+        _put(standardise(rows).select("id").distinct(), ids, number)
 
     return (
-        rows.writeStream.foreachBatch(write)
+        files.writeStream.foreachBatch(write)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()

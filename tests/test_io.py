@@ -65,6 +65,38 @@ def test_first_row_in_file_order(spark, tmp_path):
     assert got == want
 
 
+def test_every_file_has_its_own_header(spark, tmp_path):
+    """Columns in another order, a file with one more, an empty one and one with a byte order mark."""
+    (tmp_path / "a.csv").write_text("\n".join([HEADER, line(1)]) + "\n")
+    turned = lambda text: ",".join(reversed(text.split(",")))
+    (tmp_path / "b.csv").write_text("\n".join([turned(HEADER), turned(line(2, "$2.00"))]) + "\n")
+    (tmp_path / "c.csv").write_text("\n".join(["extra," + HEADER, "x," + line(3, "$3.00")]) + "\n")
+    (tmp_path / "d.csv").write_text("\ufeff" + "\n".join([HEADER, line(4, "$4.00")]) + "\n")
+    (tmp_path / "e.csv").write_text("")
+    rows = {r.id: r for r in readers.read_transactions(spark, str(tmp_path)).collect()}
+    assert {i: (r.amount, r.mcc, r.merchant_city, r.date) for i, r in rows.items()} == {
+        str(k): (f"${k}.00", "5812", "Bronx", "2010-01-01 00:07:00") for k in range(1, 5)
+    }
+    (tmp_path / "f.csv").write_text("id,date\n5,x\n")
+    with pytest.raises(ValueError, match="Missing required columns"):
+        readers.read_transactions(spark, str(tmp_path))
+
+
+def test_users_and_cards_in_files_of_different_headers(spark, tmp_path):
+    for folder, texts in {
+        "users": ["id,current_age,monthly_discretionary_limits\n1,33,$5\n", "monthly_discretionary_limits,id\n$7,2\n"],
+        "cards": ["id,client_id,credit_limit\nc1,1,$5\n", "credit_limit,cvv,client_id,id\n$7,123,2,c2\n"],
+    }.items():
+        (tmp_path / folder).mkdir()
+        for k, text in enumerate(texts):
+            (tmp_path / folder / f"{k}.csv").write_text(text)
+    users = readers.read_users(spark, str(tmp_path / "users")).collect()
+    assert {(r.id, r.monthly_discretionary_limits, r.current_age) for r in users} == {("1", "$5", "33"), ("2", "$7", None)}
+    cards = readers.read_cards(spark, str(tmp_path / "cards"))
+    assert "cvv" not in cards.columns
+    assert {(r.id, r.client_id, r.credit_limit) for r in cards.collect()} == {("c1", "1", "$5"), ("c2", "2", "$7")}
+
+
 def test_missing_columns(spark, tmp_path):
     (tmp_path / "t.csv").write_text("id,date\n1,x\n")
     with pytest.raises(ValueError, match="Missing required columns"):

@@ -22,4 +22,7 @@ def test_clean_stream(spark, tmp_path):
     assert run() == {"1": 1.0, None: 4.0}
     (incoming / "b.csv").write_text("\n".join([HEADER, line(1, "$9.00"), line(2, "$9.00"), line(3, "$3.00"), line("", "$9.00")]))
     assert run() == {"1": 1.0, None: 4.0, "3": 3.0}
-    assert run() == {"1": 1.0, None: 4.0, "3": 3.0}
+    turned = lambda text: ",".join(reversed(text.split(",")))
+    (incoming / "c.csv").write_text("\n".join([turned(HEADER), turned(line(4, "$5.00"))]))
+    assert run() == {"1": 1.0, None: 4.0, "3": 3.0, "4": 5.0}
+    assert run() == {"1": 1.0, None: 4.0, "3": 3.0, "4": 5.0}
