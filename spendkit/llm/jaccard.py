@@ -14,9 +14,8 @@ once more by profiles: columns fall into PROFILE blocks, and the sum over the bl
 that two rows can share. What is left gets its exact overlap from the whole sets.
 
 A hot column, which many rows share, is first multiplied with a few pivots only, in rounds as long as these join
-much. What is still in separate components is multiplied in square blocks of whole rows, which accumulate all
-overlaps and put out one link per pair of components. So the rows of a large group are never paired one by one, and
-no link between components is lost.
+much. What is still in separate components is multiplied in square blocks of profiles, which put out the pairs that
+may be linked. So the rows of a large group are not paired one by one, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .storage import Bloom, cut_lineage
+from .storage import Bloom, cut_lineage, keep_rows
 from .text import BLANK, grams, mix, slices, words
 
 SHINGLE = 5
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
 CHUNK = 1 << 12
 PROFILE = 256
 #: Columns with more rows than this are multiplied with pivots first.
@@ -41,9 +40,8 @@ HOT = 32
 #: Rows of a hot column that are multiplied with all others in one round of stars, and the most such rounds.
 STARS = 4
 ROUNDS = 3
-#: Rows and columns of the square blocks for what stars leave.
+#: Rows of a side of the square blocks for what stars leave.
 BLOCK = 256
-COLUMNS = 4096
 
 
 def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
@@ -88,8 +86,8 @@ def profile(shingles: np.ndarray) -> bytes:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end of the task its counters in chunks."""
     counts = np.zeros(COUNTERS, np.int64)
-    names = ["id", "key", "n", "profile", "chunk", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["id", "text_hash", "key", "n", "profile", "chunk", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     seen: set[int] = set()
     for batch in batches:
         keys, sizes, profiles, held = [], [], [], []
@@ -106,11 +104,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
         none = [None] * len(keys)
-        yield pa.RecordBatch.from_arrays([batch["id"].cast(pa.int64()), *(pa.array(v, t) for v, t in zip((keys, sizes, profiles, none, none), types[1:]))], names)
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["text_hash"], *(pa.array(v, t) for v, t in zip((keys, sizes, profiles, none, none), types[2:]))], names)
     chunks = [c for c in range(COUNTERS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
     none = [None] * len(chunks)
     parts = [counts[c * CHUNK : (c + 1) * CHUNK].astype(np.int32).tobytes() for c in chunks]
-    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((none, none, none, none, chunks, parts), types)], names)
+    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((none, none, none, none, none, chunks, parts), types)], names)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +131,7 @@ def frequency_levels(described: DataFrame) -> np.ndarray:
     total = np.zeros(COUNTERS, np.int64)
     for row in sums.repartition("chunk").mapInArrow(_add, "chunk int, counts binary").collect():
         total[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
-    return (2 * np.log2(total + 1)).astype(np.uint8)
+    return np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], levels: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -264,32 +262,30 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*result)
 
 
+def most_shared(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The most that rows of profiles can share; a row without a profile (all 0) may share all it has."""
+    most = np.minimum(left, right).sum(axis=-1, dtype=np.int64)
+    known = (left.sum(axis=-1, dtype=np.int64) == n) & (right.sum(axis=-1, dtype=np.int64) == m)
+    return np.where(known, most, np.minimum(n, m))
+
+
+def _profiles(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x if len(x) == PROFILE else bytes(PROFILE) for x in column), np.uint8).reshape(-1, PROFILE)
+
+
 def _block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One link per pair of roots, from the product of two blocks of whole rows; column blocks add up the overlaps."""
-    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-    size = np.array([len(x) for x in sets])
-    row = np.repeat(np.arange(len(sets)), size)
-    columns, column = np.unique(np.concatenate(sets), return_inverse=True)
-    shared = np.flatnonzero(np.bincount(column) > 1)
-    place = np.full(len(columns), -1)
-    place[shared] = np.arange(len(shared))
+    """Pairs of different roots, one row of each of two blocks, whose profiles leave room for the overlap they need."""
+    profiles, n, root = _profiles(rows["profile"].tolist()), rows["n"].to_numpy(np.int64), rows["root"].to_numpy()
     first = np.flatnonzero(rows["block"].to_numpy() == key[1])
     other = np.flatnonzero(rows["block"].to_numpy() == key[2])
-    overlap = np.zeros((len(first), len(other)), np.float32)
-    order = np.argsort(place[column], kind="stable")
-    at, who = place[column][order], row[order]
-    for begin in range(0, len(shared), COLUMNS):
-        cut = slice(*np.searchsorted(at, [begin, begin + COLUMNS]))
-        part = np.zeros((len(sets), COLUMNS), np.float32)
-        part[who[cut], at[cut] - begin] = 1
-        overlap += part[first] @ part[other].T
-    root, keys = rows["root"].to_numpy(), rows["key"].to_numpy()
-    linked = 100 * overlap >= 80 * (size[first][:, None] + size[other][None, :] - overlap)
-    i, j = np.nonzero(linked & (root[first][:, None] != root[other][None, :]))
-    a, b = first[i], other[j]
-    roots = np.stack([np.minimum(root[a], root[b]), np.maximum(root[a], root[b])], axis=1)
-    _, one = np.unique(roots, axis=0, return_index=True)
-    return pd.DataFrame({"a": keys[a[one]], "b": keys[b[one]]}, dtype="int64")
+    pairs = []
+    for k in first:
+        rest = other[(root[other] != root[k]) & ((key[1] != key[2]) | (other > k))]
+        rest = rest[(5 * n[rest] >= 4 * n[k]) & (5 * n[k] >= 4 * n[rest])]
+        near = rest[most_shared(profiles[rest], profiles[k], n[rest], n[k]) >= least_overlap(n[rest], n[k])]
+        pairs.append(np.stack([np.full(len(near), k), near], axis=1))
+    pairs = rows["key"].to_numpy()[np.concatenate(pairs)] if pairs else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}, dtype="int64")
 
 
 MULTIPLIED = "key long, b long, gram long, n int, at int"
@@ -321,14 +317,10 @@ def _speakers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose profiles leave room for the overlap they need."""
     for batch in batches:
-        left, right = batch["left"].to_pylist(), batch["right"].to_pylist()
-        keep = np.ones(len(left), bool)
-        known = np.array([len(x) == len(y) == PROFILE for x, y in zip(left, right)], bool)
-        if known.any():
-            x, y = (np.frombuffer(b"".join(v for v, k in zip(side, known) if k), np.uint8).reshape(-1, PROFILE) for side in (left, right))
-            n, m = (side.sum(axis=1, dtype=np.int64) for side in (x, y))
-            keep[known] = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= least_overlap(n, m)
-        yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+        n, m = batch["left_n"].to_numpy(), batch["right_n"].to_numpy()
+        most = most_shared(_profiles(batch["left"].to_pylist()), _profiles(batch["right"].to_pylist()), n, m)
+        keep = pa.array(most >= least_overlap(n, m))
+        yield pa.RecordBatch.from_arrays([batch[c].filter(keep) for c in ("a", "b")], ["a", "b"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,11 +342,13 @@ class Product:
     """The product over one table of documents; `links` are verified pairs of class keys."""
 
     def __init__(self, docs: DataFrame):
-        self.texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        described = cut_lineage(self.texts.mapInArrow(_describe, "id long, key long, n long, profile binary, chunk int, counts binary"))
+        text = F.col("text").cast("string")
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
+        hashed = self.texts.withColumn("text_hash", F.xxhash64("text"))
+        described = cut_lineage(hashed.mapInArrow(_describe, "id long, text_hash long, key long, n long, profile binary, chunk int, counts binary"))
         rows = described.where("chunk is null")
-        self.rows = rows.select("id", "key", "n")
-        self.classes = cut_lineage(rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("id"), F.max("profile").alias("profile")))
+        self.rows = rows.select("id", "text_hash", "key", "n")
+        self.classes = cut_lineage(rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.max("profile").alias("profile")))
         self.levels = frequency_levels(described)
 
     def sets(self, keys: DataFrame) -> DataFrame:
@@ -365,10 +359,9 @@ class Product:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that are links."""
-        profiles = self.classes.select("key", "profile")
         for side, name in (("a", "left"), ("b", "right")):
-            pairs = pairs.join(profiles.withColumnsRenamed({"key": side, "profile": name}), side)
-        pairs = cut_lineage(pairs.select("a", "b", "left", "right").mapInArrow(_possible, "a long, b long"))
+            pairs = pairs.join(self.classes.selectExpr(f"key AS {side}", f"n AS {name}_n", f"profile AS {name}"), side)
+        pairs = cut_lineage(pairs.select("a", "b", "left_n", "left", "right_n", "right").mapInArrow(_possible, "a long, b long"))
         asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         sets = self.sets(asked)
         left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
@@ -381,7 +374,7 @@ class Product:
         return dealt.mapInArrow(_multiply, MULTIPLIED)
 
     def blocks(self, rooted: DataFrame) -> DataFrame:
-        """Links between different roots within the columns of `rooted`, from square blocks of whole rows."""
+        """Pairs of different roots within the columns of `rooted` that may be linked, from square blocks of profiles."""
         rank = F.row_number().over(Window.partitionBy("gram").orderBy("root", "key"))
         rows = cut_lineage(rooted.select("gram", "key", "root", F.floor((rank - 1) / BLOCK).alias("block")))
         ends = rows.groupBy("gram", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -389,8 +382,8 @@ class Product:
         # Two blocks of one and the same root have nothing to find.
         pairs = ends.withColumnRenamed("block", "i").join(other, "gram").where("i <= j and not (low = high and low_j = high_j and low = low_j)")
         pairs = pairs.select("gram", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-        dealt = rows.join(pairs, ["gram", "block"]).join(self.sets(rows.select("key").distinct()), "key")
-        return cut_lineage(dealt.groupBy("gram", "i", "j").applyInPandas(_block, "a long, b long").distinct())
+        dealt = rows.join(pairs, ["gram", "block"]).join(self.classes.select("key", "n", "profile"), "key")
+        return dealt.groupBy("gram", "i", "j").applyInPandas(_block, "a long, b long").distinct()
 
     def roots(self) -> DataFrame:
         """(node, root) of the classes that links join."""
@@ -400,29 +393,42 @@ class Product:
         hot = first.where("b is null").select("gram", "key", "n", "at")
         asked = cut_lineage(_asked(first).distinct())
         links, before = self.verified(asked), None
-        for seed in range(1, ROUNDS + 1):
+        for seed in range(1, ROUNDS + 2):
             roots = components(links)
             # What is left of the hot columns: those whose rows have several roots.
             rooted = hot.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
             shares = rooted.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(
                 F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("within"),
             ).where("rows * rows > within")
-            left = shares.agg(F.sum(F.expr("rows * rows - within"))).first()[0]
+            rows, left = shares.agg(F.sum("rows"), F.sum(F.expr("rows * rows - within"))).first()
             if not left:
                 return roots
             rooted = cut_lineage(rooted.join(shares.select("gram"), "gram", "left_semi"))
-            if seed == ROUNDS or before and 2 * left > before:
+            if seed > ROUNDS or left <= BLOCK * rows or before and 2 * left > before:
                 break
             fresh = cut_lineage(_asked(self.multiply(rooted, seed)).distinct().join(asked, ["a", "b"], "left_anti"))
             links = cut_lineage(links.unionByName(self.verified(fresh)))
             asked, before = cut_lineage(asked.unionByName(fresh)), left
-        return components(links.unionByName(self.blocks(rooted)))
+        fresh = cut_lineage(self.blocks(rooted).join(asked, ["a", "b"], "left_anti"))
+        return components(links.unionByName(self.verified(fresh)))
 
 
 def _asked(multiplied: DataFrame) -> DataFrame:
     return multiplied.where("b is not null").select(F.col("key").alias("a"), "b")
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """Per row of `docs`: id, text_hash, key, n, root (the class that speaks for its component) and component_id."""
+    product = Product(docs)
+    roots = product.roots()
+    rooted = product.classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    told = rooted.join(least, "root").select("key", "root", "component_id")
+    linked = product.rows.where("key <> 0").join(told, "key")
+    alone = product.rows.where("key = 0").select("*", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id.
 
@@ -432,11 +438,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component of such rows alone has a null id. Rows that repeat an id are documents each. Other columns are not
     read. An empty table gives no rows.
     """
-    product = Product(docs)
-    roots = product.roots()
-    rooted = product.classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    told = rooted.join(least, "root").select("key", "component_id")
-    linked = product.rows.where("key <> 0").join(told, "key").select("id", "n", "component_id")
-    alone = product.rows.where("key = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return grouped(docs).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each component, that with the smallest id, and all their columns.
+
+    Of rows that share the smallest id one stays. Rows without words stay all.
+    """
+    rows = cut_lineage(grouped(docs))
+    own = F.col("id").eqNullSafe(F.col("component_id"))
+    named = rows.where(own & F.col("root").isNotNull()).groupBy("root", "id").agg(F.min("text_hash").alias("text_hash"))
+    several = rows.groupBy("root", "id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    same = several["root"].eqNullSafe(named["root"]) & several["id"].eqNullSafe(named["id"]) & (several["text_hash"] == named["text_hash"])
+    first = several.join(named, same, "left_semi").select("id", "text_hash", "copies")
+    alone = several.where("root is null").select("id", "text_hash", F.lit(1).cast("long").alias("copies"))
+    keepers = first.unionByName(alone).toDF("_id", "_text", "_copies")
+    return keep_rows(docs, cut_lineage(keepers), F.xxhash64(F.col("text").cast("string")))
