@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.common import best_rows
 from .text import slices
 
 HIDDEN = 8
@@ -192,15 +193,17 @@ def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, most_bytes: int = SA
 
     Texts of at most `most_bytes` bytes that fill a window; rows without a language are left out.
     """
-    rows = docs.where("lang is not null").select("lang", F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.octet_length("text").between(WINDOW, most_bytes))
-    # Languages are a handful; the rows of each are ranked inside every map task before they meet.
-    langs = [r["lang"] for r in rows.select("lang").distinct().collect()]
-    drawn = []
-    for lang in sorted(langs):
-        part = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("text"), "text").limit(per_lang)
-        drawn.extend((r["text"].encode(), lang) for r in part.collect())
-    return train([t for t, _ in drawn], [x for _, x in drawn]) if drawn else Network([UNKNOWN], *[Unit.fresh(np.random.default_rng(0)) for _ in range(2)], np.zeros((1, 2 * HIDDEN), np.float32), np.zeros((1, 1), np.float32))
+    text = F.col("text").cast("string")
+    rows = docs.select("lang", text.alias("text"), F.xxhash64(text).alias("hash"))
+    rows = rows.where(F.col("lang").isNotNull() & F.octet_length("text").between(WINDOW, most_bytes))
+    # Only hashes are ranked, each once, so copies do not fill the sample; then the texts of the drawn ones are fetched.
+    drawn = best_rows(rows.select("lang", "hash").distinct(), ["lang"], [F.col("hash")], per_lang)
+    found = rows.join(F.broadcast(drawn), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])
+    sample = sorted((r["lang"], r["hash"], r["text"]) for r in found.collect())
+    if not sample:
+        units = [Unit.fresh(np.random.default_rng(0)) for _ in range(2)]
+        return Network([UNKNOWN], *units, np.zeros((1, 2 * HIDDEN), np.float32), np.zeros((1, 1), np.float32))
+    return train([t.encode() for _, _, t in sample], [lang for lang, _, _ in sample])
 
 
 def _identify(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
