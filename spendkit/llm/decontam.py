@@ -183,6 +183,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows that `contamination` marks, with all their columns."""
     marked = contamination(docs, benchmark).where("contaminated")
     bad = cut_lineage(marked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct())
-    rows = docs.select("*", F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_text"))
     same = rows["_id"].eqNullSafe(bad["_id"]) & (rows["_text"] == bad["_text"])
-    return rows.join(bad, same, "left_anti").drop("_id", "_text")
+    return rows.join(bad, same, "left_anti").select("row.*")

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import cut_lineage
+from .storage import cut_lineage, keep_rows
 
 BUCKET_KEYS = 8192
 GROUP_KEYS = 4
@@ -30,9 +30,14 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def digest_of() -> Column:
+    """The 32-byte SHA-256 of the normalised text."""
+    return F.unhex(F.sha2(normalised(), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """`doc_id` and the 32-byte SHA-256 of the normalised text of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(), 256)).alias("digest"))
+    """`doc_id` and the digest of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of().alias("digest"))
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
@@ -202,12 +207,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
         ids.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
         .join(groups(*split_by_age(ids)), "digest")
         .where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("copies").alias("_copies"))
+        .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_text"), F.col("copies").alias("_copies"))
     )
-    key = [F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(normalised(), 256)).alias("_digest")]
-    rows = docs.select("*", *key)
-    same = rows["_id"].eqNullSafe(keepers["_id"]) & (rows["_digest"] == keepers["_digest"])
-    kept = rows.join(keepers, same, "inner").select(rows["*"], "_copies")
-    once, more = kept.where("_copies = 1"), kept.where("_copies > 1").dropDuplicates(["_id", "_digest"])
-    return once.unionByName(more).drop("_id", "_digest", "_copies")
-
+    return keep_rows(docs, cut_lineage(keepers), digest_of())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, html_extract, jaccard, langid, line_dedup, quality, url_filter, warc
+from . import decontam, exact_dedup, html_extract, jaccard, langid, line_dedup, packing, quality, url_filter, warc
 from .storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_extract.extract(table(spark, sf_dir, "pages"))
     return pages.selectExpr("page_id", "url", "text", "cast(char_length(text) AS bigint) AS n_chars")
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "bin_id", "bin_offset", "capacity")

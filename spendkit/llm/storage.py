@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, shared_folder
 
-__all__ = ["Bloom", "cut_lineage", "shared_path"]
+__all__ = ["Bloom", "cut_lineage", "keep_rows", "shared_path"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -52,3 +52,16 @@ class Bloom:
             found &= (self.words[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
         return found
 
+
+
+def keep_rows(docs: DataFrame, keepers: DataFrame, text_key: Column) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `keepers` (_id, _text, _copies) names by id and `text_key`.
+
+    Keepers are distinct; where one stands for several rows (_copies above 1), one of these stays.
+    """
+    # The row is one column meanwhile, so that no name of it can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), text_key.alias("_text"))
+    same = rows["_id"].eqNullSafe(keepers["_id"]) & (rows["_text"] == keepers["_text"])
+    kept = rows.join(keepers, same).select(rows["*"], "_copies")
+    once, more = kept.where("_copies = 1"), kept.where("_copies > 1").dropDuplicates(["_id", "_text"])
+    return once.unionByName(more).select("row.*")

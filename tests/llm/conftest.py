@@ -1,0 +1,36 @@
+import pytest
+
+CLASH = ["_id", "_text", "_copies", "key", "n", "score", "row", "text_hash", "part", "host"]
+
+
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    """(doc_id, text) pairs as a table with the columns of documents and some whose names helpers use."""
+
+    def make(rows, parts=3):
+        data = [(i, text, "en", "s", len(text or ""), *["x"] * len(CLASH)) for i, text in rows]
+        schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+        return spark.createDataFrame(data, schema).repartition(parts)
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def pages_of(spark):
+    def make(rows, parts=3):
+        data = [(*r, *["x"] * len(CLASH)) for r in rows]
+        schema = "page_id long, url string, html string, " + ", ".join(f"{c} string" for c in CLASH if c != "html")
+        return spark.createDataFrame(data, schema).repartition(parts)
+
+    return make
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.set("spark.sql.files.openCostInBytes", cost)

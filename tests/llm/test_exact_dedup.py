@@ -1,0 +1,60 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from spendkit.llm import exact_dedup
+
+
+def digest(text):
+    return hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", text or "").encode()).hexdigest()
+
+
+def test_hash_is_minimal_and_perfect():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 7, 100, 5000):
+        raw = rng.integers(0, 256, (n, 32)).astype(np.uint8)
+        seeds, slots = exact_dedup.place(raw)
+        assert sorted(slots) == list(range(n))
+        assert (exact_dedup.slots_of(raw, seeds, n) == slots).all()
+        other = exact_dedup.slots_of(rng.integers(0, 256, (50, 32)).astype(np.uint8), seeds, n)
+        assert ((0 <= other) & (other < n)).all()
+
+
+def test_members_take_the_winner_and_others_do_not(spark):
+    known = [(hashlib.sha256(b"%d" % k).digest(), 10 + k, 1) for k in range(500)]
+    new = [(hashlib.sha256(b"%d" % k).digest(), 5000 + k, 2) for k in range(400, 700)]
+    schema = "digest binary, winner long, n long"
+    index = exact_dedup.build_index(spark.createDataFrame(known, schema), 4)
+    got = {bytes(r["digest"]): (r["winner"], r["member"]) for r in exact_dedup.lookup(spark.createDataFrame(new, schema), index, 4).collect()}
+    assert got == {d: (10 + w - 5000, True) if w < 5500 else (w, False) for d, w, _ in new}
+
+
+def test_against_brute_force(docs_of):
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["a  b", "a b", "a\tb", "", None, " ", "c", f"only {k}", "long " * 3000])) for k in range(300)]
+    rows += [(7, "twice"), (7, "twice"), (None, "a b"), (None, "nobody"), (None, "nobody")]
+    got = [tuple(r) for r in exact_dedup.dedup(docs_of(rows)).collect()]
+    assert len(got) == len(rows)
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(digest(text), []).append(i)
+    for i, keep, size, kept, sha in got:
+        ids = groups[sha]
+        assert size == len(ids) and keep == min((x for x in ids if x is not None), default=None)
+    for sha, ids in groups.items():
+        assert [i for i, _, _, kept, s in got if s == sha and kept] == [min((x for x in ids if x is not None), default=None)]
+
+
+def test_rows_keep_their_columns(docs_of):
+    rows = [(3, "x y"), (1, "x  y"), (2, "z"), (2, "z"), (None, "z"), (5, None), (4, "")]
+    docs = docs_of(rows)
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
+
+
+def test_empty_table(docs_of):
+    assert exact_dedup.dedup(docs_of([])).collect() == []
+    assert exact_dedup.drop_copies(docs_of([])).collect() == []

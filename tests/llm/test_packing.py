@@ -1,0 +1,73 @@
+import random
+
+import numpy as np
+
+from spendkit.llm import packing
+
+
+def naive(sizes, capacities, cost):
+    """The same rules by plain search over lists."""
+    bins, out, left = [], [], sorted(sizes, reverse=True)
+    for size in sorted(sizes, reverse=True):
+        left.remove(size)
+        room = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= size]
+        if room:
+            best = min(room)[0]
+            own = max(k for k, b in enumerate(bins) if b["room"] == best and b["age"] == max(x["age"] for x in bins if x["room"] == best))
+        else:
+            rates = []
+            for c in sorted(capacities):
+                if c >= size:
+                    free, filled = c - size, 0
+                    for x in left:
+                        if x <= free:
+                            free, filled = free - x, filled + x
+                    rates.append((cost(c) / (size + filled), c))
+            bins.append({"room": min(rates)[1], "used": 0, "age": 0})
+            own = len(bins) - 1
+        bins[own]["room"] -= size
+        bins[own]["used"] += size
+        bins[own]["age"] = len(out)
+        out.append(own)
+    return out, [min(c for c in capacities if c >= b["used"]) for b in bins]
+
+
+def test_against_plain_search():
+    rng = random.Random(1)
+    for _ in range(60):
+        sizes = np.array(sorted((rng.randrange(1, 65) for _ in range(rng.randrange(1, 60))), reverse=True))
+        bins, offsets, final = packing.best_fit(sizes, (16, 32, 64), packing.training_cost)
+        want, capacities = naive(sizes.tolist(), (16, 32, 64), packing.training_cost)
+        assert bins.tolist() == want and final.tolist() == capacities
+
+
+def test_every_byte_is_packed_once(spark, docs_of):
+    rng = random.Random(2)
+    rows = [(k, "é" * rng.randrange(0, 900)) for k in range(200)] + [(500, "x" * 100_000), (501, None), (502, ""), (1, "twice"), (1, "twice"), (None, "no id")]
+    packed = packing.pack(docs_of(rows), (256, 512, 1024))
+    got = packed.toPandas()
+    full = got[got["length"] > 0]
+    assert got[got["length"] == 0]["bin_id"].isna().all()
+    assert full["length"].sum() == sum(len((t or "").encode()) for _, t in rows)
+    for _, text in full.groupby(["doc_id", "text_hash", "copy"], dropna=False):
+        text = text.sort_values("start")
+        assert (text["start"].to_numpy() == np.concatenate([[0], np.cumsum(text["length"])[:-1]])).all()
+    for _, own in full.groupby("bin_id"):
+        own = own.sort_values("bin_offset")
+        assert (own["bin_offset"].to_numpy() == np.concatenate([[0], np.cumsum(own["length"])[:-1]])).all()
+        used, capacity = own["length"].sum(), own["capacity"].iloc[0]
+        assert used <= capacity and not any(used <= c < capacity for c in (256, 512, 1024))
+    assert packing.sequences(packed).selectExpr("sum(used) s").first()["s"] == full["length"].sum()
+    again = packing.pack(docs_of(rows, parts=7), (256, 512, 1024))
+    assert packed.exceptAll(again).isEmpty() and again.exceptAll(packed).isEmpty()
+
+
+def test_joint_lengths_cost_less_than_the_largest_alone():
+    sizes = np.sort(np.random.default_rng(3).lognormal(6, 1, 4000).astype(int).clip(1, 8192))[::-1]
+    cost = lambda caps: sum(map(packing.training_cost, packing.best_fit(sizes, caps, packing.training_cost)[2].tolist()))
+    assert cost((512, 1024, 2048, 4096, 8192)) < cost((8192,))
+
+
+def test_empty_table(docs_of):
+    assert packing.pack(docs_of([])).collect() == []
+    assert packing.pack(docs_of([(1, None)])).count() == 1

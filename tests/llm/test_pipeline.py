@@ -1,0 +1,36 @@
+import corpus_pipeline
+from test_decontam import brute as contamination
+from test_exact_dedup import digest
+from test_jaccard import brute as components
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept; the classifier by its own scores of single documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    steps = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"file://{tmp_path}/{name}"
+        stage(spark, steps[-1], SF).write.parquet(path)
+        steps.append(spark.read.parquet(path))
+    assert all(step.columns == docs.columns for step in steps[:-1])
+    rows = [[(r["doc_id"], r["text"]) for r in step.select("doc_id", "text").collect()] for step in steps[:-1]]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rejected = {i for i, _ in rows[0]} - {i for i, _ in rows[1]}
+    judged = [i for i in labels if i in {i for i, _ in rows[0]}]
+    assert sum((i in rejected) == (labels[i] == 0) for i in judged) >= 0.97 * len(judged)
+    seen = {}
+    for i, text in sorted(rows[1]):
+        seen.setdefault(digest(text), (i, text))
+    assert sorted(rows[2]) == sorted(seen.values())
+    first = {i for i, _, least in components(rows[2]) if i == least}
+    assert sorted(rows[3]) == sorted(r for r in rows[2] if r[0] in first)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = {r[0] for r in contamination(rows[3], items) if r[5]}
+    assert sorted(rows[4]) == sorted(r for r in rows[3] if r[0] not in bad)
+    packed = steps[-1].toPandas()
+    assert packed["length"].sum() == sum(len((t or "").encode()) for _, t in rows[4])
+    assert (packed.groupby("bin_id")["length"].sum() <= packed.groupby("bin_id")["capacity"].max()).all()
+    want = sorted(map(tuple, steps[-1].collect()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
