@@ -21,16 +21,22 @@ def clean(
     spark: SparkSession, transactions: str, users: str, cards: str, mcc: str, out: str,
     focus_client_id: str | None = None,
 ) -> None:
-    """Raw files to `out`/enriched and `out`/qa_report."""
-    inputs = dict(
-        raw=readers.read_transactions(spark, transactions),
+    """Raw files to `out`/enriched and `out`/qa_report.
+
+    The text files are read once, into `out`/raw; the first row per id is found once, into `out`/staged.
+    Both results come from these tables, the number of scanned rows from the file footers.
+    """
+    readers.read_transactions(spark, transactions).write.mode("overwrite").parquet(f"{out}/raw")
+    raw = spark.read.parquet(f"{out}/raw")
+    cleaning.staged(raw, readers.SOURCE_ORDER).write.mode("overwrite").parquet(f"{out}/staged")
+    rows = spark.read.parquet(f"{out}/staged")
+    dims = dict(
         mcc=readers.read_mcc(spark, mcc),
         cards=cleaning.prepare_cards(readers.read_cards(spark, cards)),
         users=cleaning.prepare_users(readers.read_users(spark, users)),
-        order_by=readers.SOURCE_ORDER,
     )
-    writers.write_enriched(cleaning.clean_transactions(**inputs), f"{out}/enriched")
-    writers.write_report(cleaning.qa_report(**inputs, focus_client_id=focus_client_id), f"{out}/qa_report")
+    writers.write_enriched(cleaning.enrich(rows, **dims), f"{out}/enriched")
+    writers.write_report(cleaning.qa_counters(rows, raw, **dims, focus_client_id=focus_client_id), f"{out}/qa_report")
 
 
 def load(

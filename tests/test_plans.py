@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+import __spark_entry__ as entry  # noqa: F401  (registers the queries)
 from spendkit.operators import recommend, spend
 from spendkit.operators.common import best_rows
+from spendkit.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,9 +18,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_no_python(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroups"):
         assert node not in text
 
@@ -46,5 +47,5 @@ def test_date_frame_spreads_a_hot_client(spark, make_tx):
 def test_single_pass(spark):
     """Cutbacks, trend and alerts read each transaction once."""
     for name, scans in (("top_category_merchant", 1), ("monthly_category_trend", 1), ("recurring_merchants", 1), ("training_samples", 1)):
-        text = plan(entry.queries()[name](spark, SF))
+        text = plan(QUERIES[name](spark, SF))
         assert len(re.findall(r"FileScan parquet \[[^\]]*l_extendedprice", text)) == scans, name
