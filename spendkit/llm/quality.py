@@ -77,8 +77,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         again = np.flatnonzero((words[1:] == words[:-1]) & (text[begin][1:] == text[begin][:-1])) + 1
         found.append(np.full(len(again), _bucket(np.array([7], np.uint32))[0]))
         owner.append(text[begin][again])
-    buckets, text = np.concatenate(found), np.concatenate(owner)
-    return buckets, text
+    none = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    return np.concatenate([none[0], *found]), np.concatenate([none[1], *owner])
 
 
 @dataclass

@@ -50,7 +50,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_nulls_and_texts_without_letters(spark, docs_of):
-    docs = docs_of([(1, None), (2, ""), (3, "123 --- !"), (4, "letters"), (4, "letters"), (None, "é"), (5, "word " * 30_000)])
+    docs = docs_of([(1, None), (2, ""), (3, "123 --- !"), (4, "letters"), (4, "letters"), (None, "é"), (5, "word " * 30_000), (6, "some more words " * 9)])
     net = langid.learn(docs)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, net).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == got[None][0] == got[5][0] == "en"
