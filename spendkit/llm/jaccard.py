@@ -40,8 +40,9 @@ HOT = 32
 #: Rows of a hot column that are multiplied with all others in one round of stars, and the most such rounds.
 STARS = 4
 ROUNDS = 3
-#: Rows of a side of the square blocks for what stars leave.
+#: Rows of a side of the square blocks for what stars leave, and hot columns by which rows tell who puts a pair out.
 BLOCK = 256
+NAMED = 8
 
 
 def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
@@ -274,7 +275,13 @@ def _profiles(column: list[bytes]) -> np.ndarray:
 
 
 def _block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different roots, one row of each of two blocks, whose profiles leave room for the overlap they need."""
+    """Pairs of different roots, one row of each of two blocks, whose profiles leave room for the overlap they need.
+
+    Rows that share several hot columns meet in each. The least of those that both name puts the pair out; a pair
+    without such a column is put out wherever it meets.
+    """
+    last = np.iinfo(np.int64).max
+    named = np.array([[*x, *[last] * (NAMED - len(x))] for x in rows["named"]], np.int64)
     profiles, n, root = _profiles(rows["profile"].tolist()), rows["n"].to_numpy(np.int64), rows["root"].to_numpy()
     first = np.flatnonzero(rows["block"].to_numpy() == key[1])
     other = np.flatnonzero(rows["block"].to_numpy() == key[2])
@@ -283,6 +290,9 @@ def _block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rest = other[(root[other] != root[k]) & ((key[1] != key[2]) | (other > k))]
         rest = rest[(5 * n[rest] >= 4 * n[k]) & (5 * n[k] >= 4 * n[rest])]
         near = rest[most_shared(profiles[rest], profiles[k], n[rest], n[k]) >= least_overlap(n[rest], n[k])]
+        both = (named[near][:, :, None] == named[k][None, None, :]).any(axis=2) & (named[near] != last)
+        least = np.where(both, named[near], last).min(axis=1, initial=last)
+        near = near[(least == key[0]) | (least == last)]
         pairs.append(np.stack([np.full(len(near), k), near], axis=1))
     pairs = rows["key"].to_numpy()[np.concatenate(pairs)] if pairs else np.zeros((0, 2), np.int64)
     return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}, dtype="int64")
@@ -382,7 +392,9 @@ class Product:
         # Two blocks of one and the same root have nothing to find.
         pairs = ends.withColumnRenamed("block", "i").join(other, "gram").where("i <= j and not (low = high and low_j = high_j and low = low_j)")
         pairs = pairs.select("gram", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-        dealt = rows.join(pairs, ["gram", "block"]).join(self.classes.select("key", "n", "profile"), "key")
+        named = rows.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("gram")), 1, NAMED).alias("named"))
+        of = self.classes.select("key", "n", "profile").join(named, "key")
+        dealt = rows.join(pairs, ["gram", "block"]).join(of, "key")
         return dealt.groupBy("gram", "i", "j").applyInPandas(_block, "a long, b long").distinct()
 
     def roots(self) -> DataFrame:
