@@ -261,12 +261,30 @@ def score_clients(
 
     Spend of the whole as-of day counts here, unlike in the budget.
     """
-    if not isinstance(as_of, DataFrame):
-        tx = tx.where(F.col("transaction_dt") < next_midnight(day_literal(as_of)))
-        if "tx_month" in tx.columns:
-            tx = tx.where(F.col("tx_month") <= month_label(day_literal(as_of)))
-    daily = with_as_of(daily_discretionary(tx, category), as_of).where("day <= as_of").drop("as_of")
-    samples = training_samples(daily, limits)
+    return score_daily(daily_discretionary(_until(tx, as_of), category), limits, as_of, model)
+
+
+def _until(tx: DataFrame, as_of: AsOf) -> DataFrame:
+    """Rows up to the end of the as-of day, or of the last one of a frame; the bound reaches the scan."""
+    if isinstance(as_of, DataFrame):
+        last = as_of.agg(F.max(F.to_date("as_of"))).first()[0]
+        if last is None:
+            return tx.limit(0)
+    else:
+        last = as_of
+    tx = tx.where(F.col("transaction_dt") < next_midnight(day_literal(last)))
+    return tx.where(F.col("tx_month") <= month_label(day_literal(last))) if "tx_month" in tx.columns else tx
+
+
+def score_daily(daily: DataFrame, limits: DataFrame, as_of: AsOf, model: MonthEndModel) -> DataFrame:
+    """`score_clients` from a stored daily rollup.
+
+    A score needs the month of a client's last day only, so the other months go before the month windows.
+    """
+    known = with_as_of(daily, as_of).where("day <= as_of").drop("as_of")
+    last = F.max("day").over(Window.partitionBy("client_id"))
+    recent = known.withColumn("_last", last).where(F.trunc("day", "month") == F.trunc("_last", "month")).drop("_last")
+    samples = training_samples(recent, limits)
     latest = feature_row_as_of(samples, as_of)
     scored = overspend_signals(predict_month_end(latest, model))
     kept = [c for c in RUNWAY_COLUMNS if c not in ("client_id", "as_of_date")]

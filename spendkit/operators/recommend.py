@@ -18,6 +18,7 @@ from ..functions.calendar import midnight, month_label
 from ..functions.category import is_subscription
 from ..functions.identity import stable_id
 from ..functions.money import money_label, percent_label, ratio
+from ..session import cut_lineage
 from .common import AsOf, best_rows, between_days, ranked, require_columns, with_as_of_salted
 from .spend import dated_spend
 
@@ -32,15 +33,32 @@ def lookback(tx: DataFrame, as_of: AsOf, days: int) -> DataFrame:
     return between_days(rows, as_of, F.date_sub(day, days), F.col("transaction_dt") <= midnight(day))
 
 
-def recurring_merchants(
-    tx: DataFrame, as_of: AsOf, lookback_days: int = RECURRING_LOOKBACK_DAYS
+def spending_rollup(
+    tx: DataFrame, as_of: AsOf, lookback_days: int = RECURRING_LOOKBACK_DAYS, recent_days: int = CUTBACK_LOOKBACK_DAYS,
 ) -> DataFrame:
-    """Merchants with steady monthly spend. Rows without a merchant are left out."""
+    """Spend per client, category, merchant with its place, and month, in one hash aggregate over the rows.
+
+    Recurring merchants and category cutbacks are both computed from it. `is_recent` marks the last `recent_days`;
+    `first_dt` is the first time in the group.
+    """
     require_columns(tx, ["transaction_dt", "amount_usd", "merchant_id", "category", "mcc_description"])
-    rows = lookback(tx, as_of, lookback_days).where(F.col("merchant_id").isNotNull())
-    monthly = rows.groupBy("client_id", "merchant_id", month_label(F.col("transaction_dt")).alias("month")).agg(
-        F.sum("spend_usd").alias("monthly"),
-        F.bool_or(is_subscription(F.col("category"), F.col("mcc_description"))).alias("is_subscription"),
+    rows = lookback(tx, as_of, lookback_days)
+    for column in ("merchant_city", "merchant_state"):
+        if column not in rows.columns:
+            rows = rows.withColumn(column, F.lit(None).cast("string"))
+    at = F.col("transaction_dt")
+    kept = "is_discretionary" if "is_discretionary" in rows.columns else F.lit(None).cast("boolean").alias("is_discretionary")
+    return rows.groupBy(
+        "client_id", "category", "merchant_id", "merchant_city", "merchant_state", month_label(at).alias("month"), kept,
+        is_subscription(F.col("category"), F.col("mcc_description")).alias("is_subscription"),
+        (at >= midnight(F.date_sub("as_of", recent_days))).alias("is_recent"),
+    ).agg(F.sum("spend_usd").alias("spend_usd"), F.min(at).alias("first_dt"))
+
+
+def recurring_of(rollup: DataFrame) -> DataFrame:
+    """Merchants with steady monthly spend. Rows without a merchant are left out."""
+    monthly = rollup.where(F.col("merchant_id").isNotNull()).groupBy("client_id", "merchant_id", "month").agg(
+        F.sum("spend_usd").alias("monthly"), F.bool_or("is_subscription").alias("is_subscription"),
     )
     spent = F.col("monthly").cast("double")
     total = F.sum("monthly").alias("total_spend_usd")
@@ -59,27 +77,25 @@ def recurring_merchants(
     )
 
 
-def top_category_merchants(
-    tx: DataFrame,
-    as_of: AsOf,
-    lookback_days: int = CUTBACK_LOOKBACK_DAYS,
-    discretionary_only: bool = True,
+def recurring_merchants(
+    tx: DataFrame, as_of: AsOf, lookback_days: int = RECURRING_LOOKBACK_DAYS
 ) -> DataFrame:
-    """Every category of a client, ranked by spend from 1, with its top merchant.
+    return recurring_of(spending_rollup(tx, as_of, lookback_days))
+
 
-    The transactions are read once and go through two aggregates: client, category and merchant,
-    then client and category, which picks the top merchant on the way. Rows without a merchant
-    count for the category but cannot be its top merchant.
+def categories_of(rollup: DataFrame, recent_days: int = CUTBACK_LOOKBACK_DAYS, discretionary_only: bool = True) -> DataFrame:
+    """Every category of a client over the recent days, ranked by spend from 1, with its top merchant.
+
+    The rollup goes through two aggregates: client, category and merchant, then client and category, which picks
+    the top merchant on the way. Rows without a merchant count for the category but cannot be its top
+    merchant. A merchant's place is the first that is known, by time and then by name.
     """
-    rows = lookback(tx, as_of, lookback_days)
+    rows = rollup.where("is_recent")
     if discretionary_only:
         rows = rows.where("is_discretionary")
-    for column in ("merchant_city", "merchant_state"):
-        if column not in rows.columns:
-            rows = rows.withColumn(column, F.lit(None).cast("string"))
 
     def first_known(column: str):
-        order = F.when(F.col(column).isNotNull(), F.struct("transaction_dt", "id", column))
+        order = F.when(F.col(column).isNotNull(), F.struct("first_dt", column))
         return F.min_by(F.col(column), order).alias(column)
 
     merchants = rows.groupBy("client_id", "category", "merchant_id").agg(
@@ -94,7 +110,7 @@ def top_category_merchants(
         F.sum(spent).alias("category_spend_usd"), F.min_by(top, best).alias("_top")
     )
     order = Window.partitionBy("client_id").orderBy(F.col("category_spend_usd").desc(), "category")
-    months = max(lookback_days / 30.0, 1.0)
+    months = max(recent_days / 30.0, 1.0)
     return (
         categories.withColumn("category_rank", F.row_number().over(order))
         .where((F.col("category_spend_usd") > 0) & F.col("_top.merchant_id").isNotNull())
@@ -102,13 +118,22 @@ def top_category_merchants(
         .withColumns(
             {
                 "merchant_share_of_category": ratio(spent, F.col("category_spend_usd")),
-                "lookback_days": F.lit(lookback_days),
+                "lookback_days": F.lit(recent_days),
                 "estimated_monthly_savings_usd": spent.cast("double") / months * CUTBACK_SHARE,
             }
         )
     )
 
 
+def top_category_merchants(
+    tx: DataFrame,
+    as_of: AsOf,
+    lookback_days: int = CUTBACK_LOOKBACK_DAYS,
+    discretionary_only: bool = True,
+) -> DataFrame:
+    return categories_of(spending_rollup(tx, as_of, lookback_days, lookback_days), lookback_days, discretionary_only)
+
+
 def _item(rec_id, title, action, rationale, saving, rule, preference, **meta):
     names = ("category", "merchant_id", "merchant_city", "merchant_state", "category_spend_usd",
              "merchant_spend_usd", "lookback_days", "active_months")
@@ -158,14 +183,14 @@ def subscription_items(recurring: DataFrame) -> DataFrame:
     )
 
 
-def cutback_items(hits: DataFrame) -> DataFrame:
-    """Cutback items for category ranks 1, 3, 5, 7 and 9.
+def cutback_items(hits: DataFrame, tries: int = CUTBACK_TRIES) -> DataFrame:
+    """Cutback items for the first `tries` categories of the walk: ranks 1, 3, 5, 7 and 9.
 
     The walk over candidates raises the rank and drops the category it has used, so it visits every
     other category. Dismissed items advance it too, so the ranks do not depend on feedback.
     """
     rank = F.col("category_rank")
-    visited = hits.where((rank % 2 == 1) & (rank <= 2 * CUTBACK_TRIES - 1))
+    visited = hits.where((rank % 2 == 1) & (rank <= 2 * tries - 1))
     category, merchant = F.col("category"), F.col("merchant_id")
     place = F.concat_ws(" / ", merchant, "merchant_city", "merchant_state")
     days = F.col("lookback_days")
@@ -218,7 +243,6 @@ def drop_dismissed(items: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def choose(items: DataFrame, n: int = MAX_RECOMMENDATIONS) -> DataFrame:
     """The first `n` items in order of preference, then ranked by saving."""
-    n = min(MAX_RECOMMENDATIONS, n)
     kept = best_rows(items, ["client_id"], [F.col("preference")], n)
     order = [F.col("estimated_monthly_savings_usd").desc(), F.col("preference")]
     return ranked(kept, ["client_id"], order, n)
@@ -230,14 +254,14 @@ def recommendations(
     feedback: DataFrame | None = None,
     n: int = MAX_RECOMMENDATIONS,
 ) -> DataFrame:
-    """At most two items per client: the top subscription first, then category cutbacks.
+    """At most `n` items per client: the top subscription first, then category cutbacks.
 
     If the top subscription is dismissed the next one is not tried. `tx` carries `category` and
-    `is_discretionary`; `feedback` holds the current status per item.
+    `is_discretionary`; `feedback` holds the current status per item. The transactions are read once, for a
+    rollup that is stored and read by both kinds of items.
     """
-    items = subscription_items(recurring_merchants(tx, as_of)).unionByName(
-        cutback_items(top_category_merchants(tx, as_of))
-    )
+    rollup = cut_lineage(spending_rollup(tx, as_of))
+    items = subscription_items(recurring_of(rollup)).unionByName(cutback_items(categories_of(rollup)))
     if feedback is not None:
         items = drop_dismissed(items, feedback)
     return choose(items, n)

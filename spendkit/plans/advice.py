@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import budget, coach, notify, recommend
+from ..session import cut_lineage
 from .registry import big, dbl, query
-from .spending import _budget, run_rate
+from .spending import _budget, forecasts
 from .views import AS_OF, LATE_AS_OF, Views
 
 
@@ -59,9 +60,9 @@ def feedback_latest(v: Views):
 
 @query("recs_after_feedback", "SELECT client_id, rec_id, rule, preference FROM open_items")
 def recs_after_feedback(v: Views):
-    tx = v.categorised(place=True)
-    items = recommend.subscription_items(recommend.recurring_merchants(tx, AS_OF)).unionByName(
-        recommend.cutback_items(recommend.top_category_merchants(tx, AS_OF)))
+    rollup = cut_lineage(recommend.spending_rollup(v.categorised(place=True), AS_OF))
+    items = recommend.subscription_items(recommend.recurring_of(rollup)).unionByName(
+        recommend.cutback_items(recommend.categories_of(rollup)))
     return recommend.drop_dismissed(items, _feedback(v)).select("client_id", "rec_id", "rule", big("preference"))
 
 
@@ -87,15 +88,15 @@ def crossed_thresholds(v: Views):
 
 
 def _inputs(v: Views, as_of: str = AS_OF):
-    return notify.notification_inputs(_budget(v, as_of), run_rate(v, as_of))
+    return notify.notification_inputs(_budget(v, as_of), forecasts(v, as_of))
 
 
 @query("notification_inputs", """
-    SELECT client_id, as_of_date, round(util, 6) AS utilization, round(projected, 6) AS projected, mtd_spend, limit_usd,
+    SELECT client_id, as_of_date, round(util, 6) AS utilization, round(projected, 4) AS projected, mtd_spend, limit_usd,
            round(remaining, 4) AS remaining, days, risk FROM inputs""")
 def notification_inputs(v: Views):
     return _inputs(v).select(
-        "client_id", "as_of_date", dbl("utilization_pct", "utilization", 6), dbl("projected_utilization_pct", "projected", 6),
+        "client_id", "as_of_date", dbl("utilization_pct", "utilization", 6), dbl("projected_utilization_pct", "projected", 4),
         F.col("mtd_spend_usd").alias("mtd_spend"), F.col("monthly_limit_usd").alias("limit_usd"),
         dbl("remaining_budget_usd", "remaining", 4), F.col("days_to_limit_estimate").alias("days"),
         F.col("overspend_risk").alias("risk"))
@@ -190,16 +191,16 @@ def channel_events(v: Views):
 
 
 def _context(v: Views):
-    return coach.coach_context(_budget(v), run_rate(v))
+    return coach.coach_context(_budget(v), forecasts(v))
 
 
 @query("coach_context", """
-    SELECT client_id, as_of_date, mtd, lim, remaining, round(util, 6) AS util, round(predicted, 4) AS predicted,
-           round(projected, 6) AS projected FROM context""")
+    SELECT client_id, as_of_date, mtd, lim, remaining, round(util, 6) AS util, round(predicted, 2) AS predicted,
+           round(projected, 4) AS projected FROM context""")
 def coach_context(v: Views):
     return _context(v).select(
         "client_id", "as_of_date", dbl(coach.MTD, "mtd"), dbl(budget.LIMIT, "lim"), dbl("remaining_budget_usd", "remaining"),
-        dbl("utilization_pct", "util", 6), dbl(coach.PREDICTED, "predicted", 4), dbl("projected_utilization_pct", "projected", 6))
+        dbl("utilization_pct", "util", 6), dbl(coach.PREDICTED, "predicted", 2), dbl("projected_utilization_pct", "projected", 4))
 
 
 @query("coach_intent", """
@@ -251,8 +252,8 @@ def coach_answers(v: Views):
 
 @query("coach_requests", """
     SELECT client_id, question_id, trim(question) AS asked, coalesce(said, '') AS history, CAST(mtd AS DOUBLE) AS mtd,
-           CAST(lim AS DOUBLE) AS lim, remaining, round(util, 6) AS util, round(predicted, 4) AS predicted,
-           round(projected, 6) AS projected, as_of_date::VARCHAR AS as_of, 7 AS n_required
+           CAST(lim AS DOUBLE) AS lim, remaining, round(util, 6) AS util, round(predicted, 2) AS predicted,
+           round(projected, 4) AS projected, as_of_date::VARCHAR AS as_of, 7 AS n_required
     FROM answers LEFT JOIN (
       SELECT client_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS said FROM (
         SELECT * FROM turns WHERE role IN ('user', 'assistant') AND content IS NOT NULL
@@ -268,6 +269,6 @@ def coach_requests(v: Views):
         "client_id", "question_id", sent["question"].alias("asked"), F.array_join(said, "\n").alias("history"),
         sent["context"][coach.MTD].alias("mtd"), sent["context"][budget.LIMIT].alias("lim"),
         sent["context"]["remaining_budget_usd"].alias("remaining"), F.round(sent["context"]["utilization_pct"], 6).alias("util"),
-        F.round(sent["context"][coach.PREDICTED], 4).alias("predicted"),
-        F.round(sent["context"]["projected_utilization_pct"], 6).alias("projected"),
+        F.round(sent["context"][coach.PREDICTED], 2).alias("predicted"),
+        F.round(sent["context"]["projected_utilization_pct"], 4).alias("projected"),
         sent["context"]["as_of_date"].alias("as_of"), F.size(sent["required_fields"]).alias("n_required"))

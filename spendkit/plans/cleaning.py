@@ -11,9 +11,10 @@ from .views import RAW_ORDER, Views
 
 
 @query("scan_client", """
-    SELECT id, client_id, transaction_dt, CAST(amount_usd AS DOUBLE) AS amount_usd, mcc_code, mcc_description FROM tx""")
+    SELECT id, client_id, transaction_dt, CAST(amount_usd AS DOUBLE) AS amount_usd, mcc_code, mcc_description
+    FROM tx WHERE client_id = 1""")
 def scan_client(v: Views):
-    return v.tx(place=False).select("id", "client_id", "transaction_dt", dbl("amount_usd"), "mcc_code", "mcc_description")
+    return v.tx(place=False).where("client_id = 1").select("id", "client_id", "transaction_dt", dbl("amount_usd"), "mcc_code", "mcc_description")
 
 
 @query("label_overrides", "SELECT id, category, source FROM last_labels")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..constants import FEATURES, RIDGE_ALPHA, TARGET
 from ..operators import budget, forecast, labeling, spend
+from ..session import cut_lineage
 from .registry import big, dbl, query
-from .views import AS_OF, EVENTS_AS_OF, Views
+from .views import AS_OF, EVENTS_AS_OF, STORED_VIEWS, VIEW_SQL, Views, with_views
 
 
 @query("spend_by_category", "SELECT client_id, category, CAST(sum(spend) AS DOUBLE) AS spend_usd FROM ctx GROUP BY 1, 2")
@@ -250,38 +251,34 @@ def time_split(v: Views):
 # Ridge in SQL: standardise, build the normal equations, solve them by elimination.
 _NAMES = ("year", "month", "dom", "dim", "rem", "mtd", "a7", "a30", "lim", "mtd_util", "a7_util")
 _N = len(_NAMES)
-_RIDGE = f"""
-    numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS r, date_diff('day', DATE '1970-01-01', day) AS d FROM samples),
-    cut AS MATERIALIZED (SELECT quantile_cont(CAST(d AS DOUBLE), 0.8) AS c FROM numbered),
-    train AS MATERIALIZED (SELECT * FROM numbered, cut WHERE d <= c),
-    long AS (SELECT r, j, x FROM (SELECT r, unnest([{', '.join(f'CAST({n} AS DOUBLE)' for n in _NAMES)}]) AS x,
-                                         unnest(range(1, {_N + 1})) AS j FROM train)),
-    stats AS MATERIALIZED (SELECT j, avg(x) AS mean, stddev_pop(x) AS scale FROM long GROUP BY 1),
-    z AS MATERIALIZED (SELECT r, j, (x - mean) / scale AS v FROM long JOIN stats USING (j)),
-    gram AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) + CASE WHEN a.j = b.j THEN {RIDGE_ALPHA} ELSE 0 END AS g
-             FROM z a JOIN z b USING (r) GROUP BY 1, 2
-             UNION ALL SELECT z.j, {_N + 1}, sum(z.v * t.month_total) FROM z JOIN train t USING (r) GROUP BY 1),
-    matrix AS (SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS line FROM gram GROUP BY 1)),
-    gauss AS (
+_UNPIVOT = f"""unnest([{', '.join(f'CAST({n} AS DOUBLE)' for n in _NAMES)}]) AS x, unnest(range(1, {_N + 1})) AS j"""
+RIDGE_VIEWS = {
+    "numbered": "SELECT *, row_number() OVER () AS r, date_diff('day', DATE '1970-01-01', day) AS d FROM samples",
+    "cut": "SELECT quantile_cont(CAST(d AS DOUBLE), 0.8) AS c FROM numbered",
+    "train": "SELECT numbered.*, c FROM numbered JOIN cut ON d <= c",
+    "long": f"SELECT r, j, x FROM (SELECT r, {_UNPIVOT} FROM train)",
+    "stats": "SELECT j, avg(x) AS mean, stddev_pop(x) AS scale FROM long GROUP BY 1",
+    "z": "SELECT r, j, (x - mean) / scale AS v FROM long JOIN stats USING (j)",
+    "gram": f"""
+        SELECT a.j AS i, b.j AS j, sum(a.v * b.v) + CASE WHEN a.j = b.j THEN {RIDGE_ALPHA} ELSE 0 END AS g
+        FROM z a JOIN z b USING (r) GROUP BY 1, 2
+        UNION ALL SELECT z.j, {_N + 1}, sum(z.v * t.month_total) FROM z JOIN train t USING (r) GROUP BY 1""",
+    "matrix": "SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS line FROM gram GROUP BY 1)",
+    "gauss": f"""
         SELECT 0 AS k, m FROM matrix
         UNION ALL
         SELECT k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1
             THEN list_transform(line, lambda x: x / line[k + 1])
             ELSE list_transform(line, lambda x, j: x - line[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
-        FROM gauss WHERE k < {_N}),
-    weights AS MATERIALIZED (SELECT j, m[j][{_N + 1}] AS w FROM gauss, unnest(range(1, {_N + 1})) AS t(j) WHERE k = {_N}),
-    model AS MATERIALIZED (SELECT j, mean, scale, w, (SELECT avg(month_total) FROM train) AS intercept FROM weights JOIN stats USING (j)),
-    fitted AS (SELECT r, any_value(intercept) + sum((x - mean) / scale * w) AS predicted
-               FROM (SELECT r, unnest([{', '.join(f'CAST({n} AS DOUBLE)' for n in _NAMES)}]) AS x,
-                            unnest(range(1, {_N + 1})) AS j FROM numbered) JOIN model USING (j) GROUP BY 1)"""
-
-
-def _ridge(select: str) -> str:
-    """`with_views` adds the views; this adds the model behind them."""
-    from .views import with_views
-
-    head = with_views("SELECT * FROM samples").rsplit("SELECT * FROM samples", 1)[0]
-    return head.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + "," + _RIDGE + select
+        FROM gauss WHERE k < {_N}""",
+    "weights": f"SELECT j, m[j][{_N + 1}] AS w FROM gauss, unnest(range(1, {_N + 1})) AS t(j) WHERE k = {_N}",
+    "model": "SELECT j, mean, scale, w, (SELECT avg(month_total) FROM train) AS intercept FROM weights JOIN stats USING (j)",
+    "fitted": f"""
+        SELECT r, any_value(intercept) + sum((x - mean) / scale * w) AS predicted
+        FROM (SELECT r, {_UNPIVOT} FROM numbered) JOIN model USING (j) GROUP BY 1""",
+}
+VIEW_SQL.update(RIDGE_VIEWS)
+STORED_VIEWS.update({"numbered", "cut", "train", "stats", "z", "weights", "model", "fitted"})
 
 
 @query("ridge_fit")
@@ -316,28 +313,29 @@ def predict_month_end(v: Views):
     return scored.select("client_id", "day", dbl("predicted_month_end_discretionary_spend_usd", "predicted", 2))
 
 
-def run_rate(v: Views, as_of: str = AS_OF):
-    """Forecast rows with spend so far scaled to the whole month in place of the model."""
-    rows = forecast.feature_row_as_of(_samples(v), as_of)
-    rate = F.col(forecast.MTD).cast("double") * F.col("days_in_month") / F.col("day_of_month")
-    rows = rows.withColumn("predicted_month_end_discretionary_spend_usd", rate)
+def forecasts(v: Views, as_of: str = AS_OF):
+    """The fitted model's forecast of every client with a sample, with its signals."""
+    samples = cut_lineage(_samples(v))
+    rows = forecast.predict_month_end(forecast.feature_row_as_of(samples, as_of), forecast.fit_month_end_model(samples))
     return forecast.overspend_signals(rows).withColumn("as_of_date", F.col("as_of"))
 
 
 @query("overspend_risk", """
-    SELECT client_id, lim, mtd, round(predicted, 4) AS predicted, round(projected, 6) AS projected, risk,
+    SELECT client_id, lim, mtd, round(predicted, 2) AS predicted, round(projected, 4) AS projected, risk,
            days, round(remaining, 4) AS remaining FROM signals""")
 def overspend_risk(v: Views):
-    return run_rate(v).select(
+    return forecasts(v).select(
         "client_id", dbl(budget.LIMIT, "lim"), dbl(forecast.MTD, "mtd"),
-        dbl("predicted_month_end_discretionary_spend_usd", "predicted", 4),
-        dbl("projected_utilization_pct", "projected", 6), F.col("overspend_risk").alias("risk"),
+        dbl("predicted_month_end_discretionary_spend_usd", "predicted", 2),
+        dbl("projected_utilization_pct", "projected", 4), F.col("overspend_risk").alias("risk"),
         F.col("days_to_limit_estimate").alias("days"), dbl("remaining_budget_usd", "remaining", 4))
 
 
 def _runway(v: Views):
-    model = forecast.fit_month_end_model(_samples(v))
-    return forecast.score_clients(v.categorised(), v.limits(), AS_OF, model)
+    # One rollup serves the fit and the scores.
+    daily = cut_lineage(forecast.daily_discretionary(v.categorised()))
+    model = forecast.fit_month_end_model(forecast.training_samples(daily, v.limits()))
+    return forecast.score_daily(daily, v.limits(), AS_OF, model)
 
 
 @query("runway")
@@ -350,26 +348,26 @@ def runway(v: Views):
 
 
 @query("forecast_compare", """
-    SELECT client_id, 'MTD actual' AS label, mtd AS spend_usd FROM signals
-    UNION ALL SELECT client_id, 'Projected month-end', round(predicted, 4) FROM signals
+    SELECT client_id, 'MTD actual' AS label, round(mtd, 2) AS spend_usd FROM signals
+    UNION ALL SELECT client_id, 'Projected month-end', round(predicted, 2) FROM signals
     UNION ALL SELECT client_id, 'Monthly limit', lim FROM signals""")
 def forecast_compare(v: Views):
-    return forecast.forecast_compare(run_rate(v)).select("client_id", "label", dbl("spend_usd", digits=4))
+    return forecast.forecast_compare(forecasts(v)).select("client_id", "label", dbl("spend_usd", digits=2))
 
 
 _LABELS = "['(intercept)', " + ", ".join(f"'{n}'" for n in FEATURES) + "]"
 RIDGE_CHECKS = {
-    "ridge_fit": _ridge(f"""
+    "ridge_fit": with_views(f"""
         SELECT 0 AS position, '(intercept)' AS feature, 0.0 AS mean, 1.0 AS scale, round(any_value(intercept), 3) AS weight FROM model
         UNION ALL SELECT j, {_LABELS}[j + 1], round(mean, 4), round(scale, 4), round(w, 3) FROM model"""),
-    "ridge_metrics": _ridge("""
+    "ridge_metrics": with_views("""
         SELECT CAST(DATE '1970-01-01' + CAST(floor(any_value(c)) AS INTEGER) AS VARCHAR) AS cutoff_day, count(*) AS n_samples,
                count(*) FILTER (d <= c) AS n_train, count(*) FILTER (d > c) AS n_test,
                round(avg(abs(month_total - predicted)) FILTER (d <= c), 3) AS mae_train_usd,
                round(avg(abs(month_total - predicted)) FILTER (d > c), 3) AS mae_test_usd
-        FROM numbered JOIN fitted USING (r), cut"""),
-    "predict_month_end": _ridge("SELECT client_id, day, round(predicted, 2) AS predicted FROM numbered JOIN fitted USING (r)"),
-    "runway": _ridge("""
+        FROM numbered JOIN fitted USING (r) CROSS JOIN cut"""),
+    "predict_month_end": with_views("SELECT client_id, day, round(predicted, 2) AS predicted FROM numbered JOIN fitted USING (r)"),
+    "runway": with_views("""
         SELECT l.client_id, DATE '2000-06-15' AS as_of_date, CASE WHEN s.r IS NOT NULL THEN s.lim END AS lim, s.mtd,
                round(predicted, 2) AS predicted, round(predicted / s.lim, 4) AS projected, predicted > s.lim AS risk,
                CASE WHEN s.lim - s.mtd <= 0 THEN 0

@@ -7,8 +7,6 @@ are merchants, part types decide the MCC code. Every view covers its tables whol
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import UNKNOWN_MCC
@@ -18,7 +16,6 @@ from ..operators.labeling import cache_key, with_rule_category
 AS_OF = "2000-06-15"
 LATE_AS_OF = "2000-06-25"
 EVENTS_AS_OF = "2024-01-20"
-SPREAD_BELOW = 256 * 1024 * 1024
 RAW_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice"]
 
 _BY_BRAND = {
@@ -55,18 +52,6 @@ def _money(c: Column) -> Column:
     return c.cast("decimal(18,2)")
 
 
-@lru_cache(maxsize=64)
-def stored_table(spark: SparkSession, path: str) -> DataFrame:
-    """A lazy read; the file footer is looked at once per table and not once per use."""
-    return spark.read.parquet(path)
-
-
-@lru_cache(maxsize=64)
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Size of the stored files, from their listing; no content is read."""
-    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
-
-
 class Views:
     """Lazy views over one folder of parquet tables."""
 
@@ -74,23 +59,12 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return stored_table(self.spark, f"{self.sf_dir}/{name}.parquet")
-
-    def spread(self, name: str, key: str) -> DataFrame:
-        """A table, dealt out over the cores if it is small.
-
-        A small file is one row group and would be read, joined and sorted by one task. Tables from
-        256 MB on come in enough row groups and are taken as they are.
-        """
-        rows = self.table(name)
-        if stored_bytes(self.spark, f"{self.sf_dir}/{name}.parquet") >= SPREAD_BELOW:
-            return rows
-        return rows.repartition(self.spark.sparkContext.defaultParallelism, key)
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def lines(self, place: bool = True) -> DataFrame:
         """Order lines with client and part; `place=False` leaves the merchant's city out."""
         rows = (
-            self.spread("lineitem", "l_orderkey")
+            self.table("lineitem")
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         )
@@ -512,17 +486,16 @@ VIEW_SQL = {
           SELECT client_id, sum(spend) AS mtd FROM ctx
           WHERE is_discretionary AND transaction_dt >= TIMESTAMP '2000-06-01' AND transaction_dt <= TIMESTAMP '2000-06-15'
           GROUP BY 1) m ON l.client_id = m.client_id""",
-    # The forecast with a run-rate prediction in place of the model.
-    "runrate": """
-        SELECT client_id, DATE '2000-06-15' AS as_of_date, lim, mtd, dim, mtd * dim / dom AS predicted
-        FROM samples WHERE day <= DATE '2000-06-15'
+    "latest": """
+        SELECT client_id, DATE '2000-06-15' AS as_of_date, lim, mtd, dim, predicted
+        FROM numbered JOIN fitted USING (r) WHERE day <= DATE '2000-06-15'
         QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY day DESC) = 1""",
     "signals": """
         SELECT *, predicted / lim AS projected, predicted > lim AS risk, lim - mtd AS remaining,
                CASE WHEN lim - mtd <= 0 THEN 0
                     WHEN predicted - mtd > 0 THEN CAST(ceil((lim - mtd) / ((predicted - mtd) / greatest(dim - 15, 1))) AS BIGINT)
                END AS days
-        FROM runrate""",
+        FROM latest""",
     "inputs": """
         SELECT b.client_id, b.as_of_date, b.util, s.projected,
                coalesce(nullif(CAST(b.mtd AS DOUBLE), 0), s.mtd) AS mtd_spend,
@@ -549,8 +522,8 @@ VIEW_SQL = {
                      row_number() OVER (PARTITION BY client_id ORDER BY sum(spend) DESC, category) AS category_rank
               FROM window90 GROUP BY 1, 2) c
         JOIN (SELECT client_id, category, merchant_id, sum(spend) AS merchant_spend,
-                     arg_min(merchant_city, (transaction_dt, id)) FILTER (merchant_city IS NOT NULL) AS city,
-                     arg_min(merchant_state, (transaction_dt, id)) FILTER (merchant_state IS NOT NULL) AS state
+                     arg_min(merchant_city, (transaction_dt, merchant_city)) FILTER (merchant_city IS NOT NULL) AS city,
+                     arg_min(merchant_state, (transaction_dt, merchant_state)) FILTER (merchant_state IS NOT NULL) AS state
               FROM window90 WHERE merchant_id IS NOT NULL GROUP BY 1, 2, 3
               QUALIFY row_number() OVER (PARTITION BY client_id, category ORDER BY sum(spend) DESC, merchant_id) = 1) m
           ON c.client_id = m.client_id AND c.category = m.category
@@ -633,25 +606,31 @@ def _late(sql: str) -> str:
     return sql.replace("2000-06-15", LATE_AS_OF).replace("dim - 15", "dim - 25")
 
 
-LATE_VIEWS = ("budget", "runrate", "signals", "inputs")
+LATE_VIEWS = ("budget", "latest", "signals", "inputs")
 VIEW_SQL.update({f"{name}_late": _late(VIEW_SQL[name]) for name in LATE_VIEWS})
 
 
+#: Views that are computed once: a row number, and what the model reads again and again.
+STORED_VIEWS: set[str] = set()
+
+
 def with_views(sql: str) -> str:
     """Put the views that `sql` names, and those they name, in front of it."""
     import re
 
     needed: list[str] = []
+    open_views: set[str] = set()  # a recursive view names itself
 
     def visit(text: str) -> None:
         for name in VIEW_SQL:
-            if name not in needed and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+            if name not in needed and name not in open_views and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+                open_views.add(name)
                 visit(VIEW_SQL[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(sql)
     if not needed:
         return sql
-    heads = ", ".join(f"{name} AS ({VIEW_SQL[name]})" for name in needed)
-    return f"WITH RECURSIVE {heads} {sql}" if "RECURSIVE" in sql else f"WITH {heads} {sql}"
+    kept = "AS MATERIALIZED"
+    heads = ", ".join(f"{name} {kept if name in STORED_VIEWS else 'AS'} ({VIEW_SQL[name]})" for name in needed)
+    return f"WITH{' RECURSIVE' if 'gauss' in needed else ''} {heads} {sql}"

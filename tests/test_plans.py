@@ -49,3 +49,30 @@ def test_single_pass(spark):
     for name, scans in (("top_category_merchant", 1), ("monthly_category_trend", 1), ("recurring_merchants", 1), ("training_samples", 1)):
         text = plan(QUERIES[name](spark, SF))
         assert len(re.findall(r"FileScan parquet \[[^\]]*l_extendedprice", text)) == scans, name
+
+
+def test_recommendations_read_transactions_once(spark):
+    """The rollup is one hash aggregate over one scan; both kinds of items read what it stored."""
+    from spendkit.plans.views import AS_OF, Views
+
+    rollup = plan(recommend.spending_rollup(Views(spark, SF).categorised(place=True), AS_OF))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_extendedprice", rollup)) == 1 and "SortAggregate" not in rollup
+    # What is left is the feedback view's own scan.
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_extendedprice", plan(QUERIES["recommendations"](spark, SF)))) == 0
+
+
+def test_profiles_and_qa_do_not_sort_raw_rows(spark):
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_extendedprice", plan(QUERIES["merchant_profiles"](spark, SF)))) == 1
+    assert "SortAggregate" not in plan(QUERIES["qa_report"](spark, SF))
+
+
+def test_scores_read_the_last_month_only(spark):
+    from spendkit.operators import forecast
+
+    early = spark.range(50).selectExpr("1L client_id", "date_add(date'2010-01-01', int(id)) day", "cast(id % 7 as decimal(18,2)) discretionary_spend_usd")
+    late = spark.sql("select 1L client_id, to_date(d) day, cast(v as decimal(18,2)) discretionary_spend_usd from values ('2010-03-02', 5), ('2010-03-09', 1), ('2010-05-01', 9) t(d, v)")
+    daily = early.unionByName(late)
+    limits = spark.createDataFrame([(1, 100.0)], "client_id long, l double").selectExpr("client_id", "cast(l as decimal(18,2)) monthly_discretionary_limit_usd")
+    fit = forecast.fit_month_end_model(forecast.training_samples(daily, limits), "2010-02-01")
+    row = forecast.score_daily(daily, limits, "2010-03-20", fit).first()
+    assert float(row["mtd_discretionary_spend_usd"]) == 6.0 and row["status"] == "scored"
