@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import budget, coach, notify, recommend
+from ..operators import budget, coach, notify, recommend, spend
 from ..session import cut_lineage
 from .registry import big, dbl, query
 from .spending import _budget, forecasts
@@ -76,6 +76,14 @@ def recommendations(v: Views):
         "client_id", "rec_id", "title", "rule", dbl("estimated_monthly_savings_usd", "saving", 4), big("rank"))
 
 
+@query("recommendations_at_last_date", "SELECT client_id, rec_id, title, rule, round(saving, 4) AS saving, rank FROM recs_last")
+def recommendations_at_last_date(v: Views):
+    """Each client as of the day of its last transaction."""
+    tx = v.categorised(place=True)
+    return recommend.recommendations(tx, spend.default_as_of(tx)).select(
+        "client_id", "rec_id", "title", "rule", dbl("estimated_monthly_savings_usd", "saving", 4), big("rank"))
+
+
 @query("crossed_thresholds", """
     SELECT client_id, round(util, 6) AS utilization, CAST(coalesce(util >= 0.7, FALSE) AS BIGINT) + CAST(coalesce(util >= 0.85, FALSE) AS BIGINT)
              + CAST(coalesce(util >= 0.95, FALSE) AS BIGINT) AS n_crossed,

@@ -218,12 +218,24 @@ def qa_report(v: Views):
     return cleaning.qa_report(**_clean_inputs(v), focus_client_id="1")
 
 
-@query("clean_transactions", """
-    SELECT p.id, p.client_id, p.card_id, p.transaction_dt, CAST(p.amount_usd AS DOUBLE) AS amount_usd, p.use_chip,
-           p.merchant_id, p.merchant_city, p.merchant_state, p.zip_norm, p.mcc_code,
+def _dollars(sql: str) -> str:
+    return f"'$' || CAST(CAST({sql} AS DECIMAL(18,2)) AS VARCHAR)"
+
+
+@query("clean_transactions", f"""
+    SELECT p.id, p.date, p.client_id, p.card_id, p.amount, p.transaction_dt, CAST(p.amount_usd AS DOUBLE) AS amount_usd,
+           p.use_chip, p.merchant_id, p.merchant_city, p.merchant_state, p.zip, p.zip_norm, p.mcc, p.mcc_code,
            coalesce(m.mcc_description, 'UNKNOWN_MCC') AS mcc_description, p.is_online, p.errors,
            c.c_mktsegment AS card_brand, CAST(c.c_custkey // 30 AS VARCHAR) AS client_id_card,
-           c.c_acctbal AS credit_limit_usd, CAST(h.max_nation + 600 AS VARCHAR) AS credit_score,
+           CASE WHEN c.c_custkey IS NOT NULL THEN 'Debit' END AS card_type, CASE WHEN c.c_custkey IS NOT NULL THEN '12/2022' END AS expires,
+           CASE WHEN c.c_acctbal > 5000 THEN TRUE WHEN c.c_acctbal > 0 THEN FALSE END AS has_chip,
+           CAST(c.c_nationkey AS VARCHAR) AS num_cards_issued, CASE WHEN c.c_custkey IS NOT NULL THEN '09/2002' END AS acct_open_date,
+           CASE WHEN c.c_custkey IS NOT NULL THEN '2014' END AS year_pin_last_changed,
+           CASE WHEN c.c_custkey IS NOT NULL THEN FALSE END AS card_on_dark_web, c.c_acctbal AS credit_limit_usd,
+           CAST(h.min_nation + 20 AS VARCHAR) AS current_age, {_dollars('h.max_bal')} AS per_capita_income,
+           {_dollars('h.max_bal * 2')} AS yearly_income, {_dollars('h.min_bal')} AS total_debt,
+           CAST(h.max_nation + 600 AS VARCHAR) AS credit_score, CAST(h.n AS VARCHAR) AS num_credit_cards,
+           CASE WHEN h.lead > 0 THEN {_dollars('h.lead * 100')} || ' ' END AS monthly_discretionary_limits,
            CAST(l.monthly_limit AS DOUBLE) AS monthly_discretionary_limit_usd
     FROM parsed_tx p
     LEFT JOIN mcc_dim m ON p.mcc_code = m.mcc_code
@@ -232,10 +244,10 @@ def qa_report(v: Views):
     LEFT JOIN limits l ON p.client_id = CAST(l.client_id AS VARCHAR)
     WHERE p.amount_usd IS NOT NULL AND p.transaction_dt IS NOT NULL""")
 def clean_transactions(v: Views):
-    return cleaning.clean_transactions(**_clean_inputs(v)).select(
-        "id", "client_id", "card_id", "transaction_dt", dbl("amount_usd"), "use_chip", "merchant_id", "merchant_city",
-        "merchant_state", "zip_norm", "mcc_code", "mcc_description", "is_online", "errors", "card_brand",
-        "client_id_card", dbl("credit_limit_usd"), "credit_score", dbl("monthly_discretionary_limit_usd"))
+    """All columns of the enriched table."""
+    rows = cleaning.clean_transactions(**_clean_inputs(v))
+    money_columns = ("amount_usd", "credit_limit_usd", "monthly_discretionary_limit_usd")
+    return rows.select(*[dbl(c) if c in money_columns else c for c in rows.columns])
 
 
 @query("client_ids", "SELECT client_id FROM households")

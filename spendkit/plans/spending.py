@@ -338,15 +338,27 @@ def _runway(v: Views):
     return forecast.score_daily(daily, v.limits(), AS_OF, model)
 
 
-@query("runway")
-def runway(v: Views):
-    return _runway(v).select(
+def _runway_columns(rows):
+    return rows.select(
         "client_id", "as_of_date", dbl(budget.LIMIT, "lim"), dbl(forecast.MTD, "mtd"),
         dbl("predicted_month_end_discretionary_spend_usd", "predicted", 2),
         dbl("projected_utilization_pct", "projected", 4), F.col("overspend_risk").alias("risk"),
         F.col("days_to_limit_estimate").alias("days"), dbl("remaining_budget_usd", "remaining", 2), "status")
 
 
+@query("runway")
+def runway(v: Views):
+    return _runway_columns(_runway(v))
+
+
+@query("runway_at_last_date")
+def runway_at_last_date(v: Views):
+    """Each client as of the day of its last transaction."""
+    tx = v.categorised()
+    model = forecast.fit_month_end_model(_samples(v))
+    return _runway_columns(forecast.score_clients(tx, v.limits(), spend.default_as_of(tx), model))
+
+
 @query("forecast_compare", """
     SELECT client_id, 'MTD actual' AS label, round(mtd, 2) AS spend_usd FROM signals
     UNION ALL SELECT client_id, 'Projected month-end', round(predicted, 2) FROM signals
@@ -379,4 +391,14 @@ RIDGE_CHECKS = {
                    FROM (SELECT *, c_custkey // 30 AS client_id FROM customer) GROUP BY 1) h ON l.client_id = h.client_id
         LEFT JOIN (SELECT * FROM numbered JOIN fitted USING (r) WHERE day <= DATE '2000-06-15'
                    QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY day DESC) = 1) s ON l.client_id = s.client_id"""),
+    "runway_at_last_date": with_views("""
+        SELECT l.client_id, a.as_of AS as_of_date, CASE WHEN s.r IS NOT NULL THEN s.lim END AS lim, s.mtd,
+               round(predicted, 2) AS predicted, round(predicted / s.lim, 4) AS projected, predicted > s.lim AS risk,
+               CASE WHEN s.lim - s.mtd <= 0 THEN 0
+                    WHEN predicted - s.mtd > 0 THEN CAST(ceil((s.lim - s.mtd) / ((predicted - s.mtd) / greatest(dim - day(a.as_of), 1))) AS BIGINT)
+               END AS days, round(s.lim - s.mtd, 2) AS remaining,
+               CASE WHEN monthly_limit IS NULL OR monthly_limit <= 0 THEN 'no_limit' WHEN s.r IS NULL THEN 'no_history' ELSE 'scored' END AS status
+        FROM limits l JOIN last_day a ON l.client_id = a.client_id
+        LEFT JOIN (SELECT * FROM numbered JOIN fitted USING (r) JOIN last_day USING (client_id) WHERE day <= as_of
+                   QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY day DESC) = 1) s ON l.client_id = s.client_id"""),
 }

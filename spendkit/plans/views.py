@@ -378,7 +378,7 @@ VIEW_SQL = {
                upper(trim(merchant_state)) AS merchant_state,
                replace(zip, '.0', '') AS zip_norm,
                CASE WHEN mcc <> 'n1a.0' THEN replace(mcc, '.0', '') END AS mcc_code, errors,
-               use_chip = 'Online Transaction' AS is_online, copies
+               use_chip = 'Online Transaction' AS is_online, date, trim(amount) AS amount, zip, mcc, copies
         FROM first_tx""",
     "mcc_dim": "SELECT DISTINCT mcc_code, mcc_description FROM partmcc WHERE mcc_description <> 'UNKNOWN_MCC'",
     "households": """
@@ -610,6 +610,22 @@ LATE_VIEWS = ("budget", "latest", "signals", "inputs")
 VIEW_SQL.update({f"{name}_late": _late(VIEW_SQL[name]) for name in LATE_VIEWS})
 
 
+LAST_DAY_VIEWS = ("recurring", "window90", "hits", "items")
+
+
+def _at_last_day(sql: str) -> str:
+    """The same view with each client's last transaction day in place of one date for all."""
+    for name in LAST_DAY_VIEWS:
+        sql = sql.replace(f"FROM {name}", f"FROM {name}_last").replace(f"JOIN {name}", f"JOIN {name}_last")
+    return sql.replace("FROM ctx", "FROM ctx JOIN last_day USING (client_id)").replace("TIMESTAMP '2000-06-15'", "CAST(as_of AS TIMESTAMP)")
+
+
+VIEW_SQL["last_day"] = "SELECT client_id, max(CAST(transaction_dt AS DATE)) AS as_of FROM ctx GROUP BY 1"
+VIEW_SQL.update({f"{name}_last": _at_last_day(VIEW_SQL[name]) for name in LAST_DAY_VIEWS})
+VIEW_SQL["recs_last"] = """
+    SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY saving DESC, preference) AS rank FROM (
+      SELECT * FROM items_last QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY preference) <= 2)"""
+
 #: Views that are computed once: a row number, and what the model reads again and again.
 STORED_VIEWS: set[str] = set()
 
