@@ -23,15 +23,16 @@ def _small(edges: DataFrame) -> DataFrame:
     return own.unionByName(others)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int) -> DataFrame:
     """(node, root) of every node of `links` (a, b); root is the least node that links reach.
 
     Each round is two aggregates and two joins over at most as many edges as before; rounds grow with the
-    logarithm of the longest path. Nothing of the links comes to the driver but a count and a checksum.
+    logarithm of the longest path. Nothing of the links comes to the driver but a count and a checksum. `parts`
+    bounds the tasks of a stage: links are few numbers each, and a task per shuffle partition would do nothing.
     """
-    edges, seen = cut_lineage(links.select("a", "b").where("a <> b")), None
+    edges, seen = cut_lineage(links.select("a", "b").where("a <> b").coalesce(parts)), None
     while True:
-        edges = cut_lineage(_small(_large(edges)).distinct())
+        edges = cut_lineage(_small(_large(edges).coalesce(parts)).distinct().coalesce(parts))
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == seen:
             break

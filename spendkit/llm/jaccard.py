@@ -43,6 +43,8 @@ ROUNDS = 3
 #: Rows of a side of the square blocks for what stars leave, and hot columns by which rows tell who puts a pair out.
 BLOCK = 256
 NAMED = 8
+#: Documents per part of the tables of pairs, links and classes, which hold a few numbers for some of the documents.
+DOCS_PER_PART = 16_384
 
 
 def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
@@ -360,24 +362,29 @@ class Product:
         self.rows = rows.select("id", "text_hash", "key", "n")
         self.classes = cut_lineage(rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.max("profile").alias("profile")))
         self.levels = frequency_levels(described)
+        self.parts = 1 + self.rows.count() // DOCS_PER_PART
+
+    def small(self, table: DataFrame) -> DataFrame:
+        """Stored in as many parts as the number of documents asks for."""
+        return cut_lineage(table.coalesce(self.parts))
 
     def sets(self, keys: DataFrame) -> DataFrame:
         """(key, shingles) of the distinct `keys`, and some more that the filter lets through."""
-        speak = self.classes.join(keys, "key", "left_semi").select("key", F.coalesce("id", F.lit(-1)).alias("id"))
+        speak = self.classes.join(keys, "key", "left_semi").select("key", F.coalesce("id", F.lit(-1)).alias("id")).coalesce(self.parts)
         wanted = Bloom.of(speak.mapInArrow(_speakers, "code long"), "code")
         return cut_lineage(self.texts.mapInArrow(lambda batches: _sets(batches, wanted), "key long, shingles binary"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that are links."""
         for side, name in (("a", "left"), ("b", "right")):
-            pairs = pairs.join(self.classes.selectExpr(f"key AS {side}", f"n AS {name}_n", f"profile AS {name}"), side)
-        pairs = cut_lineage(pairs.select("a", "b", "left_n", "left", "right_n", "right").mapInArrow(_possible, "a long, b long"))
+            pairs = pairs.join(self.classes.selectExpr(f"key AS {side}", f"n AS {name}_n", f"profile AS {name}"), side).coalesce(self.parts)
+        pairs = self.small(pairs.select("a", "b", "left_n", "left", "right_n", "right").mapInArrow(_possible, "a long, b long"))
         asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         sets = self.sets(asked)
         left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
         right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("right"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return cut_lineage(both.mapInArrow(_overlaps, "a long, b long").distinct())
+        both = pairs.join(left, "a").coalesce(self.parts).join(right, "b").select("a", "b", "left", "right").coalesce(self.parts)
+        return self.small(both.mapInArrow(_overlaps, "a long, b long").distinct())
 
     def multiply(self, rows: DataFrame, seed: int) -> DataFrame:
         dealt = rows.repartition("gram").sortWithinPartitions("gram", F.xxhash64("key", F.lit(seed)))
@@ -386,7 +393,7 @@ class Product:
     def blocks(self, rooted: DataFrame) -> DataFrame:
         """Pairs of different roots within the columns of `rooted` that may be linked, from square blocks of profiles."""
         rank = F.row_number().over(Window.partitionBy("gram").orderBy("root", "key"))
-        rows = cut_lineage(rooted.select("gram", "key", "root", F.floor((rank - 1) / BLOCK).alias("block")))
+        rows = self.small(rooted.select("gram", "key", "root", F.floor((rank - 1) / BLOCK).alias("block")))
         ends = rows.groupBy("gram", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         other = ends.select("gram", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
         # Two blocks of one and the same root have nothing to find.
@@ -394,7 +401,7 @@ class Product:
         pairs = pairs.select("gram", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         named = rows.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("gram")), 1, NAMED).alias("named"))
         of = self.classes.select("key", "n", "profile").join(named, "key")
-        dealt = rows.join(pairs, ["gram", "block"]).join(of, "key")
+        dealt = rows.join(pairs, ["gram", "block"]).coalesce(self.parts).join(of.coalesce(self.parts), "key").coalesce(self.parts)
         return dealt.groupBy("gram", "i", "j").applyInPandas(_block, "a long, b long").distinct()
 
     def roots(self) -> DataFrame:
@@ -403,26 +410,27 @@ class Product:
         prefixes = self.texts.mapInArrow(lambda batches: _prefixes(batches, levels), "gram long, key long, n int, at int")
         first = cut_lineage(self.multiply(prefixes, 0))
         hot = first.where("b is null").select("gram", "key", "n", "at")
-        asked = cut_lineage(_asked(first).distinct())
+        asked = self.small(_asked(first).distinct())
         links, before = self.verified(asked), None
         for seed in range(1, ROUNDS + 2):
-            roots = components(links)
+            roots = components(links, self.parts)
             # What is left of the hot columns: those whose rows have several roots.
             rooted = hot.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+            rooted = self.small(rooted)
             shares = rooted.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(
                 F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("within"),
             ).where("rows * rows > within")
             rows, left = shares.agg(F.sum("rows"), F.sum(F.expr("rows * rows - within"))).first()
             if not left:
                 return roots
-            rooted = cut_lineage(rooted.join(shares.select("gram"), "gram", "left_semi"))
+            rooted = self.small(rooted.join(shares.select("gram"), "gram", "left_semi"))
             if seed > ROUNDS or left <= BLOCK * rows or before and 2 * left > before:
                 break
-            fresh = cut_lineage(_asked(self.multiply(rooted, seed)).distinct().join(asked, ["a", "b"], "left_anti"))
-            links = cut_lineage(links.unionByName(self.verified(fresh)))
-            asked, before = cut_lineage(asked.unionByName(fresh)), left
-        fresh = cut_lineage(self.blocks(rooted).join(asked, ["a", "b"], "left_anti"))
-        return components(links.unionByName(self.verified(fresh)))
+            fresh = self.small(_asked(self.multiply(rooted, seed)).distinct().join(asked, ["a", "b"], "left_anti"))
+            links = links.unionByName(self.verified(fresh))
+            asked, before = asked.unionByName(fresh), left
+        fresh = self.small(self.blocks(rooted).join(asked, ["a", "b"], "left_anti"))
+        return components(links.unionByName(self.verified(fresh)), self.parts)
 
 
 def _asked(multiplied: DataFrame) -> DataFrame:

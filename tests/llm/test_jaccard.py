@@ -131,6 +131,6 @@ def test_components_of_long_chains(spark):
     nodes = rng.sample(range(10_000), 300)
     links = [(a, b) for a, b in zip(nodes[:200], nodes[1:200])] + [(nodes[250], x) for x in nodes[251:]]
     links += [(b, a) for a, b in links[:20]] + [(nodes[0], nodes[0])]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), 3).collect()}
     assert got == {**{x: min(nodes[:200]) for x in nodes[:200]}, **{x: min(nodes[250:]) for x in nodes[250:]}}
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert components(spark.createDataFrame([], "a long, b long"), 1).collect() == []
