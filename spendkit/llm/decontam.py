@@ -150,9 +150,11 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = tests.select(
         F.col("id").alias("item_id"), "print", "span", F.col("before").alias("item_before"), F.col("after").alias("item_after"),
     ).distinct()
+    # Ids go through pandas as text, which keeps nulls and every digit.
     runs = prints.join(asked, ["print", "span"]).select(
-        "id", "text_hash", "item_id", "at", "size", "span", "before", "after", "item_before", "item_after",
-    ).mapInPandas(_extend, "id long, text_hash long, item_id long, begin long, end long")
+        F.col("id").cast("string"), "text_hash", F.col("item_id").cast("string"), "at", "size", "span", "before", "after", "item_before", "item_after",
+    ).mapInPandas(_extend, "id string, text_hash long, item_id string, begin long, end long")
+    runs = runs.withColumns({"id": F.col("id").cast("long"), "item_id": F.col("item_id").cast("long")})
     return rows.where("print is null").select("id", "text_hash", "n_words"), cut_lineage(runs.distinct())
 
 

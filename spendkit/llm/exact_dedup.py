@@ -16,13 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import cut_lineage, keep_rows
+from .storage import NO_ID, cut_lineage, keep_rows
 
 BUCKET_KEYS = 8192
 GROUP_KEYS = 4
 TRIES = 64
 
-INDEX_SCHEMA = "bucket long, size int, seeds binary, digests binary, winners array<bigint>, counts array<bigint>"
+INDEX_SCHEMA = "bucket long, size int, seeds binary, digests binary, winners binary"
 
 
 def normalised(text: str = "text") -> Column:
@@ -41,8 +41,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
-    """Per digest the smallest doc_id and the number of rows."""
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
+    """Per digest the smallest doc_id, NO_ID if there is none, and the number of rows."""
+    return rows.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("winner"), F.count(F.lit(1)).alias("n"))
 
 
 def bucket_of(buckets: int) -> Column:
@@ -116,10 +116,6 @@ def _raw(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), 32)
 
 
-def _numbers(values: np.ndarray) -> list:
-    return [None if pd.isna(v) else int(v) for v in values]
-
-
 def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     raw = _raw(rows["digest"])
     seeds, slots = place(raw)
@@ -127,7 +123,7 @@ def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     back[slots] = np.arange(len(raw))
     return pd.DataFrame({
         "bucket": [key[0]], "size": [len(raw)], "seeds": [seeds.tobytes()], "digests": [raw[back].tobytes()],
-        "winners": [_numbers(rows["winner"].to_numpy()[back])], "counts": [rows["n"].to_numpy()[back].tolist()],
+        "winners": [rows["winner"].to_numpy(np.int64)[back].tobytes()],
     })
 
 
@@ -137,18 +133,16 @@ def build_index(known: DataFrame, buckets: int) -> DataFrame:
 
 
 def _probe(key: tuple, new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = new[["digest"]].copy()
-    out["winner"], out["n"], out["member"] = new["winner"].astype("Int64"), new["n"], False
+    out = new[["digest", "winner", "n"]].copy()
+    out["member"] = False
     if not len(index) or not len(new):
         return out
     row = index.iloc[0]
     raw = _raw(new["digest"])
     held = np.frombuffer(row["digests"], np.uint8).reshape(row["size"], 32)
     slots = slots_of(raw, np.frombuffer(row["seeds"], np.int32), row["size"])
-    member = (held[slots] == raw).all(axis=1)
-    winners = pd.array(_numbers(np.asarray(row["winners"], dtype=object)[slots]), dtype="Int64")
-    out["winner"] = out["winner"].where(~member, pd.Series(winners, index=out.index))
-    out["member"] = member
+    out["member"] = (held[slots] == raw).all(axis=1)
+    out["winner"] = np.where(out["member"], np.frombuffer(row["winners"], np.int64)[slots], out["winner"])
     return out
 
 
@@ -168,7 +162,8 @@ def groups(history: DataFrame, new: DataFrame) -> DataFrame:
     found = lookup(fresh, build_index(known, buckets), buckets)
     # A member adds its rows to the group of its slot; a nonmember is a group of its own.
     counted = known.select("digest", "winner", "n").unionByName(found.select("digest", "winner", "n"))
-    return counted.groupBy("digest").agg(F.min("winner").alias("keep_id"), F.sum("n").alias("group_size"))
+    winner = F.nullif(F.min("winner"), F.lit(NO_ID))
+    return counted.groupBy("digest").agg(winner.alias("keep_id"), F.sum("n").alias("group_size"))
 
 
 def split_by_age(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import cut_lineage
+from .storage import NO_ID, cut_lineage
 
 CAPACITIES = (1024, 2048, 4096, 8192, 16384)
 SHARD_PIECES = 20_000
@@ -122,11 +122,11 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Callab
         rows = rows.sort_values(["length", *order], ascending=[False, True, True, True, True], ignore_index=True)
         bins, offsets, final = best_fit(rows["length"].to_numpy(), capacities, cost)
         rows["bin_id"], rows["bin_offset"], rows["capacity"] = bins + (key[0] << 32), offsets, final[bins]
-        rows["doc_id"] = rows["doc_id"].astype("Int64")
         return rows[[f.split()[0] for f in PACKED.split(", ")]]
 
     shard = F.pmod(F.xxhash64(*order), F.lit(shards)).cast("long").alias("shard")
-    packed = filled.select("*", shard).groupBy("shard").applyInPandas(run, PACKED)
+    dealt = filled.select("*", shard).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    packed = dealt.groupBy("shard").applyInPandas(run, PACKED).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
     none = cut.where("length = 0").select(
         "*", *(F.lit(None).cast(t).alias(c) for c, t in (("bin_id", "long"), ("bin_offset", "long"), ("capacity", "int")))
     )

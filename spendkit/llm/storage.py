@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, shared_folder
 
-__all__ = ["Bloom", "cut_lineage", "keep_rows", "shared_path"]
+__all__ = ["NO_ID", "Bloom", "cut_lineage", "keep_rows", "shared_path"]
+
+#: Stands for a missing id where ids are compared or go through pandas, which would turn nulls into floats. It is the
+#: largest number, so a row without an id comes after all others.
+NO_ID = (1 << 63) - 1
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

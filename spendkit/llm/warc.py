@@ -174,8 +174,10 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     split, rows, end = None, [], 0
 
     def done() -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["at", "successor", "whole", *RECORD_FIELDS]).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
-        follows = out["successor"].fillna(-1).to_numpy(np.int64)
+        columns = dict(zip(["at", "successor", "whole", *RECORD_FIELDS], zip(*rows)))
+        whole_numbers = [c for c, t in RECORD_FIELDS.items() if t == "long"]
+        out = pd.DataFrame({c: pd.array(v, "Int64") if c in whole_numbers else list(v) for c, v in columns.items()})
+        follows = np.array([-1 if x is None else x for x in columns["successor"]], np.int64)
         known = follows >= 0
         leaves = np.full(len(out), -1)
         leaves[known] = jump(out["at"].to_numpy(np.int64)[known], follows[known], end)

@@ -55,7 +55,7 @@ def cases():
         at = rng.randrange(len(body) + 1)
         docs.append((k, rng.choice([" ", ", ", "\n", "--"]).join([*body[:at], *(x.upper() for x in piece), *body[at:]])))
     docs += [(200 + k, " ".join(rng.choice(few) for _ in range(80))) for k in range(10)]
-    docs += [(300, None), (301, ""), (302, "!!!"), (0, docs[5][1]), (0, docs[5][1]), (None, items[4][1]), (303, "x " * 4000 + items[5][1] + " y" * 4000), (304, "solo"), (305, "ünïcode 42")]
+    docs += [(300, None), (301, ""), (302, "!!!"), (0, docs[5][1]), (0, docs[5][1]), (None, items[4][1]), (303, "x " * 4000 + items[5][1] + " y" * 4000), (304, "solo"), ((1 << 60) + 1, "solo"), (305, "ünïcode 42")]
     return docs, items
 
 

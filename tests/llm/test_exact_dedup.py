@@ -34,7 +34,7 @@ def test_members_take_the_winner_and_others_do_not(spark):
 def test_against_brute_force(docs_of):
     rng = random.Random(5)
     rows = [(k, rng.choice(["a  b", "a b", "a\tb", "", None, " ", "c", f"only {k}", "long " * 3000])) for k in range(300)]
-    rows += [(7, "twice"), (7, "twice"), (None, "a b"), (None, "nobody"), (None, "nobody")]
+    rows += [(7, "twice"), (7, "twice"), ((1 << 60) + 1, "large"), ((1 << 60) + 2, "large"), (None, "a b"), (None, "nobody"), (None, "nobody")]
     got = [tuple(r) for r in exact_dedup.dedup(docs_of(rows)).collect()]
     assert len(got) == len(rows)
     groups = {}

@@ -43,7 +43,7 @@ def test_against_plain_search():
 
 def test_every_byte_is_packed_once(spark, docs_of):
     rng = random.Random(2)
-    rows = [(k, "é" * rng.randrange(0, 900)) for k in range(200)] + [(500, "x" * 100_000), (501, None), (502, ""), (1, "twice"), (1, "twice"), (None, "no id")]
+    rows = [(k, "é" * rng.randrange(0, 900)) for k in range(200)] + [(500, "x" * 100_000), (501, None), (502, ""), (1, "twice"), (1, "twice"), (None, "no id"), ((1 << 60) + 1, "large id")]
     packed = packing.pack(docs_of(rows), (256, 512, 1024))
     got = packed.toPandas()
     full = got[got["length"] > 0]
@@ -58,6 +58,7 @@ def test_every_byte_is_packed_once(spark, docs_of):
         used, capacity = own["length"].sum(), own["capacity"].iloc[0]
         assert used <= capacity and not any(used <= c < capacity for c in (256, 512, 1024))
     assert packing.sequences(packed).selectExpr("sum(used) s").first()["s"] == full["length"].sum()
+    assert packed.where(f"doc_id = {(1 << 60) + 1}").count() == 1 and packed.where("doc_id is null").count() == 1
     again = packing.pack(docs_of(rows, parts=7), (256, 512, 1024))
     assert packed.exceptAll(again).isEmpty() and again.exceptAll(packed).isEmpty()
 

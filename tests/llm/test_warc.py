@@ -34,7 +34,7 @@ def rows():
         (1, "http://a.example/", "plain"), (2, None, None), (3, "http://a.example/x\r\ny", ""), (4, "u", "plain"),
         (5, "u", FAKE + "tail"), (6, "u", "before " + FAKE + FAKE), (7, "u", "WARC/1.1\r\n"), (8, "u", "\r\n\r\nWARC/1.1\r\n\r\n"),
         (9, "ü", "ünïcode €"), (None, "u", "no id"), (11, "u", "x" * 5000 + FAKE * 40 + "y" * 3000), (12, "u", FAKE + "tail"),
-        (13, "u", "Content-Length: 3\r\n\r\nWARC/1.1\r\nContent-Length: 99999\r\n\r\n"), (None, "u", "plain"),
+        (13, "u", "Content-Length: 3\r\n\r\nWARC/1.1\r\nContent-Length: 99999\r\n\r\n"), (None, "u", "plain"), ((1 << 60) + 1, "u", "large id"),
     ]
     return rows + [(100 + k, f"http://h{k % 7}/", "".join(rng.choice(["a", "WARC/1.1\r\n", "\r\n\r\n", "é"]) for _ in range(rng.randrange(60)))) for k in range(80)]
 
