@@ -20,6 +20,7 @@ may be linked. So the rows of a large group are not paired one by one, and no li
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ ROUNDS = 3
 BLOCK = 256
 NAMED = 8
 #: Documents per part of the tables of pairs, links and classes, which hold a few numbers for some of the documents.
-DOCS_PER_PART = 16_384
+DOCS_PER_PART = 8_192
 
 
 def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
@@ -110,30 +111,35 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["id"], batch["text_hash"], *(pa.array(v, t) for v, t in zip((keys, sizes, profiles, none, none), types[2:]))], names)
     chunks = [c for c in range(COUNTERS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
     none = [None] * len(chunks)
-    parts = [counts[c * CHUNK : (c + 1) * CHUNK].astype(np.int32).tobytes() for c in chunks]
+    parts = [_packed(counts[c * CHUNK : (c + 1) * CHUNK]) for c in chunks]
     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((none, none, none, none, none, chunks, parts), types)], names)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters are small numbers in wide fields, which deflate well."""
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the counters that this task is dealt; it holds one array per chunk, not the rows."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, part in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist()):
             sums.setdefault(chunk, np.zeros(CHUNK, np.int64))
-            sums[chunk] += np.frombuffer(part, np.int64 if len(part) == 8 * CHUNK else np.int32)
+            sums[chunk] += np.frombuffer(zlib.decompress(part), np.int64)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"]
+        [pa.array(list(sums), pa.int32()), pa.array([_packed(v) for v in sums.values()], pa.binary())], ["chunk", "counts"]
     )
 
 
 def frequency_levels(described: DataFrame) -> np.ndarray:
     """Steps of the logarithm of every counter, over all documents. What reaches the driver is COUNTERS numbers."""
     parts = described.where("chunk is not null").select("chunk", "counts")
-    spread = parts.withColumn("deal", F.spark_partition_id() % 32)
+    spread = parts.withColumn("deal", F.spark_partition_id() % 8)
     sums = spread.repartition("chunk", "deal").select("chunk", "counts").mapInArrow(_add, "chunk int, counts binary")
     total = np.zeros(COUNTERS, np.int64)
     for row in sums.repartition("chunk").mapInArrow(_add, "chunk int, counts binary").collect():
-        total[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
+        total[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     return np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
 
 
