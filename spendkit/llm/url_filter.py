@@ -9,6 +9,7 @@ rules whose interval is open; the path decides among them.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,20 @@ def host_key(host: Column) -> Column:
     )
 
 
+def _deal(batches: Iterator[pa.RecordBatch], spans: list[tuple[int, str, str]]) -> Iterator[pa.RecordBatch]:
+    """A rule once for every range that its interval meets; ranges are in order, so these stand side by side."""
+    least, most = [s[1] for s in spans], [s[2] for s in spans]
+    names = ["key", "path", "rule_host", "verdict"]
+    for batch in batches:
+        parts, rows = [], []
+        for k, key in enumerate(batch["key"].to_pylist()):
+            for at in range(bisect_left(most, key), bisect_right(least, key + TOP)):
+                parts.append(spans[at][0])
+                rows.append(k)
+        dealt = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(dealt[c] for c in names)], ["part", *names])
+
+
 class _Open:
     """The rules of one host key whose interval is open, found by the lengths of their paths."""
 
@@ -99,12 +114,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     # Stored, so that every later job sees the same ranges.
     ranged = cut_lineage(urls.repartitionByRange("key", "path", "page_id").withColumn("part", F.spark_partition_id()))
     # One row per range: as many as there are partitions, whatever the data.
-    spans = ranged.groupBy("part").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    spans = ranged.groupBy("part").agg(F.min("key").alias("least"), F.max("key").alias("most")).collect()
+    spans = sorted(tuple(s) for s in spans)
     asked = rules.where("host <> ''").select(
         F.translate("host", UPPER, LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("path"), "verdict",
     ).distinct().withColumn("key", host_key(F.col("rule_host")))
-    meets = (F.col("key") <= F.col("most")) & (F.concat("key", F.lit(TOP)) >= F.col("least"))
-    dealt = asked.join(F.broadcast(spans), meets).select("part", "key", "path", "rule_host", "verdict")
+    dealt = asked.mapInArrow(
+        lambda batches: _deal(batches, spans), "part int, key string, path string, rule_host string, verdict string",
+    )
     none = F.lit(None)
     rows = ranged.select("part", "key", "path", "page_id", "url", "host", none.cast("string").alias("rule_host"), none.cast("string").alias("verdict"))
     rows = rows.unionByName(dealt.select(
