@@ -49,41 +49,27 @@ def between_days(rows: DataFrame, as_of: AsOf, first: Column, until: Column) ->
     return rows.where((F.col("transaction_dt") >= midnight(first)) & until)
 
 
-SALTS = 32
-
-
-def with_as_of_salted(tx: DataFrame, as_of: AsOf) -> DataFrame:
-    """`with_as_of` for transactions that are grouped per client afterwards.
-
-    A join on the client alone would satisfy the grouping that follows, and all rows of a hot client
-    would go through one task. The small side, one row per client, is repeated once per salt, so
-    that the rows of a client are joined in many tasks and aggregated there first.
-    """
-    if not isinstance(as_of, DataFrame):
-        return with_as_of(tx, as_of)
-    days = as_of.select("client_id", F.to_date("as_of").alias("as_of"))
-    copies = days.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = tx.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return salted.join(copies, ["client_id", "_salt"]).drop("_salt")
-
-
 def call_each(rows: DataFrame, column: str, call: Callable[[str], str], out: str) -> DataFrame:
-    """Send `column` of every row to an outside service; a call that fails gives null.
+    """Send `column` of every row to an outside service; a call that fails gives null and its reason in `{out}_error`.
 
     The calls run in the tasks, over Arrow batches. The result is stored at once, so that reading it
     again does not call again; a task that is lost repeats its own calls.
     """
-    schema = T.StructType([f for f in rows.schema.fields if f.name != out] + [T.StructField(out, T.StringType())])
+    added = (out, f"{out}_error")
+    kept = [f for f in rows.schema.fields if f.name not in added]
+    schema = T.StructType(kept + [T.StructField(c, T.StringType()) for c in added])
 
     def run(batches):
         for batch in batches:
-            answers = []
+            answers, errors = [], []
             for text in batch[column]:
                 try:
                     answers.append(call(text))
-                except Exception:  # noqa: BLE001  (any failure of the service counts as no answer)
+                    errors.append(None)
+                except Exception as error:  # noqa: BLE001  (any failure of the service counts as no answer)
                     answers.append(None)
-            yield batch.assign(**{out: answers})[schema.fieldNames()]
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield batch.assign(**dict(zip(added, (answers, errors))))[schema.fieldNames()]
 
     return cut_lineage(rows.mapInPandas(run, schema))
 

@@ -19,39 +19,49 @@ from ..functions.category import is_subscription
 from ..functions.identity import stable_id
 from ..functions.money import money_label, percent_label, ratio
 from ..session import cut_lineage
-from .common import AsOf, best_rows, between_days, ranked, require_columns, with_as_of_salted
+from .common import AsOf, best_rows, between_days, day_literal, ranked, require_columns, with_as_of
 from .spend import dated_spend
 
 SUBSCRIPTION_RULE = "recurring_subscription"
 CUTBACK_RULE = "cutback_top_category_merchant"
 
 
-def lookback(tx: DataFrame, as_of: AsOf, days: int) -> DataFrame:
-    """Spend rows from `days` before the as-of day up to its midnight."""
-    rows = with_as_of_salted(dated_spend(tx), as_of)
-    day = F.col("as_of")
-    return between_days(rows, as_of, F.date_sub(day, days), F.col("transaction_dt") <= midnight(day))
+_ROLLED = ("category", "merchant_id", "merchant_city", "merchant_state", "is_discretionary", "is_subscription")
 
 
 def spending_rollup(
     tx: DataFrame, as_of: AsOf, lookback_days: int = RECURRING_LOOKBACK_DAYS, recent_days: int = CUTBACK_LOOKBACK_DAYS,
 ) -> DataFrame:
-    """Spend per client, category, merchant with its place, and month, in one hash aggregate over the rows.
+    """Spend per client, category, merchant with its place, and month, from `lookback_days` before the as-of day up to
+    its midnight, in hash aggregates over the rows.
 
     Recurring merchants and category cutbacks are both computed from it. `is_recent` marks the last `recent_days`;
-    `first_dt` is the first time in the group.
+    `first_dt` is the first time in the group. With one date the window reaches the scan. With a date per client the
+    scan is bounded by the first and last of them, and rows are rolled up to days, the midnight instants apart,
+    before the join with the dates, so a hot client joins days and not transactions.
     """
     require_columns(tx, ["transaction_dt", "amount_usd", "merchant_id", "category", "mcc_description"])
-    rows = lookback(tx, as_of, lookback_days)
-    for column in ("merchant_city", "merchant_state"):
+    rows, at, day = dated_spend(tx), F.col("transaction_dt"), F.col("as_of")
+    for column, kind in (("merchant_city", "string"), ("merchant_state", "string"), ("is_discretionary", "boolean")):
         if column not in rows.columns:
-            rows = rows.withColumn(column, F.lit(None).cast("string"))
-    at = F.col("transaction_dt")
-    kept = "is_discretionary" if "is_discretionary" in rows.columns else F.lit(None).cast("boolean").alias("is_discretionary")
+            rows = rows.withColumn(column, F.lit(None).cast(kind))
+    rows = rows.withColumn("is_subscription", is_subscription(F.col("category"), F.col("mcc_description")))
+    if isinstance(as_of, DataFrame):
+        first, last = as_of.agg(F.min(F.to_date("as_of")), F.max(F.to_date("as_of"))).first()
+        if first is None:
+            rows = rows.limit(0)
+        else:
+            rows = rows.where((at >= midnight(F.date_sub(day_literal(first), lookback_days))) & (at <= midnight(day_literal(last))))
+        on = F.to_date(at)
+        days = rows.groupBy("client_id", *_ROLLED, on.alias("_day"), (at == midnight(on)).alias("_at_midnight")).agg(
+            F.sum("spend_usd").alias("spend_usd"), F.min(at).alias("transaction_dt"),
+        )
+        inside = (F.col("_day") < day) | ((F.col("_day") == day) & F.col("_at_midnight"))
+        rows = with_as_of(days, as_of).where((F.col("_day") >= F.date_sub(day, lookback_days)) & inside)
+    else:
+        rows = between_days(with_as_of(rows, as_of), as_of, F.date_sub(day, lookback_days), at <= midnight(day))
     return rows.groupBy(
-        "client_id", "category", "merchant_id", "merchant_city", "merchant_state", month_label(at).alias("month"), kept,
-        is_subscription(F.col("category"), F.col("mcc_description")).alias("is_subscription"),
-        (at >= midnight(F.date_sub("as_of", recent_days))).alias("is_recent"),
+        "client_id", *_ROLLED, month_label(at).alias("month"), (at >= midnight(F.date_sub(day, recent_days))).alias("is_recent"),
     ).agg(F.sum("spend_usd").alias("spend_usd"), F.min(at).alias("first_dt"))
 
 

@@ -210,7 +210,8 @@ def _clean_inputs(v: Views):
            count(*) FILTER (ok AND p.card_id IS NULL) AS card_join_misses,
            count(*) FILTER (ok AND l.monthly_limit IS NULL) AS user_join_misses,
            count(*) FILTER (ok AND m.mcc_code IS NULL) AS mcc_missing_from_lookup,
-           count(*) FILTER (ok AND p.client_id = '1') AS focus_rows_written
+           count(*) FILTER (ok AND p.client_id = '1') AS focus_rows_written,
+           count(*) FILTER (ok AND TRY_CAST(p.client_id AS DOUBLE) IS NULL) AS client_ids_not_numeric
     FROM (SELECT *, amount_usd IS NOT NULL AND transaction_dt IS NOT NULL AS ok FROM parsed_tx) p
     LEFT JOIN mcc_dim m ON p.mcc_code = m.mcc_code
     LEFT JOIN limits l ON p.client_id = CAST(l.client_id AS VARCHAR)""")

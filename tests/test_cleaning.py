@@ -64,7 +64,7 @@ def test_qa_report(raw, dims):
         "transactions_rows_total_scanned": 8, "transactions_duplicates_dropped": 2,
         "rows_dropped_invalid_amount": 2, "rows_dropped_invalid_date": 1, "amount_parse_failures": 2,
         "date_parse_failures": 1, "card_join_misses": 1, "user_join_misses": 1, "mcc_missing_from_lookup": 1,
-        "focus_rows_written": 1,
+        "focus_rows_written": 1, "client_ids_not_numeric": 0,
     }
 
 
@@ -76,6 +76,11 @@ def test_qa_report_with_known_ids(spark, raw, dims):
     assert cleaning.clean_transactions(raw, order_by=["n"], seen=seen, **dims).select("id").collect()[0].id == "d"
 
 
+def test_clients_that_are_no_numbers_are_counted(spark, dims):
+    raw = spark.createDataFrame([raw_row(0, "a", client="x7"), raw_row(1, "b", client="7.0"), raw_row(2, "c", client=None)], SCHEMA)
+    assert cleaning.qa_report(raw, order_by=["n"], **dims).first().client_ids_not_numeric == 2
+
+
 def test_dedupe_with_seen(spark):
     df = spark.createDataFrame([(1, "0"), (2, "1"), (3, "1"), (4, "2")], "n int, id string")
     out = cleaning.dedupe_by_id(df, ["n"], seen=spark.createDataFrame([("0",)], "id string"))
