@@ -41,8 +41,11 @@ def clean_stream(
             return
         schema = "id string, batch long"
         old = session.read.schema(schema).parquet(ids) if number else session.createDataFrame([], schema)
-        seen = old.where(F.col("batch") < number).select("id")
         rows = read_transactions(session, paths)
+        # Of the ids on record only those of this batch go on; the batch is the small side, so the record is
+        # scanned and not shuffled.
+        now = standardise(rows).select(F.col("id").alias("_now")).distinct()
+        seen = old.where(F.col("batch") < number).join(now, F.col("id").eqNullSafe(F.col("_now")), "left_semi").select("id")
         clean = clean_transactions(rows, mcc, cards, users, SOURCE_ORDER, seen=seen)
         _put(assert_no_pii(clean), enriched, number)
         _put(standardise(rows).select("id").distinct(), ids, number)
