@@ -1,8 +1,9 @@
 """Main text of web pages by consensus host paths.
 
-Every page scores its containers by the plain text below them. The path of the best one, tag names and classes
-with numbers generalised, is the page's vote; Spark counts the votes per host. The second pass extracts again, now
-from the container that the host's winning paths name, so that a page with long comments or a short article follows
+Every page scores its containers by the plain text below them and climbs from the best one to the outermost that
+belongs to the same text: title, lead and further parts. The path of that one, tag names and classes with numbers
+generalised, is the page's vote; Spark counts the votes per host. The second pass extracts again, now from all
+containers that the host's winning paths name, so that a page with long comments or a short article follows
 the template of its host. A page that has none of these paths keeps its own best container.
 """
 
@@ -23,6 +24,8 @@ from .url_filter import host_of
 TEMPLATE_SHARE = 0.1
 #: Winning paths are sent to every task up to so many hosts, and joined by shuffle beyond.
 BROADCAST_HOSTS = 10_000
+#: A container without text of its own, outside articles, is one text with its largest part if the others have this share of it.
+PART_SHARE = 0.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -71,7 +74,12 @@ class Container:
     path: str
     dropped: bool
     article: bool
+    #: Whether it is an article or main, or inside one; the page as a whole does not count.
+    region: bool = False
     score: float = 0.0
+    #: Characters outside links directly in it, and in all of it.
+    own: int = 0
+    plain: int = 0
 
 
 @dataclass
@@ -174,12 +182,13 @@ def parse(source: str) -> Page:
             above = containers[stack[-1]]
             names, role, hidden = _attributes(rest) if rest else ([], "", False)
             classes = sorted(re.sub(r"\d+", "0", c) for c in names if not c.startswith("#"))
-            article = above.article or tag in ("article", "main") or any(w.lower() in ARTICLE_WORDS for c in names for w in WORD.findall(c))
+            marked = tag in ("article", "main") or any(w.lower() in ARTICLE_WORDS for c in names for w in WORD.findall(c))
+            article, region = above.article or marked, above.region or marked and tag not in ("html", "body")
             dropped = above.dropped or tag not in ("html", "body") and (
                 tag in BOILERPLATE_TAGS or hidden or role in BOILERPLATE_ROLES or tag == "header" and not above.article
                 or any(_boilerplate(c, above.article) for c in names)
             )
-            containers.append(Container(stack[-1], tag, f"{above.path}>{'.'.join([tag, *classes])}", dropped, article))
+            containers.append(Container(stack[-1], tag, f"{above.path}>{'.'.join([tag, *classes])}", dropped, article, region))
             stack.append(len(containers) - 1)
             if rest.endswith("/") and tag not in ("html", "body"):
                 stack.pop()
@@ -193,39 +202,61 @@ def score(page: Page) -> None:
         gain = max(0, len(text) - 2 * linked)
         if not containers_kept(page, at):
             continue
+        if any(c.isalnum() for c in text):
+            page.containers[at].own += gain
         while at >= 0 and gain >= 1:
             box = page.containers[at]
             box.score += gain * (1.25 if box.tag in ("article", "main") else 1.0)
             at, gain = box.parent, gain / 2
+    for box in reversed(page.containers):  # the parent stands before its children
+        box.plain += box.own
+        if box.parent >= 0:
+            page.containers[box.parent].plain += box.plain
 
 
 def containers_kept(page: Page, at: int) -> bool:
     return not page.containers[at].dropped
 
 
+def climb(page: Page, top: int, paths: list[str] | None = None) -> int:
+    """The outermost container that adds to the text of `top`.
+
+    One adds to it if there is more plain text in it and it belongs to an article, holds some of the text directly
+    (a title, a lead) or has parts of a similar size; of the latter only those in `paths`, if given. The page as a
+    whole adds only what it holds directly.
+    """
+    found, at = top, top
+    while at > 0:
+        box, up = page.containers[at], page.containers[page.containers[at].parent]
+        added = up.plain - box.plain
+        parts = up.tag not in ("", "html", "body") and added >= PART_SHARE * box.plain and (paths is None or up.path in paths)
+        if added and (up.own or up.region or parts):
+            found = box.parent
+        at = box.parent
+    return found
+
+
 def best(page: Page) -> int:
-    """The container with the highest score, the outermost of equals; -1 if the page has no text."""
+    """Climbed from the container with the highest score, the outermost of equals; -1 if the page has no text."""
     top = max(page.containers, key=lambda c: c.score)
-    return page.containers.index(top) if top.score > 0 else -1
+    return climb(page, page.containers.index(top)) if top.score > 0 else -1
 
 
-def chosen(page: Page, paths: list[str]) -> int:
-    """The container of the first winning path that the page has with text, else its own best."""
-    for path in paths:
-        own = [k for k, c in enumerate(page.containers) if c.path == path and c.score > 0]
+def chosen(page: Page, paths: list[str]) -> list[int]:
+    """All containers of the first winning path that the page has with text, climbed, else those of its own best."""
+    top = best(page)
+    for path in [*paths, page.containers[top].path] if top >= 0 else []:
+        own = [k for k, c in enumerate(page.containers) if c.path == path and c.plain > 0]
         if own:
-            return max(own, key=lambda k: (page.containers[k].score, -k))
-    return best(page)
-
-
-def text_below(page: Page, top: int) -> str:
-    """The kept blocks inside a container, in page order, one per line."""
-    if top < 0:
-        return ""
-    inside = [False] * len(page.containers)
-    inside[top] = True
-    for k in range(top + 1, len(inside)):
-        inside[k] = inside[page.containers[k].parent]
+            return sorted({climb(page, k, paths) for k in own})
+    return [top]
+
+
+def text_below(page: Page, *tops: int) -> str:
+    """The kept blocks inside one or several containers, in page order, one per line."""
+    inside = [k in tops for k in range(len(page.containers))]
+    for k in range(1, len(inside)):
+        inside[k] = inside[k] or inside[page.containers[k].parent]
     return "\n".join(text for at, text, _ in page.blocks if inside[at] and containers_kept(page, at))
 
 
@@ -248,7 +279,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source, paths in zip(batch["html"].to_pylist(), batch["paths"].to_pylist()):
             page = parse(source)
             score(page)
-            texts.append(text_below(page, chosen(page, paths or [])))
+            texts.append(text_below(page, *chosen(page, paths or [])))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 

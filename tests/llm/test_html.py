@@ -85,3 +85,33 @@ def test_hosts_outvote_a_page(pages_of):
 
 def test_empty_table(pages_of):
     assert html_extract.extract(pages_of([])).collect() == []
+
+
+def test_articles_in_several_containers(pages_of):
+    split = f"<article><div class=part>{LONG * 7}</div><div class=ad>BUY</div><div class=part>{LONG * 4}</div></article>"
+    wrapped = f"<div class=page><div class=main><h1>Title</h1><div class=in><div class=body>{LONG * 10}</div></div></div></div>"
+    led = f"<article><h1>Title</h1>{LONG}<div class=body>{LONG * 10}</div></article>"
+    quoting = f"<article><p>First.</p><blockquote>{LONG * 9}</blockquote><p>Last.</p></article><div class=talk>{LONG}</div>"
+    halves = f"<div id=wrap><div class=lead>{LONG * 4}</div><div class=rest>{LONG * 7}</div></div><div class=talk>{LONG}</div>"
+    wants = {
+        split: [LONG * 7, LONG * 4], wrapped: ["Title", LONG * 10], led: ["Title", LONG, LONG * 10], quoting: ["First.", LONG * 9, "Last."],
+        halves: [LONG * 4, LONG * 7],
+    }
+    wants = {f"<html><body>{k}</body></html>": "\n".join(x.strip() for x in v) for k, v in wants.items()}
+    assert [one(k) for k in wants] == list(wants.values())
+    rows = [(k, None if k % 2 else f"http://h{k}.example/", source) for k, source in enumerate([*wants, *wants])]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages_of(rows)).collect()}
+    assert [got[k] for k in sorted(got)] == [*wants.values(), *wants.values()]
+
+
+def test_every_part_of_the_template(pages_of):
+    plain, part = f"<body><div class=part>{LONG * 7}</div></body>", f"<div class=part>{LONG * 4}</div>"
+    split = f"<body><div class=part>{LONG * 7}</div><div class=talk>{LONG}</div>{part}</body>"
+    led = f"<body><article>A lead.<div class=part>{LONG * 7}</div></article></body>"
+    bare = f"<body><article><div class=part>{LONG * 7}</div></article></body>"
+    rows = [(k, "http://h.example/", plain) for k in range(6)] + [(6, "http://h.example/", split)]
+    rows += [(k, "http://led.example/", bare) for k in range(10, 16)] + [(16, "http://led.example/", led)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages_of(rows)).collect()}
+    assert got[0] == got[10] == (LONG * 7).strip()
+    assert got[6] == "\n".join([(LONG * 7).strip(), (LONG * 4).strip()])
+    assert got[16] == "\n".join(["A lead.", (LONG * 7).strip()])
