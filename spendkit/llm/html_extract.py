@@ -58,10 +58,18 @@ BOILERPLATE_WORDS = {
     "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "disqus", "reply",
     "replies", "respond", "discussion", "widget", "pagination", "pager", "login", "copyright", "skip",
 }
+#: Threads below an article; they are often longer than it.
+COMMENT_WORDS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
 #: Of these only the page's own count; an article has headings in its header.
 HEADER_WORDS = {"header"}
-#: A class such as `with-sidebar` says something about an element beside it.
+#: A class such as `with-sidebar` says something about an element beside it, as does `comments-open`.
 BESIDE = {"with", "has", "no", "without", "not"}
+STATES = {"open", "closed", "enabled", "disabled", "on", "off", "none", "hidden"}
+#: Words that only place the one behind them, as in `left-sidebar` or `site-footer`; others make it a name of something else.
+PLACES = {
+    "left", "right", "top", "bottom", "upper", "lower", "main", "site", "page", "global", "primary", "secondary", "header", "sticky",
+    "fixed", "mobile", "desktop", "inline", "user", "reader", "readers", "facebook", "google", "email",
+}
 #: Names of the container of an article; a header inside one is its title.
 ARTICLE_WORDS = {"article", "post", "entry", "story"}
 REPEATS = {"li": {"ul", "ol", "menu"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "dd": {"dl"}, "dt": {"dl"}}
@@ -110,17 +118,57 @@ def _attributes(rest: str) -> tuple[list[str], str, bool]:
     return names, role, hidden
 
 
-def _boilerplate(name: str, article: bool) -> bool:
+def _boilerplate(name: str, article: bool) -> str:
+    """The word of a class or id that names boilerplate: its first one behind words of place and prefixes such as `js`."""
     words = [w.lower() for w in WORD.findall(name)]
-    if not words or words[0] in BESIDE:
-        return False
-    return any(w in BOILERPLATE_WORDS or (not article and w in HEADER_WORDS) for w in words)
+    for k, w in enumerate(words):
+        if w in BESIDE or k + 1 < len(words) and words[k + 1] in STATES:
+            return ""
+        if w in BOILERPLATE_WORDS or not article and w in HEADER_WORDS:
+            return w
+        if w not in PLACES and w not in ARTICLE_WORDS and len(w) > 2:
+            return ""
+    return ""
+
+
+def _named(tag: str, role: str, names: list[str], page: Page, stack: list[int]) -> str:
+    """The word by which a container's names alone make it boilerplate, the one of a comment thread first, else empty.
+
+    Article and main go by no name, except an article inside another. Within an article the id of a section is the
+    anchor of its heading and counts for comment threads only.
+    """
+    if tag == "main" or role in ("main", "article") or tag == "article" and all(page.containers[k].tag != "article" for k in stack):
+        return ""
+    article = page.containers[stack[-1]].article
+    words = {w: c for c in names if (w := _boilerplate(c, article))}
+    if article and (tag == "section" or "section" in names):
+        words = {w: c for w, c in words.items() if w in COMMENT_WORDS or not c.startswith("#")}
+    return min(words, key=lambda w: (w not in COMMENT_WORDS, w), default="")
+
+
+def _settle(page: Page, words: dict[int, str]) -> None:
+    """Drops the containers with such words, and all in them, unless they hold most of the page's plain text.
+
+    Comment threads may hold most of it; they stay only where there is nothing else.
+    """
+    plain = [0] * len(page.containers)
+    for at, text, linked in page.blocks:
+        if not page.containers[at].dropped:
+            plain[at] += max(0, len(text) - 2 * linked)
+    for k in range(len(plain) - 1, 0, -1):
+        plain[page.containers[k].parent] += plain[k]
+    for k, box in enumerate(page.containers):
+        if k in words:
+            most = plain[k] == plain[0] if words[k] in COMMENT_WORDS else 2 * plain[k] > plain[0]
+            box.dropped = box.dropped or not most
+        box.dropped = box.dropped or k > 0 and page.containers[box.parent].dropped
 
 
 def parse(source: str) -> Page:
     """Blocks and containers of one page; unclosed and stray tags are put up with."""
     page = Page([Container(-1, "", "", False, False)])
     containers, stack = page.containers, [0]
+    words: dict[int, str] = {}
     pieces: list[str] = []
     linked, link, at, n = 0, False, 0, len(source)
     lowered = ""
@@ -186,13 +234,15 @@ def parse(source: str) -> Page:
             article, region = above.article or marked, above.region or marked and tag not in ("html", "body")
             dropped = above.dropped or tag not in ("html", "body") and (
                 tag in BOILERPLATE_TAGS or hidden or role in BOILERPLATE_ROLES or tag == "header" and not above.article
-                or any(_boilerplate(c, above.article) for c in names)
             )
+            if names and not dropped and tag not in ("html", "body") and (word := _named(tag, role, names, page, stack)):
+                words[len(containers)] = word
             containers.append(Container(stack[-1], tag, f"{above.path}>{'.'.join([tag, *classes])}", dropped, article, region))
             stack.append(len(containers) - 1)
             if rest.endswith("/") and tag not in ("html", "body"):
                 stack.pop()
     flush()
+    _settle(page, words)
     return page
 
 

@@ -115,3 +115,26 @@ def test_every_part_of_the_template(pages_of):
     assert got[0] == got[10] == (LONG * 7).strip()
     assert got[6] == "\n".join([(LONG * 7).strip(), (LONG * 4).strip()])
     assert got[16] == "\n".join(["A lead.", (LONG * 7).strip()])
+
+
+def test_names_alone_drop_no_article(pages_of):
+    text = f"<p>{LONG * 9}</p>"
+    sources = [
+        f"<article class='post category-social'>{text}</article>", f"<div class='content-with-sidebar'>{text}</div>",
+        f"<div class='sidebar'>{text}</div>", f"<main id='menu' class='related'>{text}</main>", f"<div class='comments-open'>{text}</div><p>",
+        f"<div id='wrap' class='widget'><div class='widget'>{text}</div></div><div class='misc'><a href=x>{LONG * 20}</a></div>",
+        f"<div class='post tag-ad'>{text}</div><div class='pages'>{LONG * 4}</div><div class='comments'>{LONG * 30}</div>",
+    ]
+    assert [one(f"<body>{x}</body>") for x in sources] == [(LONG * 9).strip()] * len(sources)
+    section = f"<article>{text}<section id='discussion'><h2>Discussion</h2>{text}</section><section id='related-work'>And more.</section></article>"
+    assert one(section) == "\n".join([(LONG * 9).strip(), "Discussion", (LONG * 9).strip(), "And more."])
+    rows = [(k, "http://h.example/", f"<body>{x}</body>") for k, x in enumerate(sources)]
+    assert {r["text"] for r in html_extract.extract(pages_of(rows)).collect()} == {(LONG * 9).strip()}
+
+
+def test_names_still_drop():
+    names = ["ad", "js-share", "left-sidebar", "siteFooter", "page-header", "post-comments", "related_content", "comment", "main-menu", "widget with-icon"]
+    for name in names:
+        assert one(f"<body><div class=post><p>{LONG * 3}</p></div><div class='{name}'><p>{LONG}</p></div>") == (LONG * 3).strip()
+        assert one(f"<body><div class=box><p>{LONG * 3}</p><div id='{name.split()[0]}'><p>{LONG}</p></div></div>") == (LONG * 3).strip()
+    assert one(f"<article>{LONG}<section id=comments>{LONG * 9}</section><article class=comment>{LONG * 9}</article></article>") == LONG.strip()
