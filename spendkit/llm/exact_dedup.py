@@ -2,9 +2,9 @@
 
 The digests of a history are dealt to buckets by their leading bits. Digests are distinct and uniform, so
 buckets are even whatever the groups of copies are. Each bucket gets a minimal perfect hash of its own (hash
-and displace): a seed per small group of digests, and one slot per digest that holds the full digest and the
-locator of the winner. A probe computes its one slot and compares all 32 bytes; what differs is no member and
-is grouped separately by its digest.
+and displace): a seed per small group of digests, and one slot per digest that holds the full digest, the
+locator of the winner and the number of rows. A probe computes its one slot and compares all 32 bytes; a member
+adds its rows to the slot, and what differs is no member and a group of its own.
 
 Copies are counted per digest before anything is shuffled by digest, so a group of copies of any size is one
 row per map task.
@@ -22,7 +22,7 @@ BUCKET_KEYS = 8192
 GROUP_KEYS = 4
 TRIES = 64
 
-INDEX_SCHEMA = "bucket long, size int, seeds binary, digests binary, winners binary"
+INDEX_SCHEMA = "bucket long, size int, seeds binary, digests binary, winners binary, counts binary"
 
 
 def normalised(text: str = "text") -> Column:
@@ -123,7 +123,7 @@ def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     back[slots] = np.arange(len(raw))
     return pd.DataFrame({
         "bucket": [key[0]], "size": [len(raw)], "seeds": [seeds.tobytes()], "digests": [raw[back].tobytes()],
-        "winners": [rows["winner"].to_numpy(np.int64)[back].tobytes()],
+        "winners": [rows["winner"].to_numpy(np.int64)[back].tobytes()], "counts": [rows["n"].to_numpy(np.int64)[back].tobytes()],
     })
 
 
@@ -132,26 +132,56 @@ def build_index(known: DataFrame, buckets: int) -> DataFrame:
     return known.withColumn("bucket", bucket_of(buckets)).groupBy("bucket").applyInPandas(_build, INDEX_SCHEMA)
 
 
+def _slots(new: pd.DataFrame, row: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of every probe in the index of its bucket, and whether the slot holds its digest."""
+    raw = _raw(new["digest"])
+    held = np.frombuffer(row["digests"], np.uint8).reshape(row["size"], 32)
+    slots = slots_of(raw, np.frombuffer(row["seeds"], np.int32), row["size"])
+    return slots, (held[slots] == raw).all(axis=1)
+
+
 def _probe(key: tuple, new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     out = new[["digest", "winner", "n"]].copy()
     out["member"] = False
     if not len(index) or not len(new):
         return out
     row = index.iloc[0]
-    raw = _raw(new["digest"])
-    held = np.frombuffer(row["digests"], np.uint8).reshape(row["size"], 32)
-    slots = slots_of(raw, np.frombuffer(row["seeds"], np.int32), row["size"])
-    out["member"] = (held[slots] == raw).all(axis=1)
+    slots, out["member"] = _slots(new, row)
     out["winner"] = np.where(out["member"], np.frombuffer(row["winners"], np.int64)[slots], out["winner"])
     return out
 
 
+def _merge(key: tuple, new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+    alone = new[["digest", "winner", "n"]]
+    if not len(index):
+        return alone
+    row = index.iloc[0]
+    winners, counts = np.frombuffer(row["winners"], np.int64).copy(), np.frombuffer(row["counts"], np.int64).copy()
+    if len(new):
+        slots, member = _slots(new, row)
+        at, own = slots[member], new["winner"].to_numpy(np.int64)[member]
+        counts[at] += new["n"].to_numpy(np.int64)[member]  # digests are distinct, so a slot is hit once
+        winners[at] = np.where(winners[at] == NO_ID, own, winners[at])
+        alone = alone[~member]
+    held = [row["digests"][k : k + 32] for k in range(0, 32 * row["size"], 32)]
+    return pd.concat([pd.DataFrame({"digest": held, "winner": winners, "n": counts}), alone], ignore_index=True)
+
+
 def lookup(new: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     """Distinct digests `new` (digest, winner, n) with `member`; a member takes the winner that its slot names."""
     probes = new.withColumn("bucket", bucket_of(buckets)).groupBy("bucket")
     return probes.cogroup(index.groupBy("bucket")).applyInPandas(_probe, "digest binary, winner long, n long, member boolean")
 
 
+def merged(new: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
+    """Distinct digests of both sides (digest, winner, n): every slot with the rows of its member, and the nonmembers.
+
+    The winner of a slot stays, unless it has no id.
+    """
+    probes = new.withColumn("bucket", bucket_of(buckets)).groupBy("bucket")
+    return probes.cogroup(index.groupBy("bucket")).applyInPandas(_merge, "digest binary, winner long, n long")
+
+
 def groups(history: DataFrame, new: DataFrame) -> DataFrame:
     """Per distinct digest of both sides the row that stays, `keep_id`, and the size of its group.
 
@@ -159,11 +189,8 @@ def groups(history: DataFrame, new: DataFrame) -> DataFrame:
     """
     known, fresh = cut_lineage(distinct_digests(history)), cut_lineage(distinct_digests(new))
     buckets = buckets_for(known.count(), fresh.count())
-    found = lookup(fresh, build_index(known, buckets), buckets)
-    # A member adds its rows to the group of its slot; a nonmember is a group of its own.
-    counted = known.select("digest", "winner", "n").unionByName(found.select("digest", "winner", "n"))
-    winner = F.nullif(F.min("winner"), F.lit(NO_ID))
-    return counted.groupBy("digest").agg(winner.alias("keep_id"), F.sum("n").alias("group_size"))
+    counted = merged(fresh, build_index(known, buckets), buckets)
+    return counted.select("digest", F.nullif("winner", F.lit(NO_ID)).alias("keep_id"), F.col("n").alias("group_size"))
 
 
 def split_by_age(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

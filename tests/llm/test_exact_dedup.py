@@ -58,3 +58,15 @@ def test_rows_keep_their_columns(docs_of):
 def test_empty_table(docs_of):
     assert exact_dedup.dedup(docs_of([])).collect() == []
     assert exact_dedup.drop_copies(docs_of([])).collect() == []
+
+
+def test_lookup_decides(spark):
+    schema = "doc_id long, digest binary"
+    d = [hashlib.sha256(b"%d" % k).digest() for k in range(400)]
+    history = [(1000 + k, d[k]) for k in range(300)] + [(2000 + k, d[k]) for k in range(50)] + [(None, d[399])]
+    new = [(k, d[k]) for k in range(200, 398)] + [(500 + k, d[k]) for k in range(350, 398)] + [(None, d[398]), (7, d[399])]
+    got = exact_dedup.groups(spark.createDataFrame(history, schema), spark.createDataFrame(new, schema))
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no second grouping by digest
+    want = {d[k]: (1000 + k if k < 300 else k, 2 if k < 50 or 200 <= k < 300 or k >= 350 else 1) for k in range(398)} | {d[398]: (None, 1), d[399]: (7, 2)}
+    rows = got.collect()
+    assert len(rows) == len(want) and {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in rows} == want
