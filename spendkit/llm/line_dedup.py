@@ -31,7 +31,7 @@ def exploded(docs: DataFrame, min_chars: int) -> DataFrame:
         F.posexplode(F.split(text, "\n", -1)).alias("at", "line"),
     ).select("_id", "_text", "at", line_key(F.col("line")).alias("key"))
     return lines.where(F.char_length("key") >= min_chars).select(
-        "_id", "_text", "at", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"),
+        "_id", "_text", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"),  # columns are chained: the second seed must stand first
     )
 
 

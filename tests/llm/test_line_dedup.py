@@ -33,3 +33,11 @@ def test_against_brute_force(docs_of, min_docs):
 
 def test_empty_table(docs_of):
     assert line_dedup.dedup_lines(docs_of([])).collect() == []
+
+
+def test_lines_that_meet_in_one_hash_stay(spark, docs_of):
+    one, two = "@k7c6hje------------------------4[lix<}r========================", '-7s+f7g=------------------------vc+@":)$========================'
+    docs = docs_of([(1, one), (2, two)])
+    assert line_dedup.exploded(docs, 10).select("h1").distinct().count() == 1
+    got = {r["doc_id"]: (r["kept_text"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: (one, 0), 2: (two, 0)}
