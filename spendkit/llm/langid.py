@@ -73,14 +73,16 @@ class Unit:
                 kept.append((before, gates, recur, new))
         return (states, kept) if keep else states
 
-    def learn(self, bytes_: np.ndarray, kept: list, slopes: np.ndarray) -> Unit:
-        """Gradients by backpropagation through time; `slopes` (T, H, lanes) is the loss by the states."""
+    def learn(self, bytes_: np.ndarray, kept: list, slopes: np.ndarray, live: np.ndarray | None = None) -> Unit:
+        """Gradients by backpropagation through time; `slopes` (T, H, lanes) is the loss by the states, `live` as in run()."""
         table, back, bias = np.zeros_like(self.table), np.zeros_like(self.back), np.zeros_like(self.bias)
         carried = np.zeros_like(slopes[0])
         for t in range(len(bytes_) - 1, -1, -1):
             before, gates, recur, new = kept[t]
             z, r = gates[:HIDDEN], gates[HIDDEN:]
             d = slopes[t] + carried
+            if live is not None:
+                d = d * live[t]
             d_new = d * (1 - z) * (1 - new * new)
             d_z = d * (before - new) * z * (1 - z)
             d_r = d_new * recur * r * (1 - r)
@@ -145,20 +147,25 @@ class Network:
 
 
 def train(texts: list[bytes], langs: list[str], seed: int = 11) -> Network:
-    """Adam on the cross entropy of every position, over windows drawn from the texts."""
+    """Adam on the cross entropy of every position, over windows drawn from the texts; a shorter text is one masked window."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    windows, labels = [], []
+    windows, sizes, labels = [], [], []
     for text, lang in zip(texts, langs):
         if len(text) >= WINDOW:
             for begin in rng.integers(0, len(text) - WINDOW + 1, WINDOWS_PER_TEXT):
                 windows.append(np.frombuffer(text, np.uint8, WINDOW, begin))
+                sizes.append(WINDOW)
                 labels.append(names.index(lang))
+        elif text:
+            windows.append(np.frombuffer(text.ljust(WINDOW, b"\0"), np.uint8))
+            sizes.append(len(text))
+            labels.append(names.index(lang))
     net = Network(names, Unit.fresh(rng), Unit.fresh(rng), rng.normal(0, 0.3, (len(names), 2 * HIDDEN)).astype(np.float32), np.zeros((len(names), 1), np.float32))
     if not windows or len(names) < 2:
         net.layer[:] = 0
         return net
-    windows, labels = np.array(windows), np.array(labels)
+    windows, sizes, labels = np.array(windows), np.array(sizes), np.array(labels)
     # Languages weigh the same however many windows they have.
     odds = (1 / np.bincount(labels, minlength=len(names)).clip(1))[labels]
     parameters = [net.ahead.table, net.ahead.back, net.ahead.bias, net.behind.table, net.behind.back, net.behind.bias, net.layer, net.bias]
@@ -166,18 +173,19 @@ def train(texts: list[bytes], langs: list[str], seed: int = 11) -> Network:
     for step in range(STEPS):
         drawn = rng.choice(len(windows), LANES_TRAIN, p=odds / odds.sum())
         bytes_, label = windows[drawn].T, labels[drawn]
-        ahead, kept = net.ahead.run(bytes_, None, True)
-        turned = bytes_[::-1]
-        behind, kept_behind = net.behind.run(turned, None, True)
+        live = (np.arange(WINDOW)[:, None] < sizes[drawn]).astype(np.float32)
+        ahead, kept = net.ahead.run(bytes_, live, True)
+        turned, live_turned = bytes_[::-1], live[::-1]
+        behind, kept_behind = net.behind.run(turned, live_turned, True)
         states = np.concatenate([ahead, behind[::-1]], axis=1)
         slope = np.matmul(net.layer, states) + net.bias
         slope = np.exp(slope - slope.max(axis=1, keepdims=True))
         slope /= slope.sum(axis=1, keepdims=True)
         slope[:, label, np.arange(len(label))] -= 1
-        slope /= slope.shape[0] * slope.shape[2]
+        slope *= live[:, None, :] / live.sum()
         down = np.matmul(net.layer.T, slope)
-        a = net.ahead.learn(bytes_, kept, down[:, :HIDDEN])
-        b = net.behind.learn(turned, kept_behind, down[::-1, HIDDEN:])
+        a = net.ahead.learn(bytes_, kept, down[:, :HIDDEN], live)
+        b = net.behind.learn(turned, kept_behind, down[::-1, HIDDEN:], live_turned)
         layer = np.einsum("tkl,thl->kh", slope, states)
         slopes = [a.table, a.back, a.bias, b.table, b.back, b.bias, layer, slope.sum(axis=(0, 2))[:, None]]
         rate = RATE * (1 - step / STEPS)
@@ -191,11 +199,11 @@ def train(texts: list[bytes], langs: list[str], seed: int = 11) -> Network:
 def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, most_bytes: int = SAMPLE_BYTES) -> Network:
     """A network from at most `per_lang` documents of each language (text and lang), the first by a hash of the text.
 
-    Texts of at most `most_bytes` bytes that fill a window; rows without a language are left out.
+    Texts of 1 to `most_bytes` bytes; rows without a language are left out.
     """
     text = F.col("text").cast("string")
     rows = docs.select("lang", text.alias("text"), F.xxhash64(text).alias("hash"))
-    rows = rows.where(F.col("lang").isNotNull() & F.octet_length("text").between(WINDOW, most_bytes))
+    rows = rows.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, most_bytes))
     # Only hashes are ranked, each once, so copies do not fill the sample; then the texts of the drawn ones are fetched.
     drawn = best_rows(rows.select("lang", "hash").distinct(), ["lang"], [F.col("hash")], per_lang)
     found = rows.join(F.broadcast(drawn), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])

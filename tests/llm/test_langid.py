@@ -56,3 +56,27 @@ def test_nulls_and_texts_without_letters(spark, docs_of):
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == got[None][0] == got[5][0] == "en"
     assert langid.identify(docs_of([]), net).collect() == []
     assert langid.learn(docs_of([])).langs == ["und"]
+
+
+def test_short_texts_are_learned(spark):
+    short = [(k, f"zu wo xu {k % 7} wuzo", "zz") for k in range(60)]
+    docs = spark.createDataFrame(short + [(100 + k, f"some more words of text {k} " * 9, "en") for k in range(60)], "doc_id long, text string, lang string")
+    net = langid.learn(docs)
+    assert net.langs == ["en", "zz"]
+    got = langid.identify(docs, net).join(docs, "doc_id").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_gradients_of_masked_lanes():
+    """Bytes behind a short text change no gradient."""
+    rng = np.random.default_rng(2)
+    unit = langid.Unit.fresh(rng)
+    bytes_, weight = rng.integers(97, 103, (7, 3)), rng.normal(size=(7, langid.HIDDEN, 3)).astype(np.float32)
+    for dead in (slice(4, 7), slice(0, 3)):
+        live, alive = np.ones((7, 3), np.float32), slice(0, 4) if dead.start else slice(3, 7)
+        live[dead] = 0
+        _, kept = unit.run(bytes_, live, True)
+        got = unit.learn(bytes_, kept, weight * live[:, None, :], live)
+        _, kept = unit.run(bytes_[alive], None, True)
+        want = unit.learn(bytes_[alive], kept, weight[alive])
+        assert all(np.allclose(getattr(got, k), getattr(want, k), atol=1e-5) for k in ("table", "back", "bias"))
