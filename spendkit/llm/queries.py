@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, html_extract, jaccard, langid, line_dedup, packing, quality, url_filter, warc
+from . import (
+    alignment, decontam, exact_dedup, html_extract, jaccard, langid, line_dedup, packing, quality, ranked_search, substring_dedup, url_filter, warc,
+)
 from .storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +162,47 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "bin_id", "bin_offset", "capacity")
+
+
+@query("op11_ranked_search", r"""
+WITH low AS (SELECT 'd' AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(coalesce(t, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM low),
+c AS (SELECT count(*)::BIGINT AS n, sum(len(ws))::BIGINT AS l FROM w WHERE kind = 'd' AND len(ws) > 0),
+p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM w WHERE kind = 'd') GROUP BY ALL),
+q AS (SELECT id AS item_id, term, count(*) AS qtf FROM (SELECT id, unnest(ws) AS term FROM w WHERE kind = 'b') GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, n),
+m AS (SELECT id, 100 - 25 + (25 * len(ws) * n) // l AS m FROM w, c WHERE kind = 'd' AND len(ws) > 0),
+s AS (SELECT item_id, id AS doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN m USING (id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, k, array_to_string(ws[k : k + 34], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS k FROM w WHERE len(ws) >= 35)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY win) AS n FROM s) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS at FROM r),
+e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM w)
+SELECT w.doc_id, len(any_value(ws))::BIGINT AS n_words, count(g.at)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY e.at) FILTER (g.at IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN e ON w.doc_id = e.doc_id LEFT JOIN g ON e.doc_id = g.doc_id AND e.at = g.at GROUP BY w.doc_id
+""")
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept_text, 256) AS kept_sha256")
+
+
+#: Folder of the tokenizers' vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = f"{TOKENIZERS}/{alignment.A_FILE}", f"{TOKENIZERS}/{alignment.B_FILE}"
+    return alignment.align(table(spark, sf_dir, "documents"), a, b)

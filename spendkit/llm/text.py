@@ -119,3 +119,10 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         out *= np.uint64(0xD6E8FEB86659FD93)
         out[: n - j] += hashes[j:]
     return mix(out, k)
+
+
+def rolling(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words [begin, end), whatever their lengths."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _power(_BASE, len(hashes))[: len(hashes)], out=sums[1:])
+    return mix((sums[ends] - sums[begins]) * _power(_UNBASE, len(hashes))[begins])
