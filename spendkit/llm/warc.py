@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .storage import Bloom, cut_lineage
@@ -45,49 +46,85 @@ def _uri(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, digest and `response_id`: the page whose record holds an equal payload, if another one.
-
-    Payloads below `min_bytes` are always stored. Only (digest, page_id) is aggregated; the payload is joined once.
-    """
+def _rows(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, its digest, and a number that stands for page and digest."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", base32_sha1(F.col("payload")))
-    large = rows.where(F.octet_length("payload") >= min_bytes)
-    holders = large.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    told = rows.join(holders, "digest", "left")
-    own = (F.octet_length("payload") < min_bytes) | F.col("page_id").eqNullSafe(F.col("response_id"))
-    return told.withColumn("response_id", F.when(~F.coalesce(own, F.lit(False)), F.col("response_id")))
+    return rows.withColumn("key", F.xxhash64("digest", "page_id"))
 
 
-def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One text per page: a whole record without the two line ends that close it."""
-    rows = with_record_types(pages, min_bytes)
-    revisit = F.col("response_id").isNotNull()
-    size = F.octet_length("payload")
+def _sieve(batches: Iterator[pa.RecordBatch], revisits: Bloom, doubtful: Bloom) -> Iterator[pa.RecordBatch]:
+    """The rows that may be responses; `doubtful` tells those that the exact join has to decide."""
+    for batch in batches:
+        keys = batch["key"].to_numpy().view(np.uint64)
+        unsure = revisits.has(keys)
+        kept = ~unsure | doubtful.has(keys)
+        yield batch.append_column("doubtful", pa.array(unsure)).filter(pa.array(kept))
+
+
+def decided(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(responses with their payload, revisits with its size only and `response_id`: the page that holds an equal payload).
+
+    Payloads below `min_bytes` are always stored. Revisits are found by digest, page_id and size alone. Payloads do not
+    travel: a Bloom filter of the revisits, whose size is fixed, tells tasks which rows are surely responses. The
+    rows that it takes for revisits by mistake are found from their keys, and only these go through an exact join.
+    """
+    rows = _rows(pages)
+    known = cut_lineage(rows.select("page_id", "url", "digest", "key", F.octet_length("payload").alias("size")))
+    large = known.where(F.col("size") >= min_bytes)
+    holders = large.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    revisits = cut_lineage(large.join(holders, "digest").where("response_id is not null and not (page_id <=> response_id)"))
+    sieve = Bloom.of(revisits.select("key").distinct(), "key")
+    caught = known.select("key", "digest", "page_id").mapInArrow(
+        lambda batches: (b.filter(pa.array(sieve.has(b["key"].to_numpy().view(np.uint64)))) for b in batches), "key long, digest string, page_id long",
+    )
+    told = revisits.select("digest", "page_id").distinct()
+    same = lambda a, b: (a["digest"] == b["digest"]) & a["page_id"].eqNullSafe(b["page_id"])
+    mistaken = cut_lineage(caught.distinct().join(told, same(caught, told), "left_anti"))
+    doubtful = Bloom.of(mistaken, "key")
+    schema = "page_id long, url string, payload binary, digest string, key long, doubtful boolean"
+    sifted = rows.mapInArrow(lambda batches: _sieve(batches, sieve, doubtful), schema)
+    responses = sifted.where("not doubtful")
+    if not mistaken.isEmpty():
+        unsure = sifted.where("doubtful")
+        responses = responses.unionByName(unsure.join(mistaken, same(unsure, mistaken), "left_semi"))
+    return responses.select("page_id", "url", "payload", "digest"), revisits.select("page_id", "url", "digest", "size", "response_id")
+
+
+def _record(kind: str, size: Column, body: Column, *more: Column) -> Column:
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(RECORD_END),
     )
-    body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     clean = F.regexp_replace("url", r"[\r\n]+", " ")
     head = F.concat(
         F.lit(MAGIC),
-        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", _uri(F.col("page_id"))),
-        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", clean)).otherwise(F.lit("")),
-        line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        F.when(revisit, F.concat(
-            line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            line("WARC-Refers-To", _uri(F.col("response_id"))),
-        )).otherwise(F.lit("")),
-        line("Content-Type", F.lit("application/http;msgtype=response")),
-        line("Content-Length", (F.octet_length(http) + F.octet_length(body)).cast("string")),
+        _line("WARC-Type", F.lit(kind)),
+        _line("WARC-Record-ID", _uri(F.col("page_id"))),
+        F.when(F.col("url").isNotNull(), _line("WARC-Target-URI", clean)).otherwise(F.lit("")),
+        _line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        *more,
+        _line("Content-Type", F.lit("application/http;msgtype=response")),
+        _line("Content-Length", (F.octet_length(http) + F.octet_length(body)).cast("string")),
         F.lit("\r\n"), http,
     )
-    return rows.select(F.concat(head.cast("binary"), body).cast("string").alias("value"))
+    return F.concat(head.cast("binary"), body).cast("string").alias("value")
+
+
+def _line(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+
+
+def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """One text per page: a whole record without the two line ends that close it."""
+    responses, revisits = decided(pages, min_bytes)
+    profile = _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+    refers = _line("WARC-Refers-To", _uri(F.col("response_id")))
+    return responses.select(_record("response", F.octet_length("payload"), F.col("payload"))).unionByName(
+        revisits.select(_record("revisit", F.col("size"), F.lit("").cast("binary"), profile, refers))
+    )
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:

@@ -1,3 +1,6 @@
+import random
+import time
+import tracemalloc
 from html.parser import HTMLParser
 
 from spendkit.llm import html_extract
@@ -138,3 +141,70 @@ def test_names_still_drop():
         assert one(f"<body><div class=post><p>{LONG * 3}</p></div><div class='{name}'><p>{LONG}</p></div>") == (LONG * 3).strip()
         assert one(f"<body><div class=box><p>{LONG * 3}</p><div id='{name.split()[0]}'><p>{LONG}</p></div></div>") == (LONG * 3).strip()
     assert one(f"<article>{LONG}<section id=comments>{LONG * 9}</section><article class=comment>{LONG * 9}</article></article>") == LONG.strip()
+
+
+def test_boxes_around_a_whole_page_stay():
+    text = f"<div id=content><h1>Title</h1><p>{LONG * 3}</p></div>"
+    want = f"Title\n{(LONG * 3).strip()}"
+    for opening, closing in [
+        ("<form action=x>", "</form>"), ("<div role=form>", "</div>"), ("<dialog open>", "</dialog>"), ("<div aria-hidden=true>", "</div>"),
+        ("<div style='display:none'>", "</div>"), ("<div hidden><form>", "</form></div>"), ("<aside>", "</aside>"), ("<menu>", "</menu>"),
+        ("<div role=alert>", "</div>"), ("<div role=banner>", "</div>"),
+    ]:
+        assert one(f"<html><body>{opening}{text}{closing}</body></html>") == want
+        assert one(f"<body><nav><a href=/>Home</a></nav>{opening}{text}<footer>Legal notes and more</footer>{closing}<footer>&copy; me</footer>") == want
+        # Beside an article they are what they are called, however long.
+        article = f"<article><p>{LONG * 2}</p></article>"
+        assert one(f"<body>{article}{opening}<p>{LONG * 5}</p>{closing}</body>") == (LONG * 2).strip()
+    assert one(f"<body><form><article>{text}</article></form><div class=teasers>{LONG}</div></body>") == want
+    assert one(f"<body><article>{text}</article><form><article>{LONG}</article></form></body>") == want
+
+
+def test_a_linked_article():
+    linked = "".join(f"<p><a href=/{k}>{LONG}</a></p>" for k in range(3))
+    assert one(f"<body><nav><a href=/>Home</a></nav><article>{linked}</article><footer><a>{LONG * 9}</a></footer></body>") == "\n".join([LONG.strip()] * 3)
+    assert one(f"<body><div>{linked}</div></body>") == ""
+
+
+def timed(source):
+    begin = time.perf_counter()
+    text = one(source)
+    return text, time.perf_counter() - begin
+
+
+def test_depth_and_stray_tags_cost_in_proportion():
+    tracemalloc.start()
+    text, took = timed("<div class=a>" * 100_000 + f"<p>{LONG}")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text == LONG.strip() and took < 60 and peak < 400 << 20
+    for source in [
+        "<div>" * 20_000 + "</li>" * 60_000, "<ul>" + "<div>" * 20_000 + "<li></li>" * 60_000, "<div>" * 20_000 + "<li>x" * 60_000,
+        "<table>" * 20_000 + "<li>x</li>" * 60_000, "<article>" * 40_000, "<div>" * 20_000 + "<section class=x>a</section>" * 20_000,
+    ]:
+        assert timed(source)[1] < 20
+    rows = html_extract.parse("<div>" * 30_000 + "<section class=x>some words</section>" * 30_000)
+    html_extract.score(rows)
+    begin = time.perf_counter()
+    assert html_extract.chosen(rows, [rows.path(len(rows.containers) - 1)])
+    assert time.perf_counter() - begin < 20
+
+
+def test_generated_class_names(pages_of):
+    general = html_extract._general
+    assert general("css-1abc2de") == general("css-9zz8x") == "css-0" and general("post12") == "post0" and general("heading") == "heading"
+    assert general("a1b2c3d4") == "0" and general("col-md-6") == "col-md-0" and general("x>y") == "xy"
+    pick = random.Random(5)
+    name = lambda: "css-" + "".join(pick.choice("abcdef0123456789") for _ in range(5)) + "1x"
+    page = "<html><body><div class='{} post'><p>{}</p></div><div class='{} talk'><p>{}</p></div></body></html>"
+    rows = [(k, "http://h.example/x", page.format(name(), LONG * 3 + str(k), name(), "short remark")) for k in range(20)]
+    rows.append((99, "http://h.example/y", page.format(name(), "Brief news of today, that is all there is.", name(), LONG * 5)))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages_of(rows)).collect()}
+    assert got == {**{k: LONG * 3 + str(k) for k in range(20)}, 99: "Brief news of today, that is all there is."}
+
+
+def test_paths_beyond_the_broadcast_bound_are_joined(pages_of, monkeypatch):
+    rows = [(k, f"http://h{k % 5}.example/", f"<body><div class=post>{LONG}{k}</div></body>") for k in range(30)]
+    whole = sorted(map(tuple, html_extract.extract(pages_of(rows)).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, html_extract.extract(pages_of(rows)).collect())) == whole

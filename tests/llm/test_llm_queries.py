@@ -16,6 +16,9 @@ CONTRACT = {
     "op8_quality": "doc_id held_out score predicted",
     "op9_line_dedup": "doc_id n_lines n_dropped kept_sha256",
     "op10_jaccard_join": "doc_id n_shingles component_id",
+    "op11_ranked_search": "item_id rank doc_id score",
+    "op12_substring_dedup": "doc_id n_words n_removed kept_sha256",
+    "op13_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 
@@ -37,4 +40,7 @@ def test_a_row_per_document_or_page(spark, name):
     key, rows = got.columns[0], spark.read.parquet(f"{SF}/{table}.parquet")
     if name == "op4_best_fit_packing":
         got = got.select(key).distinct()
+    if name == "op11_ranked_search":
+        assert sorted({r["rank"] for r in got.collect()}) == list(range(1, 21))
+        return
     assert got.select(key).exceptAll(rows.select(key)).isEmpty() and rows.select(key).exceptAll(got.select(key)).isEmpty()

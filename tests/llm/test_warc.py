@@ -59,6 +59,23 @@ def test_small_payloads_are_never_revisits(spark, pages_of, tmp_path, rows):
     assert read(spark, path) == expected(rows, 6)
 
 
+@pytest.mark.parametrize("bits", [64, 512])
+def test_a_small_filter_loses_and_doubles_no_record(spark, pages_of, tmp_path, rows, monkeypatch, bits):
+    whole = warc.Bloom.of
+    monkeypatch.setattr(warc.Bloom, "of", lambda keys, column: whole(keys, column, bits))
+    path = f"file://{tmp_path}/warc"
+    rows = rows + [(200, "u", "plain"), (200, "u", "plain"), (4, "v", "plain")]
+    warc.write_archives(pages_of(rows), path)
+    assert read(spark, path) == expected(rows)
+
+
+def test_no_payload_is_shuffled(pages_of, rows):
+    responses, revisits = warc.decided(pages_of(rows).coalesce(2))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "payload" in plan(responses) and "Join" not in plan(responses) and plan(responses).count("Exchange") == plan(pages_of(rows).coalesce(2)).count("Exchange")
+    assert "payload" not in plan(revisits)
+
+
 def test_empty_table_and_foreign_files(spark, pages_of, tmp_path):
     path = f"file://{tmp_path}/warc"
     warc.write_archives(pages_of([]), path)
