@@ -9,13 +9,18 @@ the product small without losing a pair:
   n - ceil(0.8 n) + 1, so only those enter the product;
 * the places of a shared column in both rows bound the whole overlap.
 
-The order needs frequencies: hashed counters of fixed number, summed over all documents. Pairs that pass are bounded
-once more by profiles: columns fall into PROFILE blocks, and the sum over the blocks of the smaller count is the most
-that two rows can share. What is left gets its exact overlap from the whole sets.
+The order needs frequencies: hashed counters of fixed number, summed over all documents. The sets of a class are
+written once and read from there.
+
+The product of these columns says which cells there are. Their values, the overlaps, are accumulated over blocks of
+columns: each block adds the columns that two rows share in it, and a pair goes as soon as its sum and what the sizes of
+the remaining blocks leave cannot reach the overlap that it needs. The sizes are profiles: columns fall into PROFILE
+parts, and the sum of the smaller count over the parts is the most that two rows can share.
 
 A hot column, which many rows share, is first multiplied with a few pivots only, in rounds as long as these join
-much. What is still in separate components is multiplied in square blocks of profiles, which put out the pairs that
-may be linked. So the rows of a large group are not paired one by one, and no link between components is lost.
+much; the rows of a very hot one are not sorted in one task but joined with its pivots. What is still in separate
+components is multiplied in square blocks of profiles, which put out the pairs that may be linked. So the rows of a
+large group are not paired one by one, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,21 +31,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.common import best_rows
 from .components import components
-from .storage import Bloom, cut_lineage, keep_rows
+from .storage import Bloom, cut_lineage, keep_rows, shared_path
 from .text import BLANK, grams, mix, slices, words
 
 SHINGLE = 5
 COUNTERS = 1 << 20
 CHUNK = 1 << 12
 PROFILE = 256
+#: Blocks of columns over which overlaps are accumulated, as edges among the parts of the profile.
+COLUMN_BLOCKS = (0, 64, PROFILE)
 #: Columns with more rows than this are multiplied with pivots first.
 HOT = 32
 #: Rows of a hot column that are multiplied with all others in one round of stars, and the most such rounds.
 STARS = 4
 ROUNDS = 3
+#: Rows of a column that one task sorts; those of a longer one are dealt out and joined with its pivots.
+SORTED = 1 << 14
 #: Rows of a side of the square blocks for what stars leave, and hot columns by which rows tell who puts a pair out.
 BLOCK = 256
 NAMED = 8
@@ -81,38 +92,50 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix(mix(shingles, 0x5BD1E995).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0]) or 1
 
 
+def part_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(24)).astype(np.int64) & (PROFILE - 1)
+
+
 def profile(shingles: np.ndarray) -> bytes:
-    """Shingles per block of columns; empty where a count does not fit a byte, which bounds nothing."""
-    counts = np.bincount((shingles >> np.uint64(24)).astype(np.int64) & (PROFILE - 1), minlength=PROFILE)
+    """Shingles per part of the columns; empty where a count does not fit a byte, which bounds nothing."""
+    counts = np.bincount(part_of(shingles), minlength=PROFILE)
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
 
+DESCRIBED = "id long, text_hash long, key long, n long, task int, profile binary, shingles binary, chunk int, counts binary"
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and at the end of the task its counters in chunks."""
-    counts = np.zeros(COUNTERS, np.int64)
-    names = ["id", "text_hash", "key", "n", "profile", "chunk", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-    seen: set[int] = set()
+    """A row per document, of each class one with its set, and at the end of the task its counters in chunks."""
+    counts, seen, task = np.zeros(COUNTERS, np.int64), set(), TaskContext.get().partitionId()
+    names = [f.split()[0] for f in DESCRIBED.split(", ")]
+    types = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+
+    def out(ids, hashes, rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * 5
+        none = [None] * len(rows)
+        return pa.RecordBatch.from_arrays([ids, hashes, *(pa.array(v, t) for v, t in zip([*columns, none, none], types[2:]))], names)
+
     for batch in batches:
-        keys, sizes, profiles, held = [], [], [], []
+        rows, held, begin, size = [], [], 0, 0
         for shingles in shingle_sets(batch["text"]):
-            keys.append(set_key(shingles))
-            sizes.append(len(shingles))
-            # Of a class one profile per task will do.
-            profiles.append(None if keys[-1] in seen else profile(shingles))
-            seen.add(keys[-1])
+            key = set_key(shingles)
+            first = key != 0 and key not in seen
+            seen.add(key)
+            rows.append((key, len(shingles), task, profile(shingles) if first else None, shingles.tobytes() if first else None))
             held.append(shingles & np.uint64(COUNTERS - 1))
-            if len(held) == 256:
+            size += len(shingles)
+            if size >= 1 << 18:
                 counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
-                held = []
-        if held:
+                yield out(batch["id"].slice(begin, len(rows)), batch["text_hash"].slice(begin, len(rows)), rows)
+                begin, rows, held, size = begin + len(rows), [], [], 0
+        if rows:
             counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
-        none = [None] * len(keys)
-        yield pa.RecordBatch.from_arrays([batch["id"], batch["text_hash"], *(pa.array(v, t) for v, t in zip((keys, sizes, profiles, none, none), types[2:]))], names)
+            yield out(batch["id"].slice(begin, len(rows)), batch["text_hash"].slice(begin, len(rows)), rows)
     chunks = [c for c in range(COUNTERS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
     none = [None] * len(chunks)
     parts = [_packed(counts[c * CHUNK : (c + 1) * CHUNK]) for c in chunks]
-    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((none, none, none, none, none, chunks, parts), types)], names)
+    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((*[none] * 7, chunks, parts), types)], names)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -143,16 +166,16 @@ def frequency_levels(described: DataFrame) -> np.ndarray:
     return np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
 
 
+PREFIXES = "gram long, key long, n int, at int"
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], levels: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The first columns of every row in the common order; each class once per task."""
-    seen: set[int] = set()
+    """The first columns of every row in the common order; a class comes once from every task that met it."""
     for batch in batches:
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for shingles in shingle_sets(batch["text"]):
-            key, n = set_key(shingles), len(shingles)
-            if not n or key in seen:
-                continue
-            seen.add(key)
+        for key, raw in zip(batch["key"].to_pylist(), batch["shingles"].to_pylist()):
+            shingles = np.frombuffer(raw, np.uint64)
+            n = len(shingles)
             rank = (levels[shingles & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8))
             p = prefix_length(n)
             first = shingles[np.argsort(rank)[:p]].view(np.int64)
@@ -171,6 +194,14 @@ def _bounded(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.n
     return (5 * small >= 4 * large) & early & (overlap >= least_overlap(n, m))
 
 
+def bounded(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """`_bounded` as a column."""
+    small, large, at = F.least(n, m), F.greatest(n, m), F.when(n <= m, i).otherwise(j)
+    overlap = F.least(i, j) + F.least(n - i, m - j)
+    early = at <= small - F.ceil(small * F.lit(8) / 9)
+    return (5 * small >= 4 * large) & early & (overlap >= F.ceil(4 * (n + m) / F.lit(9)))
+
+
 def _pairs(columns: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     _, key, n, at = columns[:4]
     fits = _bounded(n[left], at[left], n[right], at[right])
@@ -309,64 +340,84 @@ def _block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 MULTIPLIED = "key long, b long, gram long, n int, at int"
 
 
-def _sets(batches: Iterator[pa.RecordBatch], wanted: Bloom) -> Iterator[pa.RecordBatch]:
-    """The whole sets of the classes that stand in a pair, from the row that speaks for the class."""
+def _sets(batches: Iterator[pa.RecordBatch], wanted: Bloom, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """The columns in parts low to high of the classes that stand in a pair, from the row that speaks for the class."""
     for batch in batches:
-        keys, values = [], []
-        for doc, shingles in zip(batch["id"].to_pylist(), shingle_sets(batch["text"])):
-            key = set_key(shingles)
-            if key and wanted.has(speaker(np.array([key]), np.array([-1 if doc is None else doc])))[0]:
-                keys.append(key)
-                values.append(shingles.tobytes())
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], ["key", "shingles"])
+        kept = batch.filter(pa.array(wanted.has(speaker(batch["key"].to_numpy(), batch["task"].to_numpy()))))
+        values = []
+        for raw in kept["shingles"].to_pylist():
+            shingles = np.frombuffer(raw, np.uint64)
+            part = part_of(shingles)
+            values.append(shingles[(part >= low) & (part < high)].tobytes())
+        yield pa.RecordBatch.from_arrays([kept["key"], pa.array(values, pa.binary())], ["key", "shingles"])
 
 
-def speaker(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return mix(key.astype(np.int64).view(np.uint64) + mix(doc.astype(np.int64).view(np.uint64), 77))
+def speaker(key: np.ndarray, task: np.ndarray) -> np.ndarray:
+    return mix(key.astype(np.int64).view(np.uint64) + mix(task.astype(np.int64).view(np.uint64), 77))
 
 
 def _speakers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes = speaker(batch["key"].to_numpy(), batch["id"].to_numpy()).view(np.int64)
+        codes = speaker(batch["key"].to_numpy(), batch["task"].to_numpy()).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(codes)], ["code"])
 
 
+ACCUMULATED = "a long, b long, need int, sum int, rest array<int>"
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose profiles leave room for the overlap they need."""
+    """Pairs whose profiles leave room for the overlap they need, with the most that each block of columns leaves."""
     for batch in batches:
         n, m = batch["left_n"].to_numpy(), batch["right_n"].to_numpy()
-        most = most_shared(_profiles(batch["left"].to_pylist()), _profiles(batch["right"].to_pylist()), n, m)
-        keep = pa.array(most >= least_overlap(n, m))
-        yield pa.RecordBatch.from_arrays([batch[c].filter(keep) for c in ("a", "b")], ["a", "b"])
-
-
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose whole sets reach the threshold."""
+        left, right = _profiles(batch["left"].to_pylist()), _profiles(batch["right"].to_pylist())
+        need = least_overlap(n, m)
+        keep = np.flatnonzero(most_shared(left, right, n, m) >= need)
+        n, m, left, right, need = n[keep], m[keep], left[keep], right[keep], need[keep]
+        known = (left.sum(axis=1, dtype=np.int64) == n) & (right.sum(axis=1, dtype=np.int64) == m)
+        least = np.minimum(left, right)
+        blocks = [np.where(known, least[:, i:j].sum(axis=1, dtype=np.int64), np.minimum(n, m)) for i, j in zip(COLUMN_BLOCKS, COLUMN_BLOCKS[1:])]
+        rest = pa.array(list(np.stack(blocks, axis=1).astype(np.int32)), pa.list_(pa.int32()))
+        pairs = [batch[c].take(pa.array(keep)) for c in ("a", "b")]
+        yield pa.RecordBatch.from_arrays(
+            [*pairs, pa.array(need.astype(np.int32)), pa.array(np.zeros(len(keep), np.int32)), rest], ["a", "b", "need", "sum", "rest"],
+        )
+
+
+def _accumulate(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """The columns of one block that the rows of a pair share are added to its sum; what cannot reach its need goes."""
     for batch in batches:
-        links = []
-        for a, b, left, right in zip(*(batch[c].to_pylist() for c in ("a", "b", "left", "right"))):
+        both = np.zeros(len(batch), np.int32)
+        for k, (left, right) in enumerate(zip(batch["left"].to_pylist(), batch["right"].to_pylist())):
             x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
             if len(x) > len(y):
                 x, y = y, x
-            spot = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[spot] == x).sum())
-            if 100 * both >= 80 * (len(x) + len(y) - both):
-                links.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in range(2)], ["a", "b"])
+            if len(x):
+                spot = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both[k] = (y[spot] == x).sum()
+        sums = batch["sum"].to_numpy() + both
+        later = np.array([sum(r[block + 1 :]) for r in batch["rest"].to_pylist()], np.int64)
+        keep = pa.array(sums + later >= batch["need"].to_numpy())
+        out = [batch["a"], batch["b"], batch["need"], pa.array(sums), batch["rest"]]
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], ["a", "b", "need", "sum", "rest"])
 
 
 class Product:
     """The product over one table of documents; `links` are verified pairs of class keys."""
 
     def __init__(self, docs: DataFrame):
-        text = F.col("text").cast("string")
-        self.texts = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
-        hashed = self.texts.withColumn("text_hash", F.xxhash64("text"))
-        described = cut_lineage(hashed.mapInArrow(_describe, "id long, text_hash long, key long, n long, profile binary, chunk int, counts binary"))
+        self.spark, text = docs.sparkSession, F.col("text").cast("string")
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+        stored = shared_path(self.spark, "sets")
+        texts.mapInArrow(_describe, DESCRIBED).write.parquet(stored)
+        described = self.spark.read.schema(DESCRIBED).parquet(stored)
         rows = described.where("chunk is null")
         self.rows = rows.select("id", "text_hash", "key", "n")
-        self.classes = cut_lineage(rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.max("profile").alias("profile")))
+        self.stored = rows.where("shingles is not null").select("key", "task", "shingles")
+        # The row that speaks for a class is that of its first task with the set.
+        spoken = F.min(F.when(F.col("profile").isNotNull(), F.col("task"))).alias("task")
+        self.classes = cut_lineage(
+            rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.max("profile").alias("profile"), spoken)
+        )
         self.levels = frequency_levels(described)
         self.parts = 1 + self.rows.count() // DOCS_PER_PART
 
@@ -374,32 +425,59 @@ class Product:
         """Stored in as many parts as the number of documents asks for."""
         return cut_lineage(table.coalesce(self.parts))
 
-    def sets(self, keys: DataFrame) -> DataFrame:
-        """(key, shingles) of the distinct `keys`, and some more that the filter lets through."""
-        speak = self.classes.join(keys, "key", "left_semi").select("key", F.coalesce("id", F.lit(-1)).alias("id")).coalesce(self.parts)
+    def sets(self, keys: DataFrame, low: int, high: int) -> DataFrame:
+        """(key, shingles) of the distinct `keys` in the parts low to high, and some more that the filter lets through."""
+        speak = self.classes.join(keys, "key", "left_semi").select("key", "task").coalesce(self.parts)
         wanted = Bloom.of(speak.mapInArrow(_speakers, "code long"), "code")
-        return cut_lineage(self.texts.mapInArrow(lambda batches: _sets(batches, wanted), "key long, shingles binary"))
+        return self.stored.mapInArrow(lambda batches: _sets(batches, wanted, low, high), "key long, shingles binary")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) that are links."""
+        """Those of the distinct pairs (a, b) that are links: their overlap is accumulated block by block."""
         for side, name in (("a", "left"), ("b", "right")):
             pairs = pairs.join(self.classes.selectExpr(f"key AS {side}", f"n AS {name}_n", f"profile AS {name}"), side).coalesce(self.parts)
-        pairs = self.small(pairs.select("a", "b", "left_n", "left", "right_n", "right").mapInArrow(_possible, "a long, b long"))
-        asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        sets = self.sets(asked)
-        left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
-        right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("right"))
-        both = pairs.join(left, "a").coalesce(self.parts).join(right, "b").select("a", "b", "left", "right").coalesce(self.parts)
-        return self.small(both.mapInArrow(_overlaps, "a long, b long").distinct())
+        pairs = self.small(pairs.select("a", "b", "left_n", "left", "right_n", "right").mapInArrow(_possible, ACCUMULATED))
+        for block, (low, high) in enumerate(zip(COLUMN_BLOCKS, COLUMN_BLOCKS[1:])):
+            asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+            sets = cut_lineage(self.sets(asked, low, high))
+            left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
+            right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("right"))
+            both = pairs.join(left, "a").coalesce(self.parts).join(right, "b").coalesce(self.parts)
+            pairs = self.small(both.mapInArrow(lambda batches, block=block: _accumulate(batches, block), ACCUMULATED))
+        return pairs.select("a", "b").distinct()
 
     def multiply(self, rows: DataFrame, seed: int) -> DataFrame:
-        dealt = rows.repartition("gram").sortWithinPartitions("gram", F.xxhash64("key", F.lit(seed)))
-        return dealt.mapInArrow(_multiply, MULTIPLIED)
+        """Pairs of rows that share a column, and the rows of hot columns again (b is null)."""
+        order = F.xxhash64("key", F.lit(seed))
+        counted = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+        very_hot = self.small(counted.where(F.col("c") > SORTED).select("gram"))
+        dealt = rows.join(very_hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", order)
+        sorted_ = dealt.mapInArrow(_multiply, MULTIPLIED)
+        # Pivots are chosen in every task before they are shuffled; Spark splits the join where a column is hot.
+        hot = rows.join(very_hot, "gram", "left_semi")
+        pivots = self.small(best_rows(hot.distinct(), ["gram"], [order, F.col("key")], STARS))
+        with_root = "root" in rows.columns
+        pivots = pivots.select("gram", *[F.col(c).alias(f"p_{c}") for c in pivots.columns if c != "gram"])
+        met = hot.join(pivots, "gram").where("key <> p_key").where(bounded(F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at")))
+        if with_root:
+            met = met.where("root <> p_root")
+        null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        found = met.select(
+            F.least("key", "p_key").alias("key"), F.greatest("key", "p_key").alias("b"), null("long", "gram"), null("int", "n"), null("int", "at"),
+        )
+        again = hot.select("key", null("long", "b"), "gram", "n", "at").distinct()
+        return sorted_.unionByName(found) if with_root else sorted_.unionByName(found).unionByName(again)
 
     def blocks(self, rooted: DataFrame) -> DataFrame:
-        """Pairs of different roots within the columns of `rooted` that may be linked, from square blocks of profiles."""
-        rank = F.row_number().over(Window.partitionBy("gram").orderBy("root", "key"))
-        rows = self.small(rooted.select("gram", "key", "root", F.floor((rank - 1) / BLOCK).alias("block")))
+        """Pairs of different roots within the columns of `rooted` that may be linked, from square blocks of profiles.
+
+        Roots with many rows in a column have blocks of their own, others share some, all dealt by hash.
+        """
+        sizes = rooted.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
+        large = sizes.where(F.col("c") > BLOCK).select("gram", "root", F.ceil(F.col("c") / BLOCK).alias("own"))
+        pooled = sizes.where(F.col("c") <= BLOCK).groupBy("gram").agg(F.ceil(F.sum("c") / BLOCK).alias("pool"))
+        rows = rooted.select("gram", "key", "root").join(large, ["gram", "root"], "left").join(pooled, "gram", "left")
+        block = F.when(F.col("own").isNotNull(), F.xxhash64("root", F.pmod(F.xxhash64("key"), "own"))).otherwise(F.pmod(F.xxhash64("root", F.lit(1)), "pool"))
+        rows = self.small(rows.select("gram", "key", "root", block.alias("block")))
         ends = rows.groupBy("gram", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         other = ends.select("gram", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
         # Two blocks of one and the same root have nothing to find.
@@ -413,8 +491,10 @@ class Product:
     def roots(self) -> DataFrame:
         """(node, root) of the classes that links join."""
         levels = self.levels
-        prefixes = self.texts.mapInArrow(lambda batches: _prefixes(batches, levels), "gram long, key long, n int, at int")
-        first = cut_lineage(self.multiply(prefixes, 0))
+        prefixes = self.stored.select("key", "shingles").mapInArrow(lambda batches: _prefixes(batches, levels), PREFIXES)
+        kept = shared_path(self.spark, "prefixes")
+        prefixes.write.parquet(kept)
+        first = cut_lineage(self.multiply(self.spark.read.schema(PREFIXES).parquet(kept), 0))
         hot = first.where("b is null").select("gram", "key", "n", "at")
         asked = self.small(_asked(first).distinct())
         links, before = self.verified(asked), None

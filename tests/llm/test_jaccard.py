@@ -134,3 +134,42 @@ def test_components_of_long_chains(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), 3).collect()}
     assert got == {**{x: min(nodes[:200]) for x in nodes[:200]}, **{x: min(nodes[250:]) for x in nodes[250:]}}
     assert components(spark.createDataFrame([], "a long, b long"), 1).collect() == []
+
+
+def test_very_hot_columns_are_joined_with_their_pivots(docs_of, monkeypatch):
+    """Every column of more than 20 rows is one that no task sorts; several partitions hold its rows."""
+    rows = cases(2, 200)
+    monkeypatch.setattr(jaccard, "SORTED", 20)
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    assert result(docs_of(rows, 6)) == brute(rows)
+
+
+def test_square_blocks_alone_find_every_link(docs_of, monkeypatch):
+    rows = cases(3, 120)
+    for name, value in (("SORTED", 10), ("HOT", 4), ("STARS", 1), ("ROUNDS", 0), ("BLOCK", 8)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert result(docs_of(rows, 5)) == brute(rows)
+
+
+def test_bounds_as_columns(spark):
+    rng = np.random.default_rng(4)
+    n, m = rng.integers(1, 60, 400), rng.integers(1, 60, 400)
+    i, j = rng.integers(0, 60, 400) % n, rng.integers(0, 60, 400) % m
+    table = spark.createDataFrame([tuple(map(int, r)) for r in zip(n, i, m, j)], "n int, i int, m int, j int")
+    got = [r[0] for r in table.select(jaccard.bounded(*(jaccard.F.col(c) for c in "nimj"))).collect()]
+    assert got == jaccard._bounded(n, i, m, j).tolist() and any(got)
+
+
+def test_overlaps_are_sums_over_blocks_of_columns():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(2)]
+    sets[1] = np.unique(np.concatenate([sets[0][:280], sets[1][:20]]))
+    profiles = [jaccard.profile(s) for s in sets]
+    pair = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([len(sets[0])]), pa.array([profiles[0]]), pa.array([len(sets[1])]), pa.array([profiles[1]])],
+                           ["a", "b", "left_n", "left", "right_n", "right"])
+    state, sums = next(jaccard._possible([pair])), []
+    for k, (low, high) in enumerate(zip(jaccard.COLUMN_BLOCKS, jaccard.COLUMN_BLOCKS[1:])):
+        part = [s[(jaccard.part_of(s) >= low) & (jaccard.part_of(s) < high)].tobytes() for s in sets]
+        state = next(jaccard._accumulate([state.append_column("left", pa.array(part[:1])).append_column("right", pa.array(part[1:]))], k))
+        sums += state["sum"].to_pylist()
+    assert len(sums) == 2 and 0 < sums[0] < sums[1] == len(np.intersect1d(*sets))
