@@ -11,7 +11,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import budget, cleaning, coach, forecast, labeling, notify, recommend, spend
+from .operators import budget, cleaning, coach, forecast, labeling, notify, recommend, rollup, spend
 from .schemas import LABEL_CACHE
 from .session import cut_lineage
 from .sources import readers, writers
@@ -102,7 +102,11 @@ def train(spark: SparkSession, enriched: str, users: str, out: str, cutoff: date
     """Fit the month-end model on all clients and store its weights and metrics."""
     limits = budget.user_limits(readers.read_users(spark, users))
     daily = forecast.daily_discretionary(readers.read_enriched(spark, enriched))
-    model = forecast.fit_month_end_model(forecast.training_samples(daily, limits), cutoff)
+    return _trained(spark, daily, limits, out, cutoff)
+
+
+def _trained(spark: SparkSession, daily: DataFrame, limits: DataFrame, out: str, cutoff: date | str | None) -> forecast.MonthEndModel:
+    model = forecast.fit_month_end_model(cut_lineage(forecast.training_samples(daily, limits)), cutoff)
     writers.write_model(model, f"{out}/model", limits)
     metrics = spark.range(1).select(*[F.lit(v).alias(k) for k, v in model.metrics.items()])
     writers.write_report(metrics, f"{out}/model_metrics")
@@ -131,21 +135,65 @@ def analytics(tx: DataFrame, limits: DataFrame, as_of: date | str, out: str) ->
     )
 
 
+def store_partials(tx: DataFrame, out: str, load: str) -> None:
+    """The rollups of one load of categorised transactions; storing a load again replaces only that load."""
+    for name, table in (("daily_partials", rollup.daily_partials(tx)), ("merchant_partials", rollup.merchant_partials(tx))):
+        (
+            writers.assert_no_pii(table).withColumn("load", F.lit(load)).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(f"{out}/{name}")
+        )
+
+
+def load_partials(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(days, merchant days) of all stored loads, merged."""
+    return tuple(rollup.merged(spark.read.parquet(f"{out}/{name}")) for name in ("daily_partials", "merchant_partials"))
+
+
+def train_on_partials(spark: SparkSession, out: str, limits: DataFrame, cutoff: date | str | None = None) -> forecast.MonthEndModel:
+    """`train` without reading transactions."""
+    days, _ = load_partials(spark, out)
+    return _trained(spark, rollup.discretionary_days(days, "rule_category"), limits, out, cutoff)
+
+
+Keep = Callable[[str, DataFrame], DataFrame]
+
+
 def alerts(
     tx: DataFrame,
     limits: DataFrame,
     as_of: date | str,
     model: forecast.MonthEndModel,
     feedback: DataFrame | None = None,
-    keep: Callable[[str, DataFrame], DataFrame] = lambda name, table: table,
+    keep: Keep = lambda name, table: table,
+    feedback_order: list[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Budget, forecast, recommendations, events and coach context for one as-of date.
 
-    All lazy, unless `keep` stores a table and hands back what it stored.
+    The rollup of the recommendations and their items are stored at once, which runs jobs; the rest is lazy unless `keep`
+    stores a table and hands back what it stored. `feedback` is as in `recommend.recommendations`.
     """
-    spent = keep("budget", budget.budget_utilization(tx, limits, as_of))
-    runway = keep("runway", forecast.score_clients(tx, limits, as_of, model))
-    advice = keep("recommendations", recommend.recommendations(tx, as_of, feedback))
+    days = cut_lineage(rollup.daily_partials(forecast.until(tx, as_of)))
+    merchants = cut_lineage(recommend.spending_rollup(tx, as_of))
+    return _alerts(days, merchants, limits, as_of, model, feedback, keep, feedback_order)
+
+
+def alerts_on_partials(
+    spark: SparkSession, out: str, limits: DataFrame, as_of: date | str, model: forecast.MonthEndModel,
+    feedback: DataFrame | None = None, keep: Keep = lambda name, table: table, feedback_order: list[str] | None = None,
+) -> dict[str, DataFrame]:
+    """`alerts` without reading transactions: after a load only its partials are new."""
+    days, merchants = load_partials(spark, out)
+    merchants = cut_lineage(recommend.rollup_of_days(merchants, as_of))
+    return _alerts(cut_lineage(days), merchants, limits, as_of, model, feedback, keep, feedback_order)
+
+
+def _alerts(
+    days: DataFrame, merchants: DataFrame, limits: DataFrame, as_of: date | str, model: forecast.MonthEndModel,
+    feedback: DataFrame | None, keep: Keep, feedback_order: list[str] | None,
+) -> dict[str, DataFrame]:
+    spent = keep("budget", rollup.budget_days(days, limits, as_of, as_of))
+    runway = keep("runway", forecast.score_daily(rollup.discretionary_days(days), limits, as_of, model))
+    advice = keep("recommendations", recommend.choose_open(recommend.items_of(merchants), feedback, order_by=feedback_order))
     scored = runway.where("status = 'scored'")
     inputs = notify.notification_inputs(spent, scored)
     return {
@@ -157,14 +205,25 @@ def alerts(
     }
 
 
+def _keeper(spark: SparkSession, as_of: date | str, out: str) -> Keep:
+    def keep(name: str, table: DataFrame) -> DataFrame:
+        writers.write_metrics({name: table}, out, str(as_of))
+        return spark.read.schema(table.schema).parquet(f"{out}/{name}/run_date={as_of}")
+
+    return keep
+
+
 def store_alerts(
     tx: DataFrame, limits: DataFrame, as_of: date | str, model: forecast.MonthEndModel, out: str,
-    feedback: DataFrame | None = None,
+    feedback: DataFrame | None = None, feedback_order: list[str] | None = None,
 ) -> dict[str, DataFrame]:
     """`alerts`, each table written once and read back by the steps after it."""
+    return alerts(tx, limits, as_of, model, feedback, _keeper(tx.sparkSession, as_of, out), feedback_order)
 
-    def keep(name: str, table: DataFrame) -> DataFrame:
-        writers.write_metrics({name: table}, out, str(as_of))
-        return tx.sparkSession.read.schema(table.schema).parquet(f"{out}/{name}/run_date={as_of}")
 
-    return alerts(tx, limits, as_of, model, feedback, keep)
+def refresh_alerts(
+    spark: SparkSession, partials: str, limits: DataFrame, as_of: date | str, model: forecast.MonthEndModel, out: str,
+    feedback: DataFrame | None = None, feedback_order: list[str] | None = None,
+) -> dict[str, DataFrame]:
+    """`store_alerts` from the stored partials, after `store_partials` of what a load brought."""
+    return alerts_on_partials(spark, partials, limits, as_of, model, feedback, _keeper(spark, as_of, out), feedback_order)

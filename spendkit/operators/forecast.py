@@ -5,8 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..constants import FEATURES, MIN_SPLIT_ROWS, RIDGE_ALPHA, TARGET, TRAIN_QUANTILE
@@ -96,7 +95,11 @@ def time_split(samples: DataFrame, cutoff: date | str | None = None) -> DataFram
 
     Days are counted first; the quantile then weighs one row per calendar day.
     """
-    per_day = samples.groupBy(F.unix_date("day").alias("d")).agg(F.count("*").alias("n"))
+    return split_of(samples.groupBy(F.unix_date("day").alias("d")).agg(F.count("*").alias("n")), cutoff)
+
+
+def split_of(per_day: DataFrame, cutoff: date | str | None = None) -> DataFrame:
+    """`time_split` of the samples per day (d, n)."""
     edge = (
         F.percentile("d", F.lit(TRAIN_QUANTILE), F.col("n"))
         if cutoff is None
@@ -155,64 +158,84 @@ class MonthEndModel:
         )
 
 
-def fit_month_end_model(
-    samples: DataFrame,
-    cutoff: date | str | None = None,
-    alpha: float = RIDGE_ALPHA,
-    features: tuple[str, ...] = FEATURES,
+#: Near the middle of features that lie far from zero; products of what is left lose no digits.
+_MIDDLE = {"year": 2000, "month": 6, "day_of_month": 15, "days_in_month": 30, "days_remaining_in_month": 15}
+
+
+def day_moments(samples: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Per day the number of samples and the sums of all products of two of one, the features and the target.
+
+    All that a ridge regression needs. Sums of days add up, so a day that is computed again replaces its row and the
+    model of any cutoff comes from this table, one row per calendar day, without the samples.
+    """
+    require_columns(samples, ["day", TARGET, *features])
+    x = [F.lit(1.0), *[F.col(c).cast("double") - F.lit(float(_MIDDLE.get(c, 0))) for c in features], F.col(TARGET).cast("double")]
+    sums = [F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))]
+    return samples.groupBy("day").agg(F.count("*").alias("n"), F.array(*sums).alias("moments"))
+
+
+def ridge_of_moments(
+    moments: DataFrame, cutoff: date | str | None = None, alpha: float = RIDGE_ALPHA, features: tuple[str, ...] = FEATURES,
 ) -> MonthEndModel:
-    """Ridge on standardised features with a split by time.
+    """Ridge on standardised features from `day_moments`, with a split by time; its errors are not measured.
 
-    Minimises |y - Xw|^2 + alpha |w|^2 with a free intercept, on features scaled by their population
-    deviation. Spark's normal solver divides the loss by 2n and scales the penalty by the label's
-    deviation, hence `regParam`. The samples are computed once and read from the checkpoint in
-    each of the passes; only sums over the features reach the driver.
+    Minimises |y - Xw|^2 + alpha |w|^2 with a free intercept, on features scaled by their population deviation. What
+    reaches the driver is one row of sums; the equations have as many unknowns as there are features.
     """
-    require_columns(samples, ["day", TARGET, LIMIT])
-    samples = cut_lineage(samples.select("day", F.col(TARGET).cast("double").alias("label"),
-                                         *[F.col(c).cast("double").alias(c) for c in features]))
-    split = time_split(samples, cutoff).first()
+    split = split_of(moments.select(F.unix_date("day").alias("d"), "n"), cutoff).first()
     if not split.n_samples or split.n_train < MIN_SPLIT_ROWS or split.n_test < MIN_SPLIT_ROWS:
         raise ValueError(f"Not enough samples for a time split: need {MIN_SPLIT_ROWS} on each side")
-    is_train = F.unix_date("day") <= F.lit(split.cutoff)
-    train = samples.where(is_train)
-    stats = train.agg(
-        F.stddev_pop("label").alias("label_std"),
-        *[F.avg(c).alias(f"{c}__mean") for c in features],
-        *[F.stddev_pop(c).alias(f"{c}__std") for c in features],
-    ).first()
-    mean = tuple(stats[f"{c}__mean"] for c in features)
+    size = len(features) + 2
+    places = [(i, j) for i in range(size) for j in range(i, size)]
+    train = moments.where(F.unix_date("day") <= F.lit(split.cutoff))
+    sums = train.agg(*[F.sum(F.get("moments", F.lit(k))).alias(f"m{k}") for k in range(len(places))]).first()
+    product = np.zeros((size, size))
+    for (i, j), value in zip(places, sums):
+        product[i, j] = product[j, i] = value
+    n = product[0, 0]
+    mean = product[0] / n
+    spread = product / n - np.outer(mean, mean)
+    variance = np.diag(spread)[1:-1]
     # A constant feature keeps scale 1.
-    scale = tuple(stats[f"{c}__std"] if stats[f"{c}__std"] > 0 else 1.0 for c in features)
-    scaled = train.select(
-        "label", *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(c) for c, m, s in zip(features, mean, scale)]
+    known = variance > 1e-13 * np.maximum(np.diag(product)[1:-1] / n, 1e-300)
+    scale = np.where(known, np.sqrt(np.maximum(variance, 0)), 1.0)
+    gram = n * spread[1:-1, 1:-1] / np.outer(scale, scale)
+    weight = np.linalg.solve(gram + alpha * np.eye(len(features)), n * spread[1:-1, -1] / scale)
+    return MonthEndModel(
+        features=tuple(features), mean=tuple(float(m) + _MIDDLE.get(c, 0) for c, m in zip(features, mean[1:-1])),
+        scale=tuple(map(float, scale)), weight=tuple(map(float, weight)), intercept=float(mean[-1]),
+        metrics=dict(
+            cutoff_day=str(EPOCH + timedelta(days=int(split.cutoff))), cutoff=float(split.cutoff),
+            n_samples=split.n_samples, n_train=split.n_train, n_test=split.n_test,
+        ),
     )
-    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled)
-    fitted = LinearRegression(
-        solver="normal",
-        elasticNetParam=0.0,
-        standardization=False,
-        regParam=alpha * stats.label_std / split.n_train,
-    ).fit(rows.select("label", "features"))
-    model = MonthEndModel(
-        features=features, mean=mean, scale=scale,
-        weight=tuple(float(w) for w in fitted.coefficients), intercept=float(fitted.intercept),
-    )
-    error = F.abs(F.col("label") - model.predict())
+
+
+def measure(model: MonthEndModel, samples: DataFrame) -> MonthEndModel:
+    """The model with its mean errors on both sides of its cutoff: one pass over the samples."""
+    is_train = F.unix_date("day") <= F.lit(model.metrics.pop("cutoff"))
+    error = F.abs(F.col(TARGET).cast("double") - model.predict())
     mae = samples.agg(
         F.avg(F.when(is_train, error)).alias("train"), F.avg(F.when(~is_train, error)).alias("test")
     ).first()
-    model.metrics.update(
-        cutoff_day=str(EPOCH + timedelta(days=int(split.cutoff))),
-        n_samples=split.n_samples,
-        n_train=split.n_train,
-        n_test=split.n_test,
-        mae_train_usd=mae.train,
-        mae_test_usd=mae.test,
-    )
+    model.metrics.update(mae_train_usd=mae.train, mae_test_usd=mae.test)
     return model
 
 
+def fit_month_end_model(
+    samples: DataFrame,
+    cutoff: date | str | None = None,
+    alpha: float = RIDGE_ALPHA,
+    features: tuple[str, ...] = FEATURES,
+) -> MonthEndModel:
+    """`ridge_of_moments` and its errors: one pass over the samples for the sums and one for the errors.
+
+    Runs jobs. The samples are not stored; store them first if they are dear.
+    """
+    moments = cut_lineage(day_moments(samples, features))
+    return measure(ridge_of_moments(moments, cutoff, alpha, features), samples)
+
+
 def feature_row_as_of(samples: DataFrame, as_of: AsOf) -> DataFrame:
     """The latest sample of every client on or before its as-of day."""
     rows = with_as_of(samples, as_of).where(F.col("day") <= F.col("as_of"))
@@ -261,10 +284,10 @@ def score_clients(
 
     Spend of the whole as-of day counts here, unlike in the budget.
     """
-    return score_daily(daily_discretionary(_until(tx, as_of), category), limits, as_of, model)
+    return score_daily(daily_discretionary(until(tx, as_of), category), limits, as_of, model)
 
 
-def _until(tx: DataFrame, as_of: AsOf) -> DataFrame:
+def until(tx: DataFrame, as_of: AsOf) -> DataFrame:
     """Rows up to the end of the as-of day, or of the last one of a frame; the bound reaches the scan."""
     if isinstance(as_of, DataFrame):
         last = as_of.agg(F.max(F.to_date("as_of"))).first()[0]

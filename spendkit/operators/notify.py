@@ -25,8 +25,11 @@ def _or_else(first: Column, second: Column) -> Column:
     return F.coalesce(F.when(number != 0, number), second.cast("double"))
 
 
-def notification_inputs(budget: DataFrame, runway: DataFrame, as_of: AsOf | None = None) -> DataFrame:
-    """One row per client from budget and forecast; a zero in the budget falls through to the forecast."""
+def notification_inputs(budget: DataFrame, runway: DataFrame, as_of: AsOf | None = None, per_day: bool = False) -> DataFrame:
+    """One row per client from budget and forecast; a zero in the budget falls through to the forecast.
+
+    With `per_day` both hold several days of a client and a row is one client and day.
+    """
     b = budget.select(
         "client_id", F.col("as_of_date").alias("b_day"), F.col("utilization_pct").alias("b_util"),
         F.col(MTD).alias("b_mtd"), F.col(LIMIT).alias("b_limit"),
@@ -37,7 +40,10 @@ def notification_inputs(budget: DataFrame, runway: DataFrame, as_of: AsOf | None
         "days_to_limit_estimate", "overspend_risk",
     )
     day = F.coalesce("b_day", "p_day")
-    joined = b.join(p, "client_id", "full")
+    if per_day:
+        joined = b.withColumn("_day", F.col("b_day")).join(p.withColumn("_day", F.col("p_day")), ["client_id", "_day"], "full")
+    else:
+        joined = b.join(p, "client_id", "full")
     if isinstance(as_of, DataFrame):
         joined = joined.join(as_of.select("client_id", F.to_date("as_of").alias("g_day")), "client_id", "left")
         day = F.coalesce("g_day", day)

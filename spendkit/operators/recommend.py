@@ -65,6 +65,18 @@ def spending_rollup(
     ).agg(F.sum("spend_usd").alias("spend_usd"), F.min(at).alias("first_dt"))
 
 
+def rollup_of_days(
+    days: DataFrame, as_of: AsOf, lookback_days: int = RECURRING_LOOKBACK_DAYS, recent_days: int = CUTBACK_LOOKBACK_DAYS,
+) -> DataFrame:
+    """`spending_rollup` from stored sums per day, `rollup.merchant_partials`."""
+    day, at = F.col("as_of"), F.col("first_dt")
+    inside = (F.col("day") < day) | ((F.col("day") == day) & F.col("at_midnight"))
+    rows = with_as_of(days, as_of).where((F.col("day") >= F.date_sub(day, lookback_days)) & inside)
+    return rows.groupBy(
+        "client_id", *_ROLLED, month_label(at).alias("month"), (F.col("day") >= F.date_sub(day, recent_days)).alias("is_recent"),
+    ).agg(F.sum("spend_usd").alias("spend_usd"), F.min(at).alias("first_dt"))
+
+
 def recurring_of(rollup: DataFrame) -> DataFrame:
     """Merchants with steady monthly spend. Rows without a merchant are left out."""
     monthly = rollup.where(F.col("merchant_id").isNotNull()).groupBy("client_id", "merchant_id", "month").agg(
@@ -258,20 +270,40 @@ def choose(items: DataFrame, n: int = MAX_RECOMMENDATIONS) -> DataFrame:
     return ranked(kept, ["client_id"], order, n)
 
 
+def open_items(items: DataFrame, changes: DataFrame, order_by: list[str]) -> DataFrame:
+    """Items whose last entry in the feedback log does not dismiss them.
+
+    Only entries on these items, a handful per client, are looked at; the log as a whole is neither ranked nor sorted.
+    """
+    keys = ["client_id", "rec_id"]
+    own = items.select(*keys)
+    entries = changes.join(own, keys, "left_semi").groupBy(*keys).agg(F.max_by("status", F.struct(*order_by)).alias("_status"))
+    return items.join(entries, keys, "left").where("_status is null or _status <> 'dismissed'").drop("_status")
+
+
+def items_of(rollup: DataFrame) -> DataFrame:
+    """All candidate items of a stored rollup, at most six per client, stored."""
+    return cut_lineage(subscription_items(recurring_of(rollup)).unionByName(cutback_items(categories_of(rollup))))
+
+
 def recommendations(
     tx: DataFrame,
     as_of: AsOf,
     feedback: DataFrame | None = None,
     n: int = MAX_RECOMMENDATIONS,
+    order_by: list[str] | None = None,
 ) -> DataFrame:
     """At most `n` items per client: the top subscription first, then category cutbacks.
 
     If the top subscription is dismissed the next one is not tried. `tx` carries `category` and
-    `is_discretionary`; `feedback` holds the current status per item. The transactions are read once, for a
-    rollup that is stored and read by both kinds of items.
+    `is_discretionary`. `feedback` holds the current status per item, or, with `order_by`, all entries in the order of these
+    columns. The transactions are read once, for a rollup that is stored and read by both kinds of items.
     """
-    rollup = cut_lineage(spending_rollup(tx, as_of))
-    items = subscription_items(recurring_of(rollup)).unionByName(cutback_items(categories_of(rollup)))
+    return choose_open(items_of(cut_lineage(spending_rollup(tx, as_of))), feedback, n, order_by)
+
+
+def choose_open(items: DataFrame, feedback: DataFrame | None, n: int = MAX_RECOMMENDATIONS, order_by: list[str] | None = None) -> DataFrame:
+    """The chosen of the items that are not dismissed."""
     if feedback is not None:
-        items = drop_dismissed(items, feedback)
+        items = open_items(items, feedback, order_by) if order_by else drop_dismissed(items, feedback)
     return choose(items, n)

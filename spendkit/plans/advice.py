@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import budget, coach, notify, recommend, spend
+from ..operators import budget, coach, notify, recommend, rollup, spend
 from ..session import cut_lineage
 from .registry import big, dbl, query
-from .spending import _budget, forecasts
+from .spending import _budget, budget_of_month, daily_rollup, forecasts, runway_of_month
 from .views import AS_OF, LATE_AS_OF, Views
 
 
@@ -60,14 +60,12 @@ def feedback_latest(v: Views):
 
 @query("recs_after_feedback", "SELECT client_id, rec_id, rule, preference FROM open_items")
 def recs_after_feedback(v: Views):
-    rollup = cut_lineage(recommend.spending_rollup(v.categorised(place=True), AS_OF))
-    items = recommend.subscription_items(recommend.recurring_of(rollup)).unionByName(
-        recommend.cutback_items(recommend.categories_of(rollup)))
-    return recommend.drop_dismissed(items, _feedback(v)).select("client_id", "rec_id", "rule", big("preference"))
+    items = recommend.items_of(cut_lineage(recommend.spending_rollup(v.categorised(place=True), AS_OF)))
+    return recommend.open_items(items, v.feedback(), ["transaction_dt", "id"]).select("client_id", "rec_id", "rule", big("preference"))
 
 
 def _recommendations(v: Views):
-    return recommend.recommendations(v.categorised(place=True), AS_OF, _feedback(v))
+    return recommend.recommendations(v.categorised(place=True), AS_OF, v.feedback(), order_by=["transaction_dt", "id"])
 
 
 @query("recommendations", "SELECT client_id, rec_id, title, rule, round(saving, 4) AS saving, rank FROM recs")
@@ -96,7 +94,9 @@ def crossed_thresholds(v: Views):
 
 
 def _inputs(v: Views, as_of: str = AS_OF):
-    return notify.notification_inputs(_budget(v, as_of), forecasts(v, as_of))
+    """Budget and forecast from one stored rollup."""
+    days = daily_rollup(v)
+    return notify.notification_inputs(rollup.budget_days(days, v.limits(), as_of, as_of), forecasts(v, as_of, days))
 
 
 @query("notification_inputs", """
@@ -192,6 +192,23 @@ def notifications(v: Views):
     return _events(v).select(*_EVENT, big("display_rank"))
 
 
+_EACH_DAY = " UNION ALL ".join(
+    sql.replace("FROM inputs", "FROM inputs_each").replace("|2000-06-15", "|' || as_of_date || '").replace("client_id,", "client_id, as_of_date,", 1)
+    for sql in (_THRESHOLD_EVENTS, _OVERSPEND_EVENTS, _RUNWAY_EVENTS)
+)
+
+
+@query("events_each_day", f"""
+    SELECT *, row_number() OVER (PARTITION BY client_id, as_of_date ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END,
+             coalesce(threshold_pct, 0) DESC, kind, title) AS display_rank
+    FROM ({_EACH_DAY})""")
+def events_each_day(v: Views):
+    """Events of every day of a month, from one read of the transactions."""
+    days = daily_rollup(v)
+    inputs = notify.notification_inputs(budget_of_month(v, days), runway_of_month(v, days).where("status = 'scored'"), per_day=True)
+    return notify.notifications(inputs).select("as_of_date", *_EVENT, big("display_rank"))
+
+
 @query("channel_events", f"""
     SELECT event_id, client_id, kind, channel FROM ({_ALL_EVENTS}) CROSS JOIN (SELECT unnest(['app', 'email']) AS channel) c""")
 def channel_events(v: Views):
@@ -199,7 +216,8 @@ def channel_events(v: Views):
 
 
 def _context(v: Views):
-    return coach.coach_context(_budget(v), forecasts(v))
+    days = daily_rollup(v)
+    return coach.coach_context(rollup.budget_days(days, v.limits(), AS_OF, AS_OF), forecasts(v, AS_OF, days))
 
 
 @query("coach_context", """

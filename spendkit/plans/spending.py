@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import FEATURES, RIDGE_ALPHA, TARGET
-from ..operators import budget, forecast, labeling, spend
+from ..operators import budget, forecast, labeling, rollup, spend
 from ..session import cut_lineage
 from .registry import big, dbl, query
 from .views import AS_OF, EVENTS_AS_OF, STORED_VIEWS, VIEW_SQL, Views, with_views
@@ -283,14 +283,15 @@ STORED_VIEWS.update({"numbered", "cut", "train", "stats", "z", "weights", "model
 
 @query("ridge_fit")
 def ridge_fit(v: Views):
-    model = forecast.fit_month_end_model(_samples(v))
+    """The weights need one pass over the samples."""
+    model = forecast.ridge_of_moments(cut_lineage(forecast.day_moments(_samples(v))))
     return model.to_frame(v.spark).select(
         big("position"), "feature", dbl("mean", digits=4), dbl("scale", digits=4), dbl("weight", digits=3))
 
 
 @query("ridge_metrics")
 def ridge_metrics(v: Views):
-    m = forecast.fit_month_end_model(_samples(v)).metrics
+    m = forecast.fit_month_end_model(cut_lineage(_samples(v))).metrics
     return v.spark.range(1).select(
         F.lit(m["cutoff_day"]).alias("cutoff_day"), F.lit(m["n_samples"]).cast("bigint").alias("n_samples"),
         F.lit(m["n_train"]).cast("bigint").alias("n_train"), F.lit(m["n_test"]).cast("bigint").alias("n_test"),
@@ -308,14 +309,20 @@ def feature_row_asof(v: Views):
 
 @query("predict_month_end")
 def predict_month_end(v: Views):
-    samples = _samples(v)
+    samples = cut_lineage(_samples(v))
     scored = forecast.predict_month_end(samples, forecast.fit_month_end_model(samples))
     return scored.select("client_id", "day", dbl("predicted_month_end_discretionary_spend_usd", "predicted", 2))
 
 
-def forecasts(v: Views, as_of: str = AS_OF):
+def daily_rollup(v: Views):
+    """Budget and forecast both come from this rollup, which is stored; the transactions are read once."""
+    return cut_lineage(rollup.daily_partials(v.categorised()))
+
+
+def forecasts(v: Views, as_of: str = AS_OF, days=None):
     """The fitted model's forecast of every client with a sample, with its signals."""
-    samples = cut_lineage(_samples(v))
+    days = daily_rollup(v) if days is None else days
+    samples = cut_lineage(forecast.training_samples(rollup.discretionary_days(days, "rule_category"), v.limits()))
     rows = forecast.predict_month_end(forecast.feature_row_as_of(samples, as_of), forecast.fit_month_end_model(samples))
     return forecast.overspend_signals(rows).withColumn("as_of_date", F.col("as_of"))
 
@@ -334,10 +341,69 @@ def overspend_risk(v: Views):
 def _runway(v: Views):
     # One rollup serves the fit and the scores.
     daily = cut_lineage(forecast.daily_discretionary(v.categorised()))
-    model = forecast.fit_month_end_model(forecast.training_samples(daily, v.limits()))
+    model = forecast.fit_month_end_model(cut_lineage(forecast.training_samples(daily, v.limits())))
     return forecast.score_daily(daily, v.limits(), AS_OF, model)
 
 
+# Every day of a month at once.
+FIRST_DAY, LAST_DAY = "2000-06-01", "2000-06-30"
+VIEW_SQL.update({
+    "each_day": f"SELECT CAST(d AS DATE) AS as_of FROM generate_series(DATE '{FIRST_DAY}', DATE '{LAST_DAY}', INTERVAL 1 DAY) t(d)",
+    "budget_each": """
+        SELECT l.client_id, a.as_of AS as_of_date, any_value(l.monthly_limit) AS monthly_limit, coalesce(sum(spend), 0) AS mtd,
+               CAST(coalesce(sum(spend), 0) AS DOUBLE) / nullif(CAST(any_value(l.monthly_limit) AS DOUBLE), 0) AS util
+        FROM limits l CROSS JOIN each_day a
+        LEFT JOIN ctx c ON c.client_id = l.client_id AND is_discretionary AND transaction_dt >= date_trunc('month', a.as_of)
+          AND transaction_dt <= CAST(a.as_of AS TIMESTAMP)
+        GROUP BY 1, 2""",
+    "signals_each": """
+        SELECT *, predicted / lim AS projected, predicted > lim AS risk, lim - mtd AS remaining,
+               CASE WHEN lim - mtd <= 0 THEN 0
+                    WHEN predicted - mtd > 0 THEN CAST(ceil((lim - mtd) / ((predicted - mtd) / greatest(dim - day(as_of), 1))) AS BIGINT)
+               END AS days
+        FROM (SELECT client_id, as_of, lim, mtd, dim, predicted FROM numbered JOIN fitted USING (r) CROSS JOIN each_day WHERE day <= as_of
+              QUALIFY row_number() OVER (PARTITION BY client_id, as_of ORDER BY day DESC) = 1)""",
+    "inputs_each": """
+        SELECT b.client_id, b.as_of_date, b.util, s.projected, coalesce(s.risk, FALSE) AS risk, s.days
+        FROM budget_each b LEFT JOIN signals_each s ON b.client_id = s.client_id AND b.as_of_date = s.as_of""",
+})
+STORED_VIEWS.update({"budget_each", "signals_each"})
+
+
+def budget_of_month(v: Views, days):
+    return rollup.budget_days(days, v.limits(), FIRST_DAY, LAST_DAY)
+
+
+def runway_of_month(v: Views, days):
+    daily = rollup.discretionary_days(days, "rule_category")
+    model = forecast.fit_month_end_model(cut_lineage(forecast.training_samples(daily, v.limits())))
+    return rollup.score_days(rollup.discretionary_days(days), v.limits(), FIRST_DAY, LAST_DAY, model)
+
+
+@query("budget_each_day", """
+    SELECT client_id, as_of_date, CAST(monthly_limit AS DOUBLE) AS lim, CAST(mtd AS DOUBLE) AS mtd, round(util, 6) AS util FROM budget_each""")
+def budget_each_day(v: Views):
+    return budget_of_month(v, rollup.daily_partials(v.categorised())).select(
+        "client_id", "as_of_date", dbl(budget.LIMIT, "lim"), dbl(forecast.MTD, "mtd"), dbl("utilization_pct", "util", 6))
+
+
+@query("runway_each_day")
+def runway_each_day(v: Views):
+    return _runway_columns(runway_of_month(v, daily_rollup(v)))
+
+
+@query("rollup_of_loads", """
+    SELECT client_id, CAST(transaction_dt AS DATE) AS day, transaction_dt = CAST(transaction_dt AS DATE) AS at_midnight, category,
+           CAST(sum(spend) AS DOUBLE) AS spend_usd, count(*) AS transactions
+    FROM ctx GROUP BY 1, 2, 3, 4""")
+def rollup_of_loads(v: Views):
+    """The rollups of three loads, merged on read."""
+    tx = v.categorised()
+    loads = [rollup.daily_partials(tx.where(F.coalesce(F.col("l_returnflag"), F.lit("")) == flag)) for flag in ("A", "N", "R")]
+    whole = rollup.merged(loads[0].unionByName(loads[1]).unionByName(loads[2]))
+    return whole.select("client_id", "day", "at_midnight", "category", dbl("spend_usd"), "transactions")
+
+
 def _runway_columns(rows):
     return rows.select(
         "client_id", "as_of_date", dbl(budget.LIMIT, "lim"), dbl(forecast.MTD, "mtd"),
@@ -355,7 +421,7 @@ def runway(v: Views):
 def runway_at_last_date(v: Views):
     """Each client as of the day of its last transaction."""
     tx = v.categorised()
-    model = forecast.fit_month_end_model(_samples(v))
+    model = forecast.fit_month_end_model(cut_lineage(_samples(v)))
     return _runway_columns(forecast.score_clients(tx, v.limits(), spend.default_as_of(tx), model))
 
 
@@ -391,6 +457,11 @@ RIDGE_CHECKS = {
                    FROM (SELECT *, c_custkey // 30 AS client_id FROM customer) GROUP BY 1) h ON l.client_id = h.client_id
         LEFT JOIN (SELECT * FROM numbered JOIN fitted USING (r) WHERE day <= DATE '2000-06-15'
                    QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY day DESC) = 1) s ON l.client_id = s.client_id"""),
+    "runway_each_day": with_views("""
+        SELECT l.client_id, a.as_of AS as_of_date, CASE WHEN s.as_of IS NOT NULL THEN s.lim END AS lim, s.mtd,
+               round(predicted, 2) AS predicted, round(projected, 4) AS projected, risk, days, round(remaining, 2) AS remaining,
+               CASE WHEN monthly_limit IS NULL OR monthly_limit <= 0 THEN 'no_limit' WHEN s.as_of IS NULL THEN 'no_history' ELSE 'scored' END AS status
+        FROM limits l CROSS JOIN each_day a LEFT JOIN signals_each s ON l.client_id = s.client_id AND a.as_of = s.as_of"""),
     "runway_at_last_date": with_views("""
         SELECT l.client_id, a.as_of AS as_of_date, CASE WHEN s.r IS NOT NULL THEN s.lim END AS lim, s.mtd,
                round(predicted, 2) AS predicted, round(predicted / s.lim, 4) AS projected, predicted > s.lim AS risk,

@@ -82,6 +82,38 @@ def test_every_file_has_its_own_header(spark, tmp_path):
         readers.read_transactions(spark, str(tmp_path))
 
 
+def jobs_of(spark, name, call):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        call()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_headers_of_many_files_are_one_job(spark, tmp_path):
+    for n in (3, 200):
+        (tmp_path / str(n)).mkdir()
+        for k in range(n):
+            (tmp_path / str(n) / f"{k:03d}.csv").write_text("\n".join([HEADER, line(k)]) + "\n")
+    found = [jobs_of(spark, f"headers-{n}", lambda n=n: readers.read_transactions(spark, str(tmp_path / str(n)))) for n in (3, 200)]
+    assert found[0] == found[1] <= 3
+    assert readers.read_transactions(spark, str(tmp_path / "200")).count() == 200
+
+
+def test_first_lines_stop_at_the_first(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n".join(["head a", *["x" * 200] * 20_000]))
+    (tmp_path / "b.csv").write_text("head b")
+    (tmp_path / "c.csv").write_text("\nno head")
+    (tmp_path / "d.csv").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = readers.first_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["file"][-5:], r["line"]) for r in rows) == [("a.csv", "head a"), ("b.csv", "head b"), ("c.csv", "")]
+
+
 def test_users_and_cards_in_files_of_different_headers(spark, tmp_path):
     for folder, texts in {
         "users": ["id,current_age,monthly_discretionary_limits\n1,33,$5\n", "monthly_discretionary_limits,id\n$7,2\n"],
