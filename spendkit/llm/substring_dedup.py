@@ -1,13 +1,13 @@
 """Substring dedup: windows of words that occur elsewhere are found with an FM-index per shard.
 
-Shards by content. Of the grams (20 words) inside a window (35 words) the one with the least hash is its anchor, so equal
+Shards by content. Of the grams (12 words) inside a window (35 words) the one with the least hash is its anchor, so equal
 windows have equal anchors wherever they stand. Consecutive windows with one anchor are a segment; a segment goes to the
 shard of its anchor, and a window can only meet its equals there. Anchors that occur once in the corpus need no
-search: grams are counted first, and only segments of repeated anchors move. Equal segments are one row with a number.
-An anchor with many different segments (a frequent passage in changing surroundings) is dealt out further: its segments
-are cut into single windows, and these are dealt by their own hash.
+search: anchors are counted first, and only segments of repeated ones move. A task sends a segment once, however many
+copies it has. An anchor with very many segments (a frequent passage in changing surroundings) is dealt out further: its
+segments are cut into single windows, and these are dealt by their own hash.
 
-Search. A shard holds the BWT of its segments in a bit-packed wavelet matrix over its words. The documents' segments are
+Search. Segments are shuffled once, sorted by shard and hash, so copies from several tasks meet as neighbours. A shard holds the BWT of its segments in a bit-packed wavelet matrix over its words. The documents' segments are
 streamed through it: backward search prolongs a match word by word to the left while it occurs at least twice,
 which gives the matching statistics at the ends that matter: where a match breaks, all windows across that place are
 settled. Windows that occur twice come back as bits per segment, to every document that holds the segment.
@@ -18,24 +18,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import Bloom, shared_path
+from .storage import Bloom, cut_lineage
 from .text import BLANK, Words, grams, mix, rolling, slices, words
 
 WINDOW = 35
-GRAM = 20
-#: Words of one index, and different segments of one anchor that stay together.
+GRAM = 12
+#: Words of one index, and segments of one anchor that stay together.
 SHARD_WORDS = 1 << 20
-ANCHOR_SEGMENTS = 2048
+ANCHOR_SEGMENTS = 1 << 15
 
 #: Words `[^\x20\x09-\x0D]+`, unchanged.
 EXACT = (np.arange(256, dtype=np.uint8), BLANK[1])
 
-SEGMENTS = "h1 long, h2 long, anchor long, body binary, copies long"
-PARTS = "p1 long, p2 long, at int, h1 long, h2 long, body binary, copies long"
+DEALT = "key long, h1 long, h2 long, body binary"
+PARTS = "p1 long, p2 long, at int, h1 long, h2 long"
 PLACES = "t1 long, t2 long, at int, h1 long, h2 long"
 FOUND = "h1 long, h2 long, marks long"
 
@@ -89,20 +88,79 @@ def _wanted(found: Words, window: int, gram: int, repeated: Bloom) -> tuple[np.n
     first, many, anchor = segments(found, window, gram)
     kept = repeated.has(anchor)
     first, end, anchor = first[kept], (first + many + window - 1)[kept], anchor[kept]
-    return first, end, anchor, rolling(found.hashes, first, end), rolling(mix(found.hashes, 1), first, end)
+    return first, end, anchor, *_hashes(found, first, end)
 
 
-def _bodies(batches: Iterator[pa.RecordBatch], window: int, gram: int, repeated: Bloom) -> Iterator[pa.RecordBatch]:
-    """Different segments of a slice, their words joined by a space."""
+def _hashes(found: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return rolling(found.hashes, first, end), rolling(mix(found.hashes, 1), first, end)
+
+
+class _Sent:
+    """What a task has sent: a body once, and one row without it to say that there are more."""
+
+    def __init__(self):
+        self.times: dict[int, int] = {}
+
+    def choose(self, codes: np.ndarray) -> tuple[list[int], list[bool]]:
+        """Places of the rows to send, and whether with their body."""
+        at, whole, times = [], [], self.times
+        for k, code in enumerate(codes.tolist()):
+            sent = times.get(code, 0)
+            if sent < 2:
+                times[code] = sent + 1
+                at.append(k)
+                whole.append(not sent)
+        return at, whole
+
+
+def _windows_of(first: np.ndarray, end: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place in it) of all windows of the segments."""
+    many = end - first - window + 1
+    of = np.repeat(np.arange(len(many)), many)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _deal(batches: Iterator[pa.RecordBatch], window: int, gram: int, repeated: Bloom, hot: Bloom) -> Iterator[pa.RecordBatch]:
+    """Segments with their words joined by a space, keyed by their anchor; those of hot anchors as single windows."""
+    sent, cut = _Sent(), _Sent()
     for batch in batches:
         for _, _, data, offsets in slices(batch["text"]):
             found = words(data, offsets, EXACT)
-            first, end, anchor, h1, h2 = _wanted(found, window, gram, repeated)
-            _, one, copies = np.unique(h1, return_index=True, return_counts=True)
             text, until = _spaced(found)
-            bodies = [text[i : j - 1].tobytes() for i, j in zip(until[first[one]].tolist(), until[end[one]].tolist())]
-            columns = [h1[one].view(np.int64), h2[one].view(np.int64), anchor[one].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, pa.binary()), pa.array(copies, pa.int64())], _names(SEGMENTS))
+
+            def rows(held: _Sent, key: np.ndarray, first: np.ndarray, end: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> pa.RecordBatch:
+                at, whole = held.choose(h1)
+                spans = zip(until[first[at]].tolist(), until[end[at]].tolist(), whole)  # noqa: B023
+                bodies = [text[i : j - 1].tobytes() if w else None for i, j, w in spans]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (key, h1, h2)), pa.array(bodies, pa.binary())], _names(DEALT))
+
+            first, end, anchor, h1, h2 = _wanted(found, window, gram, repeated)
+            is_hot = hot.has(anchor)
+            cold = ~is_hot
+            yield rows(sent, anchor[cold], first[cold], end[cold], h1[cold], h2[cold])
+            if is_hot.any():
+                # All windows of a copy are copies, so two of a segment are enough.
+                some = np.flatnonzero(is_hot)[sent.choose(h1[is_hot])[0]]
+                of, at = _windows_of(first[some], end[some], window)
+                begin = first[some][of] + at
+                w1, w2 = _hashes(found, begin, begin + window)
+                yield rows(cut, w1, begin, begin + window, w1, w2)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], window: int, gram: int, repeated: Bloom, hot: Bloom) -> Iterator[pa.RecordBatch]:
+    """The windows of the segments of hot anchors: (hashes of the segment, place in it, hashes of the window)."""
+    sent = _Sent()
+    for batch in batches:
+        for _, _, data, offsets in slices(batch["text"]):
+            found = words(data, offsets, EXACT)
+            first, end, anchor, h1, h2 = _wanted(found, window, gram, repeated)
+            some = np.flatnonzero(hot.has(anchor))
+            at, whole = sent.choose(h1[some])
+            some = some[np.array(at, np.int64)[np.array(whole, bool)]]
+            of, at = _windows_of(first[some], end[some], window)
+            begin = first[some][of] + at
+            columns = [h1[some][of], h2[some][of], at.astype(np.int32), *_hashes(found, begin, begin + window)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], _names(PARTS))
 
 
 def _places(batches: Iterator[pa.RecordBatch], window: int, gram: int, repeated: Bloom) -> Iterator[pa.RecordBatch]:
@@ -117,23 +175,6 @@ def _places(batches: Iterator[pa.RecordBatch], window: int, gram: int, repeated:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(PLACES))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The single windows of segments, with the segment they are of (p1, p2) and their place in it."""
-    for batch in batches:
-        for row, end_row, data, offsets in slices(batch["body"]):
-            found = words(data, offsets, EXACT)
-            many = np.diff(found.first) - window + 1
-            of = np.repeat(np.arange(len(many)), many)
-            at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-            first = found.first[of] + at
-            text, until = _spaced(found)
-            bodies = [text[i : j - 1].tobytes() for i, j in zip(until[first].tolist(), until[first + window].tolist())]
-            h1, h2 = (rolling(h, first, first + window).view(np.int64) for h in (found.hashes, mix(found.hashes, 1)))
-            p1, p2, copies = (batch[c].to_numpy()[row:end_row][of] for c in ("h1", "h2", "copies"))
-            columns = [p1, p2, at.astype(np.int32), h1, h2, pa.array(bodies, pa.binary()), copies]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(PARTS))
-
-
 def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(", ")]
 
@@ -227,19 +268,42 @@ def repeated_windows(index: FMIndex, symbols: np.ndarray, begins: np.ndarray, ma
     return marks
 
 
-def _search(rows: pd.DataFrame, window: int) -> pd.DataFrame:
-    """One shard: its segments are indexed, those with copies twice, and streamed through the index."""
-    column = pa.array(rows["body"], pa.large_binary())
-    data, offsets = next((d, o) for _, _, d, o in slices(column, 1 << 62))
+def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Shard after shard of sorted rows: equal segments become one, then all are streamed through their index."""
+    shard, held, last = None, [], None
+
+    def done() -> pa.RecordBatch:
+        h1, h2, copies, bodies = (list(x) for x in zip(*held))
+        marks = search_shard(pa.array(bodies, pa.large_binary()), np.array(copies) > 1, window)
+        some = marks != 0
+        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)[some]) for x in (h1, h2, marks)], _names(FOUND))
+
+    for batch in batches:
+        for number, h1, h2, body in zip(*(batch[c].to_pylist() for c in ("shard", "h1", "h2", "body"))):
+            if number != shard:
+                if held:
+                    yield done()
+                shard, held, last = number, [], None
+            if (h1, h2) == last:
+                held[-1][2] += 1
+            else:
+                held.append([h1, h2, 1, body])
+                last = h1, h2
+    if held:
+        yield done()
+
+
+def search_shard(bodies: pa.Array, twice: np.ndarray, window: int) -> np.ndarray:
+    """Bits of the repeated windows of every segment; segments that occur more than once are in the index twice."""
+    data, offsets = next((d, o) for _, _, d, o in slices(bodies, 1 << 62))
     found = words(data, offsets, EXACT)
     _, ids = np.unique(found.hashes, return_inverse=True)
     counts = np.diff(found.first)
     begins = found.first[:-1] + np.arange(len(counts))
     once = np.zeros(len(ids) + len(counts), np.int64)
     once[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids + 1
-    twice = np.repeat(rows["copies"].to_numpy() > 1, counts + 1)
-    marks = repeated_windows(FMIndex(np.concatenate([once, once[twice]])), once, begins, counts - window + 1, window)
-    return pd.DataFrame({"h1": rows["h1"], "h2": rows["h2"], "marks": marks})
+    again = np.repeat(twice, counts + 1)
+    return repeated_windows(FMIndex(np.concatenate([once, once[again]])), once, begins, counts - window + 1, window)
 
 
 def text_keys(text: Column) -> list[Column]:
@@ -247,19 +311,6 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]  # seeds are chained: the 1 stands first
 
 
-def _different(rows: DataFrame, *more: str) -> DataFrame:
-    firsts = [F.first(c).alias(c) for c in (*more, "body")]
-    return rows.groupBy("h1", "h2").agg(*firsts, F.sum("copies").alias("copies"))
-
-
-def _searched(different: DataFrame, key: str, window: int, shard_words: int) -> DataFrame:
-    """Every segment of `different` with the bits of its repeated windows, if it has any."""
-    n = different.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    shards = max(1, round(n / 6 / shard_words))
-    dealt = different.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(lambda rows: _search(rows, window), FOUND).where("marks <> 0")
-
-
 def repeats(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, anchor_segments: int = ANCHOR_SEGMENTS,
 ) -> DataFrame:
@@ -268,26 +319,22 @@ def repeats(
     """
     if not 0 < gram <= window < gram + 62:
         raise ValueError("A window has at most 62 grams")
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = texts.mapInArrow(lambda b: _grams(b, window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    repeated = Bloom.of(counted.where("n > 1"), "anchor")
-    stored = shared_path(spark, "segments")
-    different = _different(texts.mapInArrow(lambda b: _bodies(b, window, gram, repeated), SEGMENTS), "anchor")
-    different.write.option("compression", "zstd").parquet(stored)
-    different = spark.read.parquet(stored)
-    hot = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > anchor_segments).select("anchor")
-    cold = _searched(different.join(hot, "anchor", "left_anti"), "anchor", window, shard_words)
-    # Segments of anchors with too many of them: cut into windows, which are dealt by what they say.
-    cut = shared_path(spark, "windows")
-    different.join(hot, "anchor", "left_semi").mapInArrow(lambda b: _windows(b, window), PARTS).write.option("compression", "zstd").parquet(cut)
-    parts = spark.read.parquet(cut)
-    single = _searched(_different(parts), "h1", window, shard_words)
-    back = (
-        parts.select("p1", "p2", "at", "h1", "h2").join(single, ["h1", "h2"]).groupBy("p1", "p2")
-        .agg(F.expr("bit_or(shiftleft(1L, at))").alias("marks"))
-    )
-    found = cold.unionByName(back.select(F.col("p1").alias("h1"), F.col("p2").alias("h2"), "marks"))
+    several = cut_lineage(counted.where("n > 1"))
+    repeated, hot = Bloom.of(several, "anchor"), Bloom.of(several.where(F.col("n") > anchor_segments), "anchor")
+    total, cut = several.agg(F.sum("n"), F.max("n") > anchor_segments).first()
+    # A segment has half as many windows as a window has grams, on average.
+    shards = max(1, round((total or 0) * (window + (window - gram) // 2) / shard_words))
+    dealt = texts.mapInArrow(lambda b: _deal(b, window, gram, repeated, hot), DEALT)
+    placed = dealt.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "h1", "h2", "body")
+    sorted_ = placed.repartition("shard").sortWithinPartitions("shard", "h1", "h2", F.asc_nulls_last("body"))
+    found = sorted_.mapInArrow(lambda b: _search(b, window), FOUND)
+    if cut:
+        found = cut_lineage(found)
+        parts = texts.mapInArrow(lambda b: _parts(b, window, gram, repeated, hot), PARTS).distinct()
+        back = parts.join(found, ["h1", "h2"]).groupBy("p1", "p2").agg(F.expr("bit_or(shiftleft(1L, at))").alias("marks"))
+        found = found.unionByName(back.select(F.col("p1").alias("h1"), F.col("p2").alias("h2"), "marks"))
     keyed = texts.select("text", *text_keys(F.col("text")))
     places = keyed.mapInArrow(lambda b: _places(b, window, gram, repeated), PLACES).distinct()
     return places.join(found, ["h1", "h2"]).select("t1", "t2", "at", "marks")

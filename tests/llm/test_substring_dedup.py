@@ -38,7 +38,7 @@ def rows():
     return out + [(40, None), (41, ""), (42, " \n\t"), (43, " ".join(prose(300, 5))), (44, " ".join(x.upper() for x in prose(300, 5)))]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_words": 300}, {"anchor_segments": 1}, {"gram": 5}, {"gram": 35}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_words": 300}, {"anchor_segments": 1}, {"gram": 5}, {"gram": 35}, {"gram": 20, "anchor_segments": 3}])
 def test_against_all_windows(docs_of, sizes):
     assert result(docs_of(rows()), **sizes) == brute(rows(), sd.WINDOW)
 
