@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.common import best_rows
+from .sampling import least_hashes
 from .text import slices
 
 HIDDEN = 8
@@ -205,7 +206,7 @@ def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, most_bytes: int = SA
     rows = docs.select("lang", text.alias("text"), F.xxhash64(text).alias("hash"))
     rows = rows.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, most_bytes))
     # Only hashes are ranked, each once, so copies do not fill the sample; then the texts of the drawn ones are fetched.
-    drawn = best_rows(rows.select("lang", "hash").distinct(), ["lang"], [F.col("hash")], per_lang)
+    drawn = best_rows(least_hashes(rows, "lang", per_lang), ["lang"], [F.col("hash")], per_lang)
     found = rows.join(F.broadcast(drawn), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])
     sample = sorted((r["lang"], r["hash"], r["text"]) for r in found.collect())
     if not sample:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .sampling import least_hashes
 from .text import slices
 
 BUCKET_BITS = 17
@@ -136,7 +137,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL,
     """
     ids = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    drawn = [ids.where(F.col("quality") == q).orderBy(*order).limit(2 * per_label) for q in (0, 1)]
+    hashed = ids.withColumn("hash", F.xxhash64("doc_id"))
+    near = hashed.join(least_hashes(hashed, "quality", 2 * per_label), ["quality", "hash"], "left_semi")
+    drawn = [near.where(F.col("quality") == q).orderBy(*order).limit(2 * per_label).drop("hash") for q in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.char_length("text").between(1, most_chars))
     # The sample has 4 * per_label ids at most.
     both = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
