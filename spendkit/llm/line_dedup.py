@@ -1,18 +1,15 @@
 """Line dedup: lines that stand in several documents stay only in the document with the smallest id.
 
-Lines are exploded, their keys hashed to 128 bits, and documents counted per hash with map-side
-aggregates: a line that every document has is one row per map task. The lines to drop find their documents
+Lines are exploded once, their keys hashed to 128 bits and the hashes stored. Documents are counted per hash with
+map-side aggregates: a line that every document has is one row per map task. The lines to drop find their documents
 in a join that Spark may split where a line is hot, and come back to the text as positions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import NO_ID
+from .storage import NO_ID, shared_path
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,24 +42,6 @@ def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     return counted.where(F.col("docs") >= min_docs).drop("docs")
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, counts, dropped = [], [], []
-        for text, places in zip(batch["_line_text"].to_pylist(), batch["_line_drop"].to_pylist()):
-            lines = text.split("\n")
-            if places:
-                gone = set(places)
-                text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-            texts.append(text)
-            counts.append(len(lines))
-            dropped.append(len(places or ()))
-        keep = [batch[c] for c in fields]
-        yield pa.RecordBatch.from_arrays(
-            [*keep, pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())],
-            [*fields, "kept_text", "n_lines", "n_dropped"],
-        )
-
-
 def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
     """One row per row of `docs`: doc_id, kept_text, n_lines, n_dropped.
 
@@ -71,15 +50,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
     line. Rows that repeat an id count as one document; rows without an id together count as one, after all
     others. Other columns are not read. An empty table gives no rows.
     """
-    lines = exploded(docs, min_chars)
+    spark, stored = docs.sparkSession, shared_path(docs.sparkSession, "lines")
+    exploded(docs, min_chars).write.parquet(stored)
+    lines = spark.read.parquet(stored)
     gone = (
         lines.join(repeated_keys(lines, min_docs), ["h1", "h2"]).where("_id > first")
-        .groupBy("_id", "_text").agg(F.collect_set("at").alias("_line_drop"))
+        .groupBy("_id", "_text").agg(F.collect_set("at").alias("_drop"))
     )
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_line_text"),
-    ).withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_text": F.xxhash64("_line_text")})
-    told = rows.join(gone, ["_id", "_text"], "left").select("doc_id", "_line_text", "_line_drop")
-    return told.mapInArrow(
-        lambda batches: _reassemble(batches, ["doc_id"]), "doc_id long, kept_text string, n_lines long, n_dropped long",
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_whole"),
+    ).withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_text": F.xxhash64("_whole")})
+    told = rows.join(gone, ["_id", "_text"], "left").withColumn("_lines", F.split("_whole", "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
+    left = F.array_join(F.transform(kept, lambda at: F.get("_lines", at)), "\n")
+    return told.select(
+        "doc_id", F.when(F.col("_drop").isNull(), F.col("_whole")).otherwise(left).alias("kept_text"),
+        F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
