@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import budget, cleaning, coach, forecast, labeling, spend
 from ..schemas import RAW_TRANSACTIONS
 from ..session import cut_lineage, shared_folder
-from ..sources import changes, readers, writers
+from ..sources import bucketed, changes, readers, writers
 from .advice import _ALL_EVENTS, _events
 from .cleaning import _clean_inputs
 from .labels import Run
@@ -181,11 +181,21 @@ def change_log(v: Views):
     return budget.latest_limit_overrides(log.read(), ["seq"]).select("client_id", dbl("limit_usd"))
 
 
+@query("overlay_by_bucket")
+def overlay_by_bucket(v: Views):
+    """Labels laid over transactions, both stored by buckets of the transaction id."""
+    name, parts = f"t{uuid.uuid4().hex}", 8
+    tx = bucketed.write_bucketed(v.tx(place=False), f"{name}_tx", _folder(v, "tx-by-id"), "id", parts)
+    labels = bucketed.write_bucketed(v.labels(), f"{name}_labels", _folder(v, "labels-by-id"), "id", parts)
+    return labeling.overlay_labels(tx, labeling.latest_labels(labels, ["seq"])).select("id", "category", "category_source", "is_discretionary")
+
+
 _CLEAN = CHECKS["clean_transactions"]
 _AS_READ = _CLEAN.replace("SELECT p.id,", "SELECT CAST(CAST(TRY_CAST(p.client_id AS DOUBLE) AS BIGINT) AS VARCHAR) AS client_id, p.id,", 1).replace("p.date, p.client_id,", "p.date,", 1)
 CHECKS.update({
     "sink_enriched": f"SELECT * FROM ({_AS_READ}) WHERE client_id IS NOT NULL",
     "sink_client": f"SELECT * FROM ({_AS_READ}) WHERE client_id = '{CLIENT}'",
+    "overlay_by_bucket": CHECKS["category_overlay"],
     "sink_report": CHECKS["qa_report"],
     "focus_sample": f"SELECT id, client_id, transaction_dt, amount_usd FROM ({_CLEAN}) WHERE client_id = '{CLIENT}' ORDER BY transaction_dt, id LIMIT 5",
     "model_store": RIDGE_CHECKS["ridge_fit"],
