@@ -13,6 +13,7 @@ these are shuffled, counted over the corpus and brought back to their block, not
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -27,18 +29,20 @@ from .storage import shared_path
 
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
-#: Ends of A and B that one piece merges.
-PIECE_ENDS = 8192
+#: Ends of A and B that one piece merges; a text with more is divided among tasks.
+PIECE_ENDS = 1 << 16
 #: Bytes of text that one call of a tokenizer gets; a longer text is cut where no token of either can cross.
 CALL_BYTES = 1 << 18
 #: Links that are expanded at once, and distinct pairs of documents that a block holds.
-LINKS_AT_ONCE = 1 << 21
-BLOCK_PAIRS = 1 << 19
+LINKS_AT_ONCE = 1 << 20
+BLOCK_PAIRS = 1 << 18
+#: Bytes of ids that are merged at once.
+MERGE_BYTES = 1 << 18
 
 PIECES = "row long, doc_id long, piece int, pieces int, a binary, b binary, a_from long, b_from long"
 OPEN = "open_a binary, open_b binary, tail_a binary, tail_b binary, closes boolean"
-LINKED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups binary, pairs binary, times binary"
-MERGED = f"{LINKED}, piece int, pieces int, {OPEN}"
+LINKED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
+MERGED = f"{LINKED}, groups binary, piece int, pieces int, {OPEN}"
 BLOCKS = (
     "block long, pairs array<long>, held array<int>, doc_ids array<long>, groups_sha256 array<string>, "
     "counts binary, bounds binary, at binary, times binary"
@@ -76,19 +80,34 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: Fixed value: how byte-level vocabularies of this kind cut a text before they merge bytes.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Tokenizers:
-    """Both tokenizers, with the bytes of every token."""
+    """Both tokenizers, with the bytes of every token.
+
+    A is a byte-level BPE file whose ids follow the order of its merges, so that an id is the rank of its merge; its
+    special tokens are plain text.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self._a = Tokenizer.from_file(a_path)
-        self._a.encode_special_tokens = True
+        import tiktoken
+
+        with open(a_path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocabulary, cut = spec["model"]["vocab"], spec["pre_tokenizer"] or {}
+        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
+        plain = (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True)
+        if not plain or spec["normalizer"] or any(vocabulary[m] != 256 + k for k, m in enumerate(merges)):
+            raise ValueError(f"{a_path} is no byte-level BPE in the order of its merges")
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in w): k for w, k in vocabulary.items() if k < 256 + len(merges)}
+        words = {k: w for w, k in ranks.items()}
+        self._a = tiktoken.Encoding("A", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        letters, n = _byte_letters(), max(self._a.get_vocab().values()) + 1
-        words = {i: w for w, i in self._a.get_vocab().items()}
-        self.a = Strings([bytes(letters[c] for c in words[i]) if i in words and set(words[i]) <= letters.keys() else b"" for i in range(n)])
+        self.a = Strings([words[k] for k in range(len(words))])
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         byte = re.compile(r"<0x([0-9A-F]{2})>")
         self.b = Strings([bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces])
@@ -97,28 +116,20 @@ class Tokenizers:
 
     def parts(self, text: str) -> list[str]:
         """`text` in parts that were joined by a blank; tokens of the parts are the tokens of the text."""
-        out = []
-        while self.cuttable and len(text) > CALL_BYTES and (m := re.compile("(?<=[a-z]) (?=[a-z])").search(text, CALL_BYTES)):
-            out.append(text[: m.start()])
-            text = text[m.end() :]
-        return [*out, text]
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        parts = [self.parts(t) for t in texts]
-        flat = [p for ps in parts for p in ps]
-        out = []
-        for ids in (self._encode_a(flat), self._b.encode(flat, num_threads=1)):
-            each, found = iter(ids), []
-            for ps in parts:
-                arrays = [np.array(next(each), np.int64) for _ in ps]
-                found.append(arrays[0] if len(arrays) == 1 else np.concatenate(arrays))
-            out.append(found)
-        return out[0], out[1]
-
-    def _encode_a(self, texts: list[str]) -> Iterator[list[int]]:
-        for begin, end in _calls([len(t) for t in texts]):
-            for e in self._a.encode_batch_fast([" " + t for t in texts[begin:end]], add_special_tokens=False):
-                yield e.ids
+        out, begin = [], 0
+        while self.cuttable and len(text) - begin > CALL_BYTES and (m := BETWEEN.search(text, begin + CALL_BYTES)):
+            out.append(text[begin : m.start()])
+            begin = m.end()
+        return [*out, text[begin:]]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        parts = self.parts(text)
+        a = [np.array(self._a.encode_ordinary(" " + p), np.int64) for p in parts]
+        b = [np.array(self._b.encode(p), np.int64) for p in parts]
+        return np.concatenate(a), np.concatenate(b)
+
+
+BETWEEN = re.compile("(?<=[a-z]) (?=[a-z])")
 
 
 @lru_cache(maxsize=2)
@@ -157,6 +168,11 @@ def _int32(x: np.ndarray) -> bytes:
     return x.astype(np.int32).tobytes()
 
 
+def id_type(ids: int) -> type:
+    """The least type that holds the ids of a vocabulary."""
+    return np.uint16 if ids <= 1 << 16 else np.int32
+
+
 def _tokens(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, piece: int) -> Iterator[pa.RecordBatch]:
     """The pieces of every text; a text without tokens is one piece without any."""
     both = load(a_path, b_path)
@@ -164,18 +180,20 @@ def _tokens(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, piece:
     for batch in batches:
         rows, ids, texts = batch["row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist()
         for begin, end in _calls([len(t or "") for t in texts]):
-            some = [t or "" for t in texts[begin:end]]
             out = []
-            for row, doc, text, a, b in zip(rows[begin:end], ids[begin:end], some, *both.encode(some)):
+            for row, doc, text in zip(rows[begin:end], ids[begin:end], texts[begin:end]):
+                text = text or ""
+                a, b = both.encode(text)
                 raw = np.frombuffer(b" " + text.encode(), np.uint8)
                 (a_bytes, a_ends), (b_bytes, b_ends) = both.a.join(a), both.b.join(b)
                 if not text or not np.array_equal(a_bytes, raw) or not np.array_equal(b_bytes, raw):
                     out.append((row, doc, 0, 1, b"", b"", 0, 0))
                     continue
                 i, j = merge_path(a_ends, b_ends, piece)
+                a, b = a.astype(id_type(len(both.a.sizes))), b.astype(id_type(len(both.b.sizes)))
                 for k in range(len(i) - 1):
                     out.append((
-                        row, doc, k, len(i) - 1, _int32(a[i[k] : i[k + 1]]), _int32(b[j[k] : j[k + 1]]),
+                        row, doc, k, len(i) - 1, a[i[k] : i[k + 1]].tobytes(), b[j[k] : j[k + 1]].tobytes(),
                         int(a_ends[i[k] - 1]) if i[k] else 0, int(b_ends[j[k] - 1]) if j[k] else 0,
                     ))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], _names(PIECES))
@@ -186,14 +204,16 @@ def _decimals(n: int) -> Strings:
     return Strings([f"{i},".encode() for i in range(n)])
 
 
-def written(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+def written(
+    a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, groups: int, ids: int,
+) -> tuple[np.ndarray, np.ndarray]:
     """`a1,a2|b1;` for every group, as bytes, and where each group ends. Tokens stand in the order of their groups."""
     n_a, n_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
     until_a, until_b = np.cumsum(n_a), np.cumsum(n_b)
     stream = np.empty(len(a) + len(b), np.int64)
     stream[np.arange(len(a)) + (until_b - n_b)[group_a]] = a
     stream[np.arange(len(b)) + until_a[group_b]] = b
-    data, ends = _decimals(int(stream.max(initial=0)) + 1).join(stream)
+    data, ends = _decimals(ids).join(stream)
     closing = np.append(ends, 0)[until_a + until_b - 1]
     data[closing[n_a + n_b > 0] - 1] = ord(";")
     data[np.append(ends, 0)[until_b - n_b + until_a - 1][n_a > 0] - 1] = ord("|")
@@ -217,7 +237,9 @@ def links(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, owner:
         times.append((nx[:, None] * ny[None, :]).ravel())
         owners.append(np.full(len(x) * len(y), owner[g]))
     small = np.flatnonzero(~large)
-    for begin, end in _calls(sizes[small].tolist(), LINKS_AT_ONCE):
+    until = np.append(0, np.cumsum(sizes[small]))
+    edges = np.unique(np.append(np.searchsorted(until, np.arange(0, until[-1], LINKS_AT_ONCE)), len(small)))
+    for begin, end in _spans(edges):
         some = small[begin:end]
         n, ends = sizes[some], np.cumsum(sizes[some])
         place = np.arange(ends[-1]) - np.repeat(ends - n, n)
@@ -238,22 +260,22 @@ def _spans(firsts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(firsts[:-1].tolist(), firsts[1:].tolist()))
 
 
-def _merge_pieces(rows: pd.DataFrame, both: Tokenizers) -> pa.RecordBatch:
+def _merge_pieces(rows: pd.DataFrame, sizes_a: np.ndarray, sizes_b: np.ndarray) -> pa.RecordBatch:
     """The groups that close inside each piece, written and linked, and what is open before and after them."""
-    n, width = len(rows), len(both.b.sizes)
-    a_lists = [np.frombuffer(x, np.int32) for x in rows["a"]]
-    b_lists = [np.frombuffer(x, np.int32) for x in rows["b"]]
+    n, width = len(rows), len(sizes_b)
+    a_lists = [np.frombuffer(x, id_type(len(sizes_a))) for x in rows["a"]]
+    b_lists = [np.frombuffer(x, id_type(width)) for x in rows["b"]]
     a, b = (np.concatenate(x).astype(np.int64) for x in (a_lists, b_lists))
     many_a, many_b = np.array([len(x) for x in a_lists]), np.array([len(x) for x in b_lists])
     piece_a, piece_b = np.repeat(np.arange(n), many_a), np.repeat(np.arange(n), many_b)
     first_a, first_b = np.append(0, np.cumsum(many_a)), np.append(0, np.cumsum(many_b))
     from_a, from_b = rows["a_from"].to_numpy(np.int64), rows["b_from"].to_numpy(np.int64)
 
-    def ends(strings: Strings, ids: np.ndarray, first: np.ndarray, origin: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        sums = np.append(0, np.cumsum(strings.sizes[ids]))
+    def ends(sizes: np.ndarray, ids: np.ndarray, first: np.ndarray, origin: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        sums = np.append(0, np.cumsum(sizes[ids]))
         return sums[1:] - sums[first[:-1]][piece] + origin[piece]
 
-    ends_a, ends_b = ends(both.a, a, first_a, from_a, piece_a), ends(both.b, b, first_b, from_b, piece_b)
+    ends_a, ends_b = ends(sizes_a, a, first_a, from_a, piece_a), ends(sizes_b, b, first_b, from_b, piece_b)
     # Pieces are laid one behind the other, so that one sorted list holds the ends of all of them.
     last = np.maximum(from_a, from_b)
     np.maximum.at(last, piece_a, ends_a)
@@ -276,7 +298,7 @@ def _merge_pieces(rows: pd.DataFrame, both: Tokenizers) -> pa.RecordBatch:
     total = int(inner.sum())
     owner = group_piece[inner]
     x, y, gx, gy = a[in_a], b[in_b], number[group_a[in_a]], number[group_b[in_b]]
-    text, until = written(x, y, gx, gy, total)
+    text, until = written(x, y, gx, gy, total, max(len(sizes_a), width))
     per_piece = np.searchsorted(owner, np.arange(n + 1))
     text_at = np.append(0, until)[per_piece]
     n_a, n_b = np.bincount(gx, minlength=total), np.bincount(gy, minlength=total)
@@ -293,28 +315,34 @@ def _merge_pieces(rows: pd.DataFrame, both: Tokenizers) -> pa.RecordBatch:
     open_a, open_b = cut(a, opening[group_a], piece_a), cut(b, opening[group_b], piece_b)
     closes = np.zeros(n, bool)
     closes[group_piece[~false]] = True
+    texts = [text[i:j].tobytes() for i, j in _spans(text_at)]
+    alone = (rows["pieces"] == 1).tolist()
     arrays = [
         pa.array(rows["row"], pa.int64()), rows["doc_id"].array.__arrow_array__(), pa.array(many_a, pa.int64()), pa.array(many_b, pa.int64()),
-        pa.array(np.diff(per_piece), pa.int64()), pa.array(n_links, pa.int64()),
-        pa.array([text[i:j].tobytes() for i, j in _spans(text_at)], pa.binary()),
+        pa.array(np.diff(per_piece), pa.int64()), pa.array(n_links, pa.int64()), pa.array([digest(t) if x else None for t, x in zip(texts, alone)], pa.string()),
         pa.array([pairs[i:j].tobytes() for i, j in _spans(pair_at)], pa.binary()),
         pa.array([times[i:j].tobytes() for i, j in _spans(pair_at)], pa.binary()),
-        pa.array(rows["piece"], pa.int32()), pa.array(rows["pieces"], pa.int32()),
+        pa.array([None if x else t for t, x in zip(texts, alone)], pa.binary()), pa.array(rows["piece"], pa.int32()), pa.array(rows["pieces"], pa.int32()),
         pa.array(open_a, pa.binary()), pa.array(open_b, pa.binary()), pa.array(tail_a, pa.binary()), pa.array(tail_b, pa.binary()),
         pa.array(closes),
     ]
     return pa.RecordBatch.from_arrays(arrays, _names(MERGED))
 
 
-def _merge(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    both = load(a_path, b_path)
+def digest(groups: bytes) -> str:
+    """SHA-256 of the groups without the last `;`, empty if there are none."""
+    return hashlib.sha256(groups[:-1]).hexdigest() if groups else ""
+
+
+def _merge(batches: Iterator[pa.RecordBatch], sizes_a: np.ndarray, sizes_b: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-        for begin, end in _calls([len(x) + len(y) for x, y in zip(rows["a"], rows["b"])], 1 << 20):
-            yield _merge_pieces(rows.iloc[begin:end], both)
+        lengths = pc.add(pc.binary_length(batch["a"]), pc.binary_length(batch["b"])).to_pylist()
+        for begin, end in _calls(lengths, MERGE_BYTES):
+            rows = batch.slice(begin, end - begin).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+            yield _merge_pieces(rows, sizes_a, sizes_b)
 
 
-def _stitch(key: tuple, rows: pd.DataFrame, width: int) -> pd.DataFrame:
+def _stitch(key: tuple, rows: pd.DataFrame, width: int, ids: int) -> pd.DataFrame:
     """One text from its pieces: the open ends of neighbours are groups, between the groups of the pieces."""
     rows = rows.sort_values("piece", ignore_index=True)
     none, texts = np.zeros(0, np.int32), []
@@ -326,7 +354,7 @@ def _stitch(key: tuple, rows: pd.DataFrame, width: int) -> pd.DataFrame:
         if row.closes and row.piece:
             a, b = held["a"].astype(np.int64), held["b"].astype(np.int64)
             zero = np.zeros(1, np.int64)
-            texts.append(written(a, b, np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), 1)[0].tobytes())
+            texts.append(written(a, b, np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), 1, ids)[0].tobytes())
             _, p, t = links(a, b, zero + len(a), zero + len(b), zero, width)
             pairs.append(p)
             times.append(t)
@@ -342,7 +370,7 @@ def _stitch(key: tuple, rows: pd.DataFrame, width: int) -> pd.DataFrame:
     np.add.at(time, where, np.concatenate(times))
     return pd.DataFrame([{
         "row": key[0], "doc_id": rows["doc_id"].iloc[0], "n_a": rows["n_a"].sum(), "n_b": rows["n_b"].sum(), "n_groups": n_groups,
-        "n_links": n_links, "groups": b"".join(texts), "pairs": pair.tobytes(), "times": time.tobytes(),
+        "n_links": n_links, "groups_sha256": digest(b"".join(texts)), "pairs": pair.tobytes(), "times": time.tobytes(),
     }])
 
 
@@ -356,16 +384,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
     def done() -> pa.RecordBatch:
         lists = [np.frombuffer(r["pairs"], np.int64) for r in rows]
         pairs, at = np.unique(np.concatenate(lists), return_inverse=True)
-        hashes = [hashlib.sha256(r["groups"][:-1]).hexdigest() if r["n_a"] else "" for r in rows]
         counts = np.array([[r["n_a"], r["n_b"], r["n_groups"], r["n_links"]] for r in rows], np.int64)
         values = [
-            (part << 32) + number, pairs, np.bincount(at, minlength=len(pairs)).astype(np.int32), [r["doc_id"] for r in rows], hashes,
+            (part << 32) + number, pairs, np.bincount(at, minlength=len(pairs)).astype(np.int32), [r["doc_id"] for r in rows], [r["groups_sha256"] for r in rows],
             counts.tobytes(), np.cumsum([0, *map(len, lists)]).astype(np.int64).tobytes(), _int32(at), b"".join(r["times"] for r in rows),
         ]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for k in range(0, len(batch), 256) for r in batch.slice(k, 256).to_pylist()):
             rows.append(row)
             held += len(row["pairs"]) // 8 + 1
             if held >= most:
@@ -391,30 +418,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, _names(RESULT))
 
 
-def merged_pieces(docs: DataFrame, a_path: str, b_path: str, piece_ends: int = PIECE_ENDS) -> DataFrame:
-    """Every piece of every text (MERGED); pieces of a text that has several go to tasks of their own."""
-    spark = docs.sparkSession
+def aligned(docs: DataFrame, a_path: str, b_path: str, piece_ends: int = PIECE_ENDS) -> DataFrame:
+    """One row per row of `docs` (LINKED): `pairs` are its distinct pairs as numbers, `times` how often each is linked.
+
+    Texts of one piece are merged where they were read; pieces of longer ones go to tasks of their own and are stitched.
+    """
+    spark, both = docs.sparkSession, load(a_path, b_path)
+    sizes_a, sizes_b = both.a.sizes.astype(np.int32), both.b.sizes.astype(np.int32)
+    width, ids = len(sizes_b), max(len(sizes_a), len(sizes_b))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
     )
     stored = shared_path(spark, "pieces")
     rows.mapInArrow(lambda batches: _tokens(batches, a_path, b_path, piece_ends), PIECES).write.option("compression", "zstd").parquet(stored)
     pieces = spark.read.parquet(stored)
-    long = pieces.where("pieces > 1")
-    spread = pieces.where("pieces = 1").unionByName(long.repartition("row", "piece"))
-    return spread.mapInArrow(lambda batches: _merge(batches, a_path, b_path), MERGED)
-
-
-def aligned(docs: DataFrame, a_path: str, b_path: str, piece_ends: int = PIECE_ENDS) -> DataFrame:
-    """One row per row of `docs` (LINKED): `groups` is the text `a1,a2|b1;...;`, `pairs` the distinct pairs as numbers."""
-    merged, width = merged_pieces(docs, a_path, b_path, piece_ends), len(load(a_path, b_path).b.sizes)
+    merge = lambda some: some.mapInArrow(lambda batches: _merge(batches, sizes_a, sizes_b), MERGED)
+    names = _names(LINKED)
+    alone = merge(pieces.where("pieces = 1")).select(*names)
     # Ids go through pandas as text, which keeps nulls and every digit.
-    stitched = (
-        merged.where("pieces > 1").withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("row")
-        .applyInPandas(lambda key, rows: _stitch(key, rows, width), LINKED.replace("doc_id long", "doc_id string"))
+    parts = merge(pieces.where("pieces > 1").repartition("row", "piece")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    stitched = parts.groupBy("row").applyInPandas(
+        lambda key, some: _stitch(key, some, width, ids), LINKED.replace("doc_id long", "doc_id string")
     )
-    names = _names(LINKED)
-    return merged.where("pieces = 1").select(*names).unionByName(stitched.withColumn("doc_id", F.col("doc_id").cast("long")).select(*names))
+    return alone.unionByName(stitched.withColumn("doc_id", F.col("doc_id").cast("long")).select(*names))
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, piece_ends: int = PIECE_ENDS) -> DataFrame:

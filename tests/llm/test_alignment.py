@@ -31,12 +31,15 @@ def groups_of(plain, text):
     whole = (" " + text).encode()
     if not text or b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
         return None
-    out, ends_a, ends_b = [], np.cumsum([len(t) for t in bytes_a]).tolist(), np.cumsum([len(t) for t in bytes_b]).tolist()
-    begin = (0, 0)
-    for end in sorted(set(ends_a) & set(ends_b)):
-        until = ends_a.index(end) + 1, ends_b.index(end) + 1
-        out.append((x[begin[0] : until[0]], y[begin[1] : until[1]]))
-        begin = until
+    out, begin, i, j, p, q = [], (0, 0), 0, 0, 0, 0
+    while i < len(x) or j < len(y):
+        if p <= q and i < len(x):
+            p, i = p + len(bytes_a[i]), i + 1
+        else:
+            q, j = q + len(bytes_b[j]), j + 1
+        if p == q:
+            out.append((x[begin[0] : i], y[begin[1] : j]))
+            begin = i, j
     return out
 
 
@@ -84,13 +87,33 @@ def test_long_texts_are_tokenized_in_parts(docs_of, plain, monkeypatch):
     assert both.cuttable
     monkeypatch.setattr(al, "CALL_BYTES", 50)
     assert len(both.parts(long)) > 100
-    a, b = both.encode([long, "short"])
-    assert a[0].tolist() == plain[0].encode(" " + long, add_special_tokens=False).ids and b[0].tolist() == plain[1].encode(long)
-    assert a[1].tolist() == plain[0].encode(" short", add_special_tokens=False).ids
+    for text in (long, "short", "x" * 200, " " * 200):
+        a, b = both.encode(text)
+        assert a.tolist() == plain[0].encode(" " + text, add_special_tokens=False).ids and b.tolist() == plain[1].encode(text)
+
+
+def test_tokens_are_those_of_the_file(plain):
+    """Each character in several surroundings, against the library that the file is written for."""
+    both = al.load(A, B)
+    chars = [chr(c) for c in [*range(0, 0x3000), *range(0x3000, 0xD800, 97), *range(0xE000, 0x110000, 9777)]]
+    texts = [f" a{c}b 1{c}2 .{c}! {c}{c} {c}  x{c} {c}'s\n{c}\t{c}'{c}" for c in chars]
+    texts += ["a" * 20_000, " " * 20_000, "\n " * 9_000, "it's we'LL I'd'd", "<|endoftext|>"]
+    for text, want in zip(texts, plain[0].encode_batch([" " + t for t in texts], add_special_tokens=False)):
+        assert both._a.encode_ordinary(" " + text) == want.ids
+
+
+def test_other_kinds_of_files_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(A, encoding="utf-8").read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "a.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="byte-level BPE"):
+        al.Tokenizers(str(tmp_path / "a.json"), B)
 
 
 def test_a_very_long_text(docs_of, plain):
-    rows = [(1, "The quick brown fox jumps over the lazy dog; naïve façade 漢字. " * 6000), (2, "The quick brown fox")]
+    rows = [(1, "The quick brown fox jumps over the lazy dog; naïve façade 漢字. " * 3000), (2, "The quick brown fox")]
     assert result(docs_of(rows)) == brute(plain, rows)
 
 
