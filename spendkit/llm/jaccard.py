@@ -163,23 +163,30 @@ def frequency_levels(described: DataFrame) -> np.ndarray:
     total = np.zeros(COUNTERS, np.int64)
     for row in sums.repartition("chunk").mapInArrow(_add, "chunk int, counts binary").collect():
         total[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    return np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
+    return _level(total)
 
 
 PREFIXES = "gram long, key long, n int, at int"
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], levels: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The first columns of every row in the common order; a class comes once from every task that met it."""
+def _level(counts: np.ndarray | int) -> np.ndarray:
+    return np.minimum(8 * np.log2(np.add(counts, 1)), 255).astype(np.uint8)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], levels: np.ndarray, least: int, frequent: bool) -> Iterator[pa.RecordBatch]:
+    """The first columns of every row in the common order, those from the level `least` on or those below.
+
+    A class comes once from every task that met it.
+    """
     for batch in batches:
         out: list[list[np.ndarray]] = [[], [], [], []]
         for key, raw in zip(batch["key"].to_pylist(), batch["shingles"].to_pylist()):
             shingles = np.frombuffer(raw, np.uint64)
             n = len(shingles)
             rank = (levels[shingles & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8))
-            p = prefix_length(n)
-            first = shingles[np.argsort(rank)[:p]].view(np.int64)
-            for column, values in zip(out, (first, np.full(p, key, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32))):
+            first = shingles[np.argsort(rank)[: prefix_length(n)]]
+            at = np.flatnonzero((levels[first & np.uint64(COUNTERS - 1)] >= least) == frequent).astype(np.int32)
+            for column, values in zip(out, (first[at].view(np.int64), np.full(len(at), key, np.int64), np.full(len(at), n, np.int32), at)):
                 column.append(values)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["gram", "key", "n", "at"])
@@ -445,13 +452,17 @@ class Product:
             pairs = self.small(both.mapInArrow(lambda batches, block=block: _accumulate(batches, block), ACCUMULATED))
         return pairs.select("a", "b").distinct()
 
-    def multiply(self, rows: DataFrame, seed: int) -> DataFrame:
-        """Pairs of rows that share a column, and the rows of hot columns again (b is null)."""
+    def multiply(self, rows: DataFrame, seed: int, cold: DataFrame | None = None) -> DataFrame:
+        """Pairs of rows that share a column, and the rows of hot columns again (b is null).
+
+        `cold` are rows of columns that are surely not very hot, which are not counted.
+        """
         order = F.xxhash64("key", F.lit(seed))
         counted = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
         very_hot = self.small(counted.where(F.col("c") > SORTED).select("gram"))
-        dealt = rows.join(very_hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", order)
-        sorted_ = dealt.mapInArrow(_multiply, MULTIPLIED)
+        rest = rows.join(very_hot, "gram", "left_anti")
+        rest = rest if cold is None else rest.unionByName(cold)
+        sorted_ = rest.repartition("gram").sortWithinPartitions("gram", order).mapInArrow(_multiply, MULTIPLIED)
         # Pivots are chosen in every task before they are shuffled; Spark splits the join where a column is hot.
         hot = rows.join(very_hot, "gram", "left_semi")
         pivots = self.small(best_rows(hot.distinct(), ["gram"], [order, F.col("key")], STARS))
@@ -490,11 +501,13 @@ class Product:
 
     def roots(self) -> DataFrame:
         """(node, root) of the classes that links join."""
-        levels = self.levels
-        prefixes = self.stored.select("key", "shingles").mapInArrow(lambda batches: _prefixes(batches, levels), PREFIXES)
-        kept = shared_path(self.spark, "prefixes")
-        prefixes.write.parquet(kept)
-        first = cut_lineage(self.multiply(self.spark.read.schema(PREFIXES).parquet(kept), 0))
+        # The counters tell which columns may be very hot: a count is at least that of each column in it.
+        levels, least = self.levels, int(_level(SORTED))
+
+        def prefixes(frequent: bool) -> DataFrame:
+            return self.stored.select("key", "shingles").mapInArrow(lambda batches: _prefixes(batches, levels, least, frequent), PREFIXES)
+
+        first = cut_lineage(self.multiply(cut_lineage(prefixes(True)), 0, prefixes(False)))
         hot = first.where("b is null").select("gram", "key", "n", "at")
         asked = self.small(_asked(first).distinct())
         links, before = self.verified(asked), None
