@@ -26,7 +26,7 @@ OTHER_CATEGORY = "Other/Uncategorized"
 UNKNOWN_MCC = "UNKNOWN_MCC"
 
 # --- Fixed values: categories that count against the monthly discretionary limit ---
-DISCRETIONARY_CATEGORIES = ("Dining", "Entertainment", "Shopping", "Subscriptions", "Travel")
+DISCRETIONARY_CATEGORIES = ("Dining", "Entertainment", "Shopping", "Travel", "Subscriptions")
 
 # --- Fixed values: categories a label may carry ---
 TAXONOMY = (

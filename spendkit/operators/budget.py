@@ -82,5 +82,5 @@ def budget_utilization(
         LIMIT,
         spent.alias("mtd_discretionary_spend_usd"),
         ratio(spent, F.col(LIMIT)).alias("utilization_pct"),
-        F.array(*[F.lit(c) for c in DISCRETIONARY_CATEGORIES]).alias("discretionary_categories"),
+        F.array(*[F.lit(c) for c in sorted(DISCRETIONARY_CATEGORIES)]).alias("discretionary_categories"),
     )

@@ -104,7 +104,7 @@ def budget_days(days: DataFrame, limits: DataFrame, first: date | str, last: dat
     return told.select(
         "client_id", F.col("day").alias("as_of_date"), month.alias("month_start"), LIMIT, mtd.alias(MTD),
         ratio(mtd, F.col(LIMIT)).alias("utilization_pct"),
-        F.array(*[F.lit(c) for c in DISCRETIONARY_CATEGORIES]).alias("discretionary_categories"),
+        F.array(*[F.lit(c) for c in sorted(DISCRETIONARY_CATEGORIES)]).alias("discretionary_categories"),
     )
 
 
