@@ -159,6 +159,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """One row per row of `docs`: doc_id, score (0 to 1, higher: label 1 likelier), predicted (1 from `threshold` on).
 
     Only the text is read, as a whole; a null or empty text has the score of the bias alone. Repeated rows are scored each.
+    An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(lambda batches: _score(batches, model), "doc_id long, score double")

@@ -72,3 +72,17 @@ def test_joint_lengths_cost_less_than_the_largest_alone():
 def test_empty_table(docs_of):
     assert packing.pack(docs_of([])).collect() == []
     assert packing.pack(docs_of([(1, None)])).count() == 1
+
+
+def test_a_very_long_text(docs_of):
+    rows = [(1, "é" * 1_000_000), (2, "x"), (3, "y" * 300_000)]
+    got = packing.pack(docs_of(rows)).collect()
+    for i, text in rows:
+        own = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == i)
+        assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) == len(text.encode())
+    used = {}
+    for r in got:
+        used.setdefault((r["bin_id"], r["capacity"]), []).append((r["bin_offset"], r["length"]))
+    for (_, capacity), parts in used.items():
+        parts.sort()
+        assert all(a + n <= b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= capacity
