@@ -172,13 +172,14 @@ def focus_sample(v: Views):
     WHERE lim IS NOT NULL""")
 def change_log(v: Views):
     """Limit changes appended in three parts, compacted after the first and the second: the same overrides."""
-    log, rows = changes.ChangeLog(v.spark, _folder(v, "limits"), "client_id long, seq long, limit_usd string", ["client_id"], ["seq"]), v.limit_changes()
-    usable = rows.where("limit_usd is null or limit_usd <> 'n/a'").withColumn("seq", F.col("seq").cast("long"))
+    day = F.make_dt_interval(F.col("seq"), F.lit(0), F.lit(0), F.lit(0))
+    rows = v.limit_changes().withColumn("updated_at", F.lit("2000-01-01").cast("timestamp_ntz") + day)
+    log = changes.limit_log(v.spark, _folder(v, "limits"))
     for part in range(3):
-        log.append(usable.where(F.col("seq") % 3 == part))
+        log.append(rows.where(F.col("seq") % 3 == part).drop("seq"))
         if part < 2:
             log.compact()
-    return budget.latest_limit_overrides(log.read(), ["seq"]).select("client_id", dbl("limit_usd"))
+    return budget.latest_limit_overrides(log.read(), ["updated_at"]).select("client_id", dbl("limit_usd"))
 
 
 @query("overlay_by_bucket")

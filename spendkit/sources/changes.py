@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.common import best_rows
+from ..schemas import FEEDBACK, LIMIT_CHANGES
 from .writers import assert_no_pii, write_json
 
 _COVERED = "file string"
@@ -32,6 +33,8 @@ class ChangeLog:
     schema: str | T.StructType
     keys: list[str]
     order_by: list[str]
+    #: SQL condition on entries; others are skipped as if they had not been appended.
+    usable: str = "true"
 
     def append(self, rows: DataFrame) -> None:
         write_json(rows, f"{self.path}/log", mode="append")
@@ -54,20 +57,26 @@ class ChangeLog:
         found = self._table(f"{self.path}/log", listing, "binaryFile")
         return found.select(F.col("path").alias("file")) if found is not None else None
 
+    def _covered(self, generation: int) -> DataFrame:
+        return self.spark.read.schema(_COVERED).parquet(f"{self.path}/covered/generation={generation}")
+
     def tail(self, generation: int | None = None) -> list[str]:
         """The log files that the valid generation does not cover."""
         files, generation = self._files(), self.generation() if generation is None else generation
         if files is None:
             return []
         if generation:
-            files = files.join(self.spark.read.schema(_COVERED).parquet(f"{self.path}/covered/generation={generation}"), "file", "left_anti")
+            files = files.join(self._covered(generation), "file", "left_anti")
         return sorted(r["file"] for r in files.collect())
 
+    def _entries(self, files: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("mode", "PERMISSIVE").json(files).where(self.usable)
+
     def read(self) -> DataFrame:
         """Snapshot and tail: at least the last entry of every key."""
         generation = self.generation()
         tail = self.tail(generation)
-        rows = self.spark.read.schema(self.schema).option("mode", "PERMISSIVE").json(tail) if tail else self.spark.createDataFrame([], self.schema)
+        rows = self._entries(tail) if tail else self.spark.createDataFrame([], self.schema)
         if generation:
             rows = rows.unionByName(self.spark.read.schema(rows.schema).parquet(f"{self.path}/snapshot/generation={generation}"))
         return rows
@@ -86,11 +95,11 @@ class ChangeLog:
 
     def _snapshot(self, generation: int, tail: list[str]) -> DataFrame:
         """Step one: the last entries of the old snapshot and the tail. Written again from the start after a failure."""
-        rows = self.spark.read.schema(self.schema).option("mode", "PERMISSIVE").json(tail)
+        rows = self._entries(tail)
         files = self.spark.createDataFrame([(f,) for f in tail], _COVERED)
         if generation:
             rows = rows.unionByName(self.spark.read.schema(rows.schema).parquet(f"{self.path}/snapshot/generation={generation}"))
-            files = files.unionByName(self.spark.read.schema(_COVERED).parquet(f"{self.path}/covered/generation={generation}"))
+            files = files.unionByName(self._covered(generation).join(self._files(), "file", "left_semi"))  # not those that are gone
         last = best_rows(rows, self.keys, [F.col(c).desc() for c in self.order_by])
         assert_no_pii(last).write.mode("overwrite").parquet(f"{self.path}/snapshot/generation={generation + 1}")
         return files
@@ -99,3 +108,30 @@ class ChangeLog:
         """Step two: one file, which appears as a whole when Spark commits the write."""
         files.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/covered/generation={generation}")
         return generation
+
+    def vacuum(self) -> None:
+        """Remove what the valid generation makes superfluous: the log files it covers and the generations before it.
+
+        Readers that began before the last compaction may still need these; run it when there are none.
+        """
+        generation = self.generation()
+        if not generation:
+            return
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        configuration = self.spark.sparkContext._jsc.hadoopConfiguration()
+        gone = [r["file"] for r in self._covered(generation).collect()]
+        gone += [f"{self.path}/{part}/generation={g}" for g in range(1, generation) for part in ("covered", "snapshot")]
+        for name in gone:
+            path = hadoop.Path(name)
+            path.getFileSystem(configuration).delete(path, True)
+
+
+def limit_log(spark: SparkSession, path: str) -> ChangeLog:
+    """Limit overrides; a null limit clears one, text that is no number is skipped."""
+    number = "client_id is not null and (limit_usd is null or try_cast(limit_usd as decimal(18,2)) is not null)"
+    return ChangeLog(spark, path, LIMIT_CHANGES, ["client_id"], ["updated_at"], number)
+
+
+def feedback_log(spark: SparkSession, path: str) -> ChangeLog:
+    """Feedback per client and recommendation."""
+    return ChangeLog(spark, path, FEEDBACK, ["client_id", "rec_id"], ["updated_at"], "rec_id is not null")

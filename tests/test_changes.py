@@ -1,6 +1,9 @@
+from datetime import datetime
+
 import pytest
 
-from spendkit.sources.changes import ChangeLog
+from spendkit.operators import budget
+from spendkit.sources.changes import ChangeLog, feedback_log, limit_log
 
 SCHEMA = "client_id long, limit_usd string, seq long"
 
@@ -81,3 +84,35 @@ def test_appends_during_a_compaction_stay(log, add, monkeypatch):
     monkeypatch.setattr(ChangeLog, "_snapshot", slow)
     assert log.compact() == 1
     assert now(log) == {1: "11"} and len(log.tail()) == 1
+
+
+def test_vacuum_leaves_what_is_needed(log, add, tmp_path):
+    log.vacuum()
+    for k in range(3):
+        add((1, str(k), k), (k + 2, "x", 0))
+        log.compact()
+    add((9, "tail", 1))
+    want = now(log)
+    log.vacuum()
+    assert now(log) == want and log.generation() == 3 and len(log.tail()) == 1
+    assert len(list((tmp_path / "limits" / "log").glob("*.json"))) == 1
+    assert [p.name for p in (tmp_path / "limits" / "snapshot").iterdir()] == ["generation=3"]
+    add((1, "new", 50))
+    assert log.compact() == 4 and now(log) == {**want, 1: "new"} and log.tail() == []
+    log.vacuum()
+    assert now(log) == {**want, 1: "new"}
+
+
+def test_logs_of_limits_and_feedback(spark, tmp_path):
+    limits, at = limit_log(spark, str(tmp_path / "l")), lambda d: datetime(2010, 1, d)
+    schema = "client_id long, limit_usd string, updated_at timestamp_ntz"
+    limits.append(spark.createDataFrame([(1, "100", at(1)), (2, "200", at(1)), (3, "5", at(1))], schema))
+    limits.append(spark.createDataFrame([(1, "abc", at(2)), (2, None, at(2)), (None, "7", at(2))], schema))
+    for _ in range(2):
+        got = {r.client_id: float(r.limit_usd) for r in budget.latest_limit_overrides(limits.read(), ["updated_at"]).collect()}
+        assert got == {1: 100.0, 3: 5.0}
+        limits.compact()
+    feedback = feedback_log(spark, str(tmp_path / "f"))
+    feedback.append(spark.createDataFrame([(1, "a", "dismissed", at(1)), (1, "a", "accepted", at(2)), (1, None, "x", at(3))],
+                                          "client_id long, rec_id string, status string, updated_at timestamp_ntz"))
+    assert feedback.compact() == 1 and [(r.rec_id, r.status) for r in feedback.read().collect()] == [("a", "accepted")]
