@@ -166,6 +166,13 @@ def frequency_levels(described: DataFrame) -> np.ndarray:
     return _level(total)
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of some rows each, so that few sets are in memory as numbers at once."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 PREFIXES = "gram long, key long, n int, at int"
 
 
@@ -178,7 +185,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], levels: np.ndarray, least: int,
 
     A class comes once from every task that met it.
     """
-    for batch in batches:
+    for batch in _few(batches):
         out: list[list[np.ndarray]] = [[], [], [], []]
         for key, raw in zip(batch["key"].to_pylist(), batch["shingles"].to_pylist()):
             shingles = np.frombuffer(raw, np.uint64)
@@ -349,8 +356,10 @@ MULTIPLIED = "key long, b long, gram long, n int, at int"
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted: Bloom, low: int, high: int) -> Iterator[pa.RecordBatch]:
     """The columns in parts low to high of the classes that stand in a pair, from the row that speaks for the class."""
-    for batch in batches:
+    for batch in _few(batches):
         kept = batch.filter(pa.array(wanted.has(speaker(batch["key"].to_numpy(), batch["task"].to_numpy()))))
+        if not len(kept):
+            continue
         values = []
         for raw in kept["shingles"].to_pylist():
             shingles = np.frombuffer(raw, np.uint64)
@@ -392,7 +401,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _accumulate(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """The columns of one block that the rows of a pair share are added to its sum; what cannot reach its need goes."""
-    for batch in batches:
+    for batch in _few(batches):
         both = np.zeros(len(batch), np.int32)
         for k, (left, right) in enumerate(zip(batch["left"].to_pylist(), batch["right"].to_pylist())):
             x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
