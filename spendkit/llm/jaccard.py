@@ -27,12 +27,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.common import best_rows
 from .components import components
@@ -55,6 +56,8 @@ SORTED = 1 << 14
 #: Rows of a side of the square blocks for what stars leave, and hot columns by which rows tell who puts a pair out.
 BLOCK = 256
 NAMED = 8
+#: Rows that go to Python at once.
+BATCH_ROWS = 1024
 #: Documents per part of the tables of pairs, links and classes, which hold a few numbers for some of the documents.
 DOCS_PER_PART = 8_192
 
@@ -545,10 +548,23 @@ def _asked(multiplied: DataFrame) -> DataFrame:
     return multiplied.where("b is not null").select(F.col("key").alias("a"), "b")
 
 
+@contextmanager
+def _narrow_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows that hold whole sets go to Python a few at a time; what runs inside is complete when this ends."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: id, text_hash, key, n, root (the class that speaks for its component) and component_id."""
-    product = Product(docs)
-    roots = product.roots()
+    with _narrow_batches(docs.sparkSession):
+        product = Product(docs)
+        roots = product.roots()
     rooted = product.classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     told = rooted.join(least, "root").select("key", "root", "component_id")
