@@ -6,20 +6,29 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from ..constants import PROFILE_FIELDS
 from ..operators import labeling
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .registry import big, dbl, query
 from .views import Views
 
+#: What labelled transactions show of a transaction besides its profile.
+TX_COLUMNS = ("id", "client_id", "transaction_dt")
+
 
 class Run:
     """One labelling run over the views, step by step; a step does nothing until a query asks for it.
 
-    Profiles are stored once, as a real run does; the steps after them read that and not the transactions.
+    Transactions and profiles are stored once, as a real run does: the tables are joined once for all steps, and those
+    after the profiles read them and not the transactions. Besides what profiles need, the columns `more` are kept.
     """
 
-    def __init__(self, v: Views):
-        self.v, self.tx = v, v.tx()
+    def __init__(self, v: Views, *more: str):
+        self.v, self.more = v, more
+
+    @cached_property
+    def tx(self):
+        return stored(self.v.tx().select(*PROFILE_FIELDS, "amount_usd", *self.more), "transactions")
 
     @cached_property
     def profiles(self):
@@ -110,7 +119,7 @@ def label_cache_next(v: Views):
 @query("transaction_labels", """
     SELECT id, client_id, category, source, confidence, category_llm, model, profile_id FROM labelled""")
 def transaction_labels(v: Views):
-    return Run(v).labelled().select("id", "client_id", "category", "source", "confidence", "category_llm", "model", "profile_id")
+    return Run(v, *TX_COLUMNS).labelled().select("id", "client_id", "category", "source", "confidence", "category_llm", "model", "profile_id")
 
 
 @query("category_overlay", "SELECT id, category, category_source, is_discretionary FROM otx")
@@ -123,7 +132,8 @@ def category_overlay(v: Views):
     SELECT id, category, source AS category_source,
            category IN ('Dining', 'Entertainment', 'Shopping', 'Travel', 'Subscriptions') AS is_discretionary FROM labelled""")
 def category_overlay_by_profile(v: Views):
-    return labeling.overlay_profile_labels(v.tx(), Run(v).resolved).select("id", "category", "category_source", "is_discretionary")
+    run = Run(v, "id")
+    return labeling.overlay_profile_labels(run.tx, run.resolved).select("id", "category", "category_source", "is_discretionary")
 
 
 @query("categorization_report", """

@@ -78,3 +78,9 @@ def test_scores_read_the_last_month_only(spark):
     fit = forecast.fit_month_end_model(forecast.training_samples(daily, limits), "2010-02-01")
     row = forecast.score_daily(daily, limits, "2010-03-20", fit).first()
     assert float(row["mtd_discretionary_spend_usd"]) == 6.0 and row["status"] == "scored"
+
+
+def test_label_run_joins_the_tables_once(spark):
+    """Labelled transactions come from the stored ones that the profiles were counted from, not from another join."""
+    for name in ("transaction_labels", "category_overlay_by_profile"):
+        assert "l_orderkey" not in plan(QUERIES[name](spark, SF)), name
