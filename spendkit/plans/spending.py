@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..constants import FEATURES, RIDGE_ALPHA, TARGET
 from ..operators import budget, forecast, labeling, rollup, spend
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
+from ..sources import bucketed
 from .registry import big, dbl, query
 from .views import AS_OF, EVENTS_AS_OF, STORED_VIEWS, VIEW_SQL, Views, with_views
 
@@ -397,10 +398,11 @@ def runway_each_day(v: Views):
            CAST(sum(spend) AS DOUBLE) AS spend_usd, count(*) AS transactions
     FROM ctx GROUP BY 1, 2, 3, 4""")
 def rollup_of_loads(v: Views):
-    """The rollups of three loads, merged on read."""
+    """The rollups of three loads, each stored, merged on read: a task holds groups of one load, or a share of theirs."""
     tx = v.categorised()
-    loads = [rollup.daily_partials(tx.where(F.coalesce(F.col("l_returnflag"), F.lit("")) == flag)) for flag in ("A", "N", "R")]
-    whole = rollup.merged(loads[0].unionByName(loads[1]).unionByName(loads[2]))
+    loads = [stored(rollup.daily_partials(tx.where(F.coalesce(F.col("l_returnflag"), F.lit("")) == flag)), f"load-{flag}") for flag in ("A", "N", "R")]
+    parts = bucketed.buckets_for(sum(load.count() for load in loads), least=8)
+    whole = rollup.merged(loads[0].unionByName(loads[1]).unionByName(loads[2]).repartition(parts, *rollup.DAY_KEYS))
     return whole.select("client_id", "day", "at_midnight", "category", dbl("spend_usd"), "transactions")
 
 

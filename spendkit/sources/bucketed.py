@@ -8,6 +8,13 @@ from .writers import assert_no_pii
 
 #: Tables that are joined have the same number of buckets.
 BUCKETS = 64
+#: Rows of a bucket that a task sorts in little memory.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(rows: int, least: int = BUCKETS) -> int:
+    """A number of buckets that grows with the rows, in powers of two."""
+    return max(least, 1 << max(0, (rows - 1) // BUCKET_ROWS).bit_length())
 
 
 def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int = BUCKETS) -> DataFrame:
