@@ -421,10 +421,12 @@ def runway(v: Views):
 
 @query("runway_at_last_date")
 def runway_at_last_date(v: Views):
-    """Each client as of the day of its last transaction."""
-    tx = v.categorised()
-    model = forecast.fit_month_end_model(cut_lineage(_samples(v)))
-    return _runway_columns(forecast.score_clients(tx, v.limits(), spend.default_as_of(tx), model))
+    """Each client as of the day of its last transaction; the days, the fit and the scores read the joined rows as stored."""
+    used = ("client_id", "transaction_dt", "amount_usd", "mcc_code", "mcc_description", "category")
+    tx = stored(v.categorised().select(*used), "transactions")
+    samples = forecast.training_samples(forecast.daily_discretionary(tx), v.limits())
+    model = forecast.fit_month_end_model(stored(samples, "samples"))
+    return _runway_columns(forecast.score_clients(tx, v.limits(), cut_lineage(spend.default_as_of(tx)), model))
 
 
 @query("forecast_compare", """

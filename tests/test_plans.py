@@ -84,3 +84,17 @@ def test_label_run_joins_the_tables_once(spark):
     """Labelled transactions come from the stored ones that the profiles were counted from, not from another join."""
     for name in ("transaction_labels", "category_overlay_by_profile"):
         assert "l_orderkey" not in plan(QUERIES[name](spark, SF)), name
+
+
+def test_loads_and_last_dates_read_what_is_stored(spark):
+    """The merge holds no join and no aggregate of a load beside its own; the scores join the tables no second time."""
+    for name in ("rollup_of_loads", "runway_at_last_date"):
+        assert "l_orderkey" not in plan(QUERIES[name](spark, SF)), name
+    assert plan(QUERIES["rollup_of_loads"](spark, SF)).split("Initial Plan")[0].count("HashAggregate") == 2
+
+
+def test_buckets_grow_with_the_rows(spark):
+    from spendkit.sources import bucketed
+
+    assert [bucketed.buckets_for(n, least=8) for n in (0, 1, 4_000_000, 4_000_001, 216_000_000)] == [8, 8, 8, 16, 512]
+    assert bucketed.buckets_for(0) == bucketed.BUCKETS
