@@ -290,3 +290,8 @@ def test_month_folders_are_pruned(spark, tmp_path):
         part = text.split("PartitionFilters: [")[1].split("]")[0]
         assert f"tx_month#" in part and f">= {first}" in part and "<= 2010-06" in part
     assert recommend.recurring_merchants(tx, "2010-06-15").first().active_months == 6
+
+
+def test_json_may_be_compressed(spark, tmp_path):
+    writers.write_json(spark.range(5).selectExpr("id", "'x' as note"), str(tmp_path / "z"), compression="gzip")
+    assert list((tmp_path / "z").glob("*.json.gz")) and sorted(r.id for r in spark.read.json(str(tmp_path / "z")).collect()) == list(range(5))
