@@ -28,6 +28,8 @@ SAMPLE_CHARS = 20_000
 EPOCHS = 8
 RATE = 1.0
 THRESHOLD = 0.3
+#: Bytes of texts that are scored at once; a feature table takes some hundred bytes for each of them.
+SCORE_BYTES = 1 << 18
 
 _P, _K = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
@@ -98,7 +100,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Softmax probability of label 1 of every whole text; null and empty texts have the bias alone."""
-        logits = [self.logits(data, offsets) for _, _, data, offsets in slices(texts)]
+        logits = [self.logits(data, offsets) for _, _, data, offsets in slices(texts, SCORE_BYTES)]
         return 1 / (1 + np.exp(-np.clip(np.concatenate(logits) if logits else np.zeros(0), -50, 50)))
 
 

@@ -62,3 +62,11 @@ def test_no_labels_give_a_half(spark, docs_of):
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.learn(docs_of([(1, "a b"), (2, "c")]), labels)
     assert [r["score"] for r in quality.score(docs_of([(1, "x"), (2, None)]), model).collect()] == [0.5, 0.5]
+
+
+def test_few_texts_are_scored_at_once(monkeypatch):
+    seen, model = [], quality.Model(np.ones(1 << quality.BUCKET_BITS), 0.0)
+    plain = quality.Model.logits
+    monkeypatch.setattr(quality.Model, "logits", lambda self, data, offsets: seen.append(len(data)) or plain(self, data, offsets))
+    scores = model.scores(pa.array(["word " * 4000] * 60))
+    assert len(scores) == 60 and max(seen) <= 1 << 18 and sum(seen) == 60 * 20_000
