@@ -185,7 +185,7 @@ def change_log(v: Views):
 @query("overlay_by_bucket")
 def overlay_by_bucket(v: Views):
     """Labels laid over transactions, both stored by buckets of the transaction id."""
-    name, parts = f"t{uuid.uuid4().hex}", 8
+    name, parts = f"t{uuid.uuid4().hex}", bucketed.buckets_for(v.table("lineitem").count(), least=8)
     tx = bucketed.write_bucketed(v.tx(place=False), f"{name}_tx", _folder(v, "tx-by-id"), "id", parts)
     labels = bucketed.write_bucketed(v.labels(), f"{name}_labels", _folder(v, "labels-by-id"), "id", parts)
     return labeling.overlay_labels(tx, labeling.latest_labels(labels, ["seq"])).select("id", "category", "category_source", "is_discretionary")
