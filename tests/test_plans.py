@@ -98,3 +98,31 @@ def test_buckets_grow_with_the_rows(spark):
 
     assert [bucketed.buckets_for(n, least=8) for n in (0, 1, 4_000_000, 4_000_001, 216_000_000)] == [8, 8, 8, 16, 512]
     assert bucketed.buckets_for(0) == bucketed.BUCKETS
+
+
+def shuffled(spark, build, threshold="-1"):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": threshold, "spark.sql.debug.maxToStringFields": "1000"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return plan(build())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_suppliers_are_broadcast_by_their_own_size(spark):
+    """Joined with nations first, they would count as the product of both."""
+    from spendkit.plans.views import Views
+
+    text = shuffled(spark, lambda: Views(spark, SF).tx(), "100k")
+    assert re.search(r"BroadcastHashJoin \[l_suppkey", text) and not re.search(r"SortMergeJoin \[l_suppkey", text)
+
+
+def test_transactions_move_their_amount_only(spark):
+    """What the amount is made of does not go through the joins."""
+    from spendkit.plans.views import Views
+
+    text = shuffled(spark, lambda: Views(spark, SF).tx().select("merchant_id", "amount_usd"))
+    assert text.index("Exchange hashpartitioning(l_orderkey") < text.index("AS amount_usd")
