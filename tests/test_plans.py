@@ -126,3 +126,12 @@ def test_transactions_move_their_amount_only(spark):
 
     text = shuffled(spark, lambda: Views(spark, SF).tx().select("merchant_id", "amount_usd"))
     assert text.index("Exchange hashpartitioning(l_orderkey") < text.index("AS amount_usd")
+
+
+def test_codes_are_added_after_the_joins(spark):
+    """The rows that are shuffled for cards and users do not hold what follows from their other columns."""
+    text = shuffled(spark, lambda: QUERIES["clean_transactions"](spark, SF))
+    above, below = text.split("Exchange hashpartitioning(client_id", 1)
+    for name in ("zip_norm", "mcc_code", "is_online"):
+        assert f"AS {name}#" in above, name
+    assert "AS zip_norm#" not in below and "UNKNOWN_MCC" not in below.split("Exchange hashpartitioning(id")[0]
