@@ -81,6 +81,24 @@ def test_clients_that_are_no_numbers_are_counted(spark, dims):
     assert cleaning.qa_report(raw, order_by=["n"], **dims).first().client_ids_not_numeric == 2
 
 
+def test_qa_report_counts_what_staged_rows_give(spark, raw, dims):
+    """Valid texts of other shapes, and an order by a column that the counters read."""
+    more = spark.createDataFrame([
+        raw_row(8, "f", date=" 2010-1-2  3:4:5 ", amount="USD -1,000.5", mcc=" 5812 ", client="2"),
+        raw_row(9, "g", date="2010-01-01", amount="", mcc="5812.0.0"), raw_row(10, "h", date=None, amount=None, mcc=None, card=None),
+        raw_row(11, "g", amount="1"),
+    ], SCHEMA)
+    rows = raw.unionByName(more)
+    for order in (["n"], ["date", "amount", "n"], [F.col("n").desc()]):
+        want = cleaning.qa_counters(cleaning.staged(rows, order), rows, **dims).first()
+        assert cleaning.qa_report(rows, order_by=order, **dims).first() == want
+
+
+def test_qa_report_needs_its_columns(raw, dims):
+    with pytest.raises(ValueError, match="amount"):
+        cleaning.qa_report(raw.drop("amount"), order_by=["n"], **dims)
+
+
 def test_dedupe_with_seen(spark):
     df = spark.createDataFrame([(1, "0"), (2, "1"), (3, "1"), (4, "2")], "n int, id string")
     out = cleaning.dedupe_by_id(df, ["n"], seen=spark.createDataFrame([("0",)], "id string"))

@@ -135,3 +135,9 @@ def test_codes_are_added_after_the_joins(spark):
     for name in ("zip_norm", "mcc_code", "is_online"):
         assert f"AS {name}#" in above, name
     assert "AS zip_norm#" not in below and "UNKNOWN_MCC" not in below.split("Exchange hashpartitioning(id")[0]
+
+
+def test_qa_report_moves_no_text_of_date_and_amount(spark):
+    text = shuffled(spark, lambda: QUERIES["qa_report"](spark, SF))
+    by_id = text.index("Exchange hashpartitioning(id")
+    assert "2000-01-01 00:00:00" in text[by_id:]
