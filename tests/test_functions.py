@@ -161,3 +161,10 @@ def test_profile_key(spark):
 def test_require_columns(spark):
     with pytest.raises(ValueError, match="b"):
         require_columns(spark.createDataFrame([(1,)], "a int"), ["a", "b"])
+
+
+def test_codes_of_cleaned_text_need_no_pattern_for_the_end(spark):
+    values = ["10464.0", "10464", ".0", "0", "1.0.0", "1.00", "a.0\n", " 7.0 ", "5812 .0", "é.0", "\U0001f600.0", "\r\n", "", None, "10.0 "]
+    for code in (text.normalize_zip, text.normalize_mcc):
+        assert apply(spark, lambda c: code(text.clean_text(c), clean=True), values) == apply(spark, code, values)
+    assert "regexp_replace" not in str(text.normalize_zip(F.col("zip"), clean=True))
