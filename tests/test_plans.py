@@ -151,3 +151,13 @@ def test_medians_move_hashes_and_cents_only(spark):
     below = text[text.rindex("percentile("):]
     scanned = below[:below.index("Exchange hashpartitioning(l_")]
     assert "Exchange hashpartitioning(_code" in scanned and "profile_key" not in scanned[:scanned.index("Exchange hashpartitioning(_code")]
+
+
+def test_transactions_move_flags_for_quantity_and_status(spark):
+    """Of quantity and status the joins move what is asked of them."""
+    from spendkit.plans.views import Views
+
+    for build in (lambda: Views(spark, SF).tx(), lambda: Views(spark, SF).raw_tx()):
+        text = shuffled(spark, build)
+        above = text[:text.index("Exchange hashpartitioning(l_orderkey")]
+        assert "l_quantity" not in above and "l_linestatus" not in above
