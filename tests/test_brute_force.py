@@ -221,3 +221,24 @@ def test_dates(spark, values):
 
     values = [v for v in values if v.isascii()]
     assert column(spark, calendar.parse_timestamp, values) == [parse(v) for v in values]
+
+
+def test_packed_rows_come_back_as_they_were(spark):
+    """Signs of the packing, empty texts, nulls and spelled texts, with columns added and dropped by the move."""
+    from spendkit.operators.common import NULL_SIGN, SEPARATOR, move_packed
+
+    rng = random.Random(5)
+    texts = [None, "", " ", "a", "1.00", "=", "=1.00", "é,\"x\n", SEPARATOR, NULL_SIGN, f"a{SEPARATOR}b", f"{NULL_SIGN}{SEPARATOR}", NULL_SIGN * 2, "\u2028\U0001f600"]
+    rows = [(i, rng.choice(texts), rng.choice([None, True, False]), rng.choice(texts), rng.choice([None, 1.0, 2.5]), rng.choice(texts)) for i in range(600)]
+    df = spark.createDataFrame(rows, "n long, a string, b boolean, `c.d` string, v double, k string")
+    spelled = F.col("v").cast("decimal(9,2)").cast("string")
+
+    def move(part):
+        assert set(part.columns) == {"n", "v", "k", "_packed", "_odd"}
+        return part.repartition(3, "k").withColumn("added", F.col("n") + 1).drop("n")
+
+    out = move_packed(df, move, "k", known={"a": spelled})
+    assert out.dtypes == [*df.drop("n").dtypes, ("added", "bigint")]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((*r[1:], r[0] + 1)) for r in rows)
+    broken = spark.sql("select cast(unhex('ff61') as string) a, 'x' b").repartition(1)
+    assert move_packed(broken, lambda part: part.repartition(2)).selectExpr("hex(a) a").first().a == "FF61"

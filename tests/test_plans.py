@@ -161,3 +161,17 @@ def test_transactions_move_flags_for_quantity_and_status(spark):
         text = shuffled(spark, build)
         above = text[:text.index("Exchange hashpartitioning(l_orderkey")]
         assert "l_quantity" not in above and "l_linestatus" not in above
+
+
+def test_enriched_rows_are_moved_as_one_text(spark):
+    """The shuffles for first copies, cards and users, and those of the raw rows, hold no column per text."""
+    text = shuffled(spark, lambda: QUERIES["clean_transactions"](spark, SF))
+    for key, names in (
+        ("client_id", ("merchant_city", "errors")), ("card_id", ("merchant_city", "errors")), ("id", ("merchant_city", "errors")),
+        ("l_partkey", ("l_returnflag", "is_online")), ("l_orderkey", ("l_returnflag", "is_online")),
+    ):
+        below = text[text.index(f"Exchange hashpartitioning({key}#"):]
+        moved = re.search(r"Project \[(.*)\]\n", below).group(1)
+        assert "_packed" in moved, key
+        # Above the packing itself no text has a name.
+        assert not any(re.search(rf"(^|, ){n}#|AS {n}#", moved) for n in names), key
