@@ -186,8 +186,10 @@ def change_log(v: Views):
 def overlay_by_bucket(v: Views):
     """Labels laid over transactions, both stored by buckets of the transaction id."""
     name, parts = f"t{uuid.uuid4().hex}", bucketed.buckets_for(v.table("lineitem").count(), least=8)
-    tx = bucketed.write_bucketed(v.tx(place=False), f"{name}_tx", _folder(v, "tx-by-id"), "id", parts)
-    labels = bucketed.write_bucketed(v.labels(), f"{name}_labels", _folder(v, "labels-by-id"), "id", parts)
+    path = _folder(v, "tx-by-id")
+    tx = bucketed.write_bucketed(v.tx(place=False, whole=True), f"{name}_tx", path, "id", parts)
+    # Read as files, the stored transactions give the labels without a second join; the labels are dealt to buckets as any table is.
+    labels = bucketed.write_bucketed(v.labels(v.spark.read.parquet(path)), f"{name}_labels", _folder(v, "labels-by-id"), "id", parts)
     return labeling.overlay_labels(tx, labeling.latest_labels(labels, ["seq"])).select("id", "category", "category_source", "is_discretionary")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.common import move_packed
 from .writers import assert_no_pii
 
 #: Tables that are joined have the same number of buckets.
@@ -19,8 +20,9 @@ def buckets_for(rows: int, least: int = BUCKETS) -> int:
 
 def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int = BUCKETS) -> DataFrame:
     """Write `df` below `path`, in buckets of `key`, as `table` of the session's catalog; the table."""
+    rows = move_packed(assert_no_pii(df), lambda rows: rows.repartition(buckets, key), key)
     (
-        assert_no_pii(df).repartition(buckets, key).write.mode("overwrite").option("path", path)
+        rows.select(*df.columns).write.mode("overwrite").option("path", path).option("compression", "zstd")
         .bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
     )
     return df.sparkSession.table(table)

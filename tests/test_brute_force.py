@@ -242,3 +242,20 @@ def test_packed_rows_come_back_as_they_were(spark):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((*r[1:], r[0] + 1)) for r in rows)
     broken = spark.sql("select cast(unhex('ff61') as string) a, 'x' b").repartition(1)
     assert move_packed(broken, lambda part: part.repartition(2)).selectExpr("hex(a) a").first().a == "FF61"
+
+
+def test_written_tables_keep_odd_texts(spark, tmp_path):
+    """Enriched rows and buckets are packed on their way; both are stored with zstd."""
+    from spendkit.sources import bucketed, writers
+
+    rows = [(str(i % 5), None if i % 7 == 0 else f"m\x1f{i}", "\x1e" if i % 3 else "", f"2010-0{1 + i % 4}-01 0{i % 9}:00:00", "2010-01-01 00:00:00", f"{i}.50", ("$" if i % 2 else "") + f"{i}.50") for i in range(60)]
+    df = spark.createDataFrame(rows, "client_id string, merchant_id string, errors string, at string, date string, usd string, amount string").selectExpr(
+        "client_id", "merchant_id", "errors", "cast(at as timestamp_ntz) transaction_dt", "date", "cast(usd as decimal(18,2)) amount_usd", "amount")
+    want = sorted(map(repr, df.collect()))
+    writers.write_enriched(df, str(tmp_path / "enriched"))
+    assert sorted(map(repr, spark.read.parquet(str(tmp_path / "enriched")).drop("tx_month").select(*df.columns).collect())) == want
+    got = bucketed.write_bucketed(df, "odd_texts", str(tmp_path / "buckets"), "client_id", 4)
+    assert sorted(map(repr, got.select(*df.columns).collect())) == want
+    for folder in ("enriched", "buckets"):
+        files = list((tmp_path / folder).rglob("*.parquet"))
+        assert files and all(f.name.endswith(".zstd.parquet") for f in files)

@@ -175,3 +175,11 @@ def test_enriched_rows_are_moved_as_one_text(spark):
         assert "_packed" in moved, key
         # Above the packing itself no text has a name.
         assert not any(re.search(rf"(^|, ){n}#|AS {n}#", moved) for n in names), key
+
+
+def test_labels_in_buckets_join_the_tables_once(spark, monkeypatch):
+    from spendkit.plans.views import Views
+
+    calls, tx = [], Views.tx
+    monkeypatch.setattr(Views, "tx", lambda self, *a, **k: calls.append(k) or tx(self, *a, **k))
+    assert QUERIES["overlay_by_bucket"](spark, SF).count() and len(calls) == 1
